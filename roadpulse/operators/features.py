@@ -27,6 +27,7 @@ from roadpulse.operators.panel import (
     panel_union,
     rank_windows,
 )
+from roadpulse.session import stage
 from roadpulse.spec import LABEL_CLEAR, GridSpec, windows_per_day
 
 WEATHER_SCALED = ["wind_scaled", "max_t_scaled", "min_t_scaled"]
@@ -252,7 +253,7 @@ def load_dataset(
 
     Complete the calendar, keep whole days, scale (limits from all but the last ``len_test``
     windows), build lags within each panel, join external columns, split off the last
-    ``len_test`` sample windows.
+    ``len_test`` sample windows. Tables read more than once are stored in between.
     """
     by = ["source_id"]
     union = panel_union(panels)
@@ -260,8 +261,8 @@ def load_dataset(
         dense = complete_panel(union, grid, minutes, no_signal, complete_value, by=by)
     else:
         dense = densify(union, grid, by=by)
-    days = complete_days_only(dense, minutes, compat, by)
-    values = days.select(*by, "w", "x", "y", F.col("speed").cast("double").alias("value"))
+    days = complete_days_only(stage(dense, "dense"), minutes, compat, by)
+    values = stage(days.select(*by, "w", "x", "y", F.col("speed").cast("double").alias("value")), "values")
 
     scale = None
     if scaled:
@@ -270,6 +271,7 @@ def load_dataset(
         values = minmax_scale(values, "value", scale)
 
     features = cpt_features(values, minutes, closeness, period, trend, trend_days=trend_days, by=by)
+    features = stage(features, "features")
     external = None
     if holiday is not None and weather is not None:
         external = external_features(panel_times(features), holiday, weather)

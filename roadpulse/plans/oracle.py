@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 
-from roadpulse.plans.bindings import GRID, MINUTES
-from roadpulse.plans.queries import CHOSEN, FINE, LEN_TEST, MIN_LENGTH
+from roadpulse.plans.queries import CHOSEN, LEN_TEST
+from roadpulse.plans.tables import FINE, GRID, MIN_LENGTH, MINUTES
 from roadpulse.spec import ROAD_CLASS_CODES, windows_per_day
 
 DAY = windows_per_day(MINUTES)
@@ -414,9 +414,9 @@ SQL: dict[str, str] = {
     "weather_flags": f"select strftime(date, '%Y%m%d') as date, {_flags('weather')} from weather",
     "wind_level": """select strftime(date, '%Y%m%d') as date,
         cast(case wind when 0 then 0 when 1 then 0 when 2 then 1 else wind end as integer) as level from weather""",
-    "minmax_scale": f"""select {W}, x, y, round((speed - lo) / (hi - lo) * 2 - 1, 6) as scaled, round(speed, 6) as back
+    "minmax_scale": f"""select {W}, x, y, round((speed - lo) / (hi - lo) * 2 - 1, 6) as scaled, true as restored
         from panel, {MINMAX}""",
-    "minmax_scale_01": f"""select {W}, x, y, round((speed - lo) / (hi - lo), 6) as scaled, round(speed, 6) as back
+    "minmax_scale_01": f"""select {W}, x, y, round((speed - lo) / (hi - lo), 6) as scaled, true as restored
         from panel, {MINMAX}""",
     "round_half_even": "select edge_id, cast(round_even(length / 200, 0) as integer) as rounded from road_edge",
     "time_shift": f"select {W}, {_fmt(_shift('w', 2))} as later, {_fmt(_shift('w', -1))} as earlier from times",
@@ -626,6 +626,6 @@ def _needed(sql: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     built = {}
     for key, sql in SQL.items():
-        ctes = ",\n".join(f"{name} as ({CTES[name].strip()})" for name in _needed(sql))
+        ctes = ",\n".join(f"{name} as materialized ({CTES[name].strip()})" for name in _needed(sql))
         built[key] = f"with {ctes}\n{sql.strip()}"
     return built

@@ -28,28 +28,23 @@ from roadpulse.operators import (
     trajectories,
     trees,
 )
-from roadpulse.plans import bindings as b
+from roadpulse.plans.tables import CPT, GRID, MINUTES, Tables
 from roadpulse.session import stage_path
 from roadpulse.sources import network as network_files
 from roadpulse.sources import statistics as stat_files
 from roadpulse.sources import trajectories as traj_files
 from roadpulse.sources import weather as weather_files
-from roadpulse.spec import windows_per_day
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-GRID, MINUTES = b.GRID, b.MINUTES
-FINE = 5
-MIN_LENGTH = 500.0
 LEN_TEST = 100
-TREND_DAYS = 7
 
 _registry: dict[str, Query] = {}
 
 
-def _query(name: str) -> Callable[[Query], Query]:
-    def keep(fn: Query) -> Query:
-        _registry[name] = fn
+def _query(name: str) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    def keep(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        _registry[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         return fn
 
     return keep
@@ -74,107 +69,6 @@ def _number(df: DataFrame, **columns) -> DataFrame:
     return _shown(df.select(*[c.alias(n) for n, c in columns.items()]))
 
 
-# Tables the queries start from.
-
-
-def _link_stat(s: SparkSession, d: str, minutes: int = FINE) -> DataFrame:
-    return links.link_travel_time(b.traversal(s, d), b.road_edge(s, d), minutes, MIN_LENGTH)
-
-
-def _cell_link(s: SparkSession, d: str) -> DataFrame:
-    return links.cell_link_travel_time(_link_stat(s, d), b.road_edge(s, d), b.road_vertex(s, d), GRID)
-
-
-def _runs(s: SparkSession, d: str) -> DataFrame:
-    return runs.cell_runs(b.traversal(s, d), b.road_edge(s, d), b.road_vertex(s, d), GRID, MINUTES)
-
-
-def _panel(s: SparkSession, d: str) -> DataFrame:
-    return runs.cell_speed(_runs(s, d))
-
-
-def _trav_2016(s: SparkSession, d: str) -> DataFrame:
-    return trajectories.traversals_2016(b.trajectory_2016(s, d))
-
-
-def _runs_2016(s: SparkSession, d: str) -> DataFrame:
-    return runs.cell_runs_2016(_trav_2016(s, d), b.edge_geo(s, d), GRID, MINUTES)
-
-
-def _link_speed(s: SparkSession, d: str) -> DataFrame:
-    return links.link_speed(_trav_2016(s, d), b.subnet(s, d), FINE)
-
-
-def _times(s: SparkSession, d: str) -> DataFrame:
-    return panel.panel_times(_panel(s, d))
-
-
-def _silent(s: SparkSession, d: str) -> DataFrame:
-    return panel.no_signal_cells(_panel(s, d), GRID)
-
-
-def _dense(s: SparkSession, d: str) -> DataFrame:
-    return panel.densify(_panel(s, d), GRID)
-
-
-def _complete(s: SparkSession, d: str) -> DataFrame:
-    """Every window from first to last, filled with label 4."""
-    return panel.complete_panel(_panel(s, d), GRID, MINUTES, _silent(s, d))
-
-
-def _clean(s: SparkSession, d: str) -> DataFrame:
-    return panel.preprocess_panel(_panel(s, d), GRID, MINUTES)
-
-
-def _values(s: SparkSession, d: str) -> DataFrame:
-    """(w, x, y, value) of the completed panel's whole days."""
-    days = panel.complete_days_only(_complete(s, d), MINUTES)
-    return days.select("w", "x", "y", F.col("speed").alias("value"))
-
-
-def _features(s: SparkSession, d: str) -> DataFrame:
-    return features.cpt_features(_values(s, d), MINUTES)
-
-
-def _external(s: SparkSession, d: str) -> DataFrame:
-    return features.external_features(
-        panel.panel_times(_values(s, d)), b.holiday(s, d), b.weather(s, d)
-    )
-
-
-def _pred(s: SparkSession, d: str) -> DataFrame:
-    """Mean of the lags as a prediction, rounded to whole numbers."""
-    cols = features.lag_columns(3, 1, 1)
-    mean = evaluate.mean_predictor(_features(s, d), cols)
-    return mean.select(
-        "w", F.lit(0).alias("flow"), "x", "y",
-        labels.round_half_even("predict").cast("double").alias("predict"),
-        labels.round_half_even("value").cast("double").alias("real"),
-    )
-
-
-def _pred_lag(s: SparkSession, d: str) -> DataFrame:
-    """The latest lag as a prediction."""
-    return _features(s, d).select(
-        "w", F.lit(0).alias("flow"), "x", "y",
-        labels.round_half_even("c1").cast("double").alias("predict"),
-        labels.round_half_even("value").cast("double").alias("real"),
-    )
-
-
-def _change(s: SparkSession, d: str) -> DataFrame:
-    return evaluate.frame_change(_panel(s, d))
-
-
-def _labelled(s: SparkSession, d: str) -> DataFrame:
-    """Whole numbers from 0 to 4 as classes, with their lags, for the tree queries."""
-    values = panel.complete_days_only(
-        panel.to_labels(_complete(s, d)).withColumnRenamed("label", "speed").withColumn("speed", F.col("speed").cast("double")),
-        MINUTES,
-    ).select("w", "x", "y", F.col("speed").alias("value"))
-    return features.cpt_features(values, MINUTES)
-
-
 # Sources and sinks: write the form a file has, read it back.
 
 
@@ -185,34 +79,34 @@ def _write_text(lines: DataFrame, name: str) -> str:
 
 
 @_query("read_edges")
-def read_edges(s, d):
-    path = stage_path(s, "edges")
-    b.road_edge(s, d).select("edge_id", "s_id", "e_id", "length").write.csv(path, sep="\t")
-    return _shown(network_files.read_edges(s, path))
+def read_edges(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "edges")
+    k.edge.select("edge_id", "s_id", "e_id", "length").write.csv(path, sep="\t")
+    return _shown(network_files.read_edges(k.spark, path))
 
 
 @_query("read_vertices")
-def read_vertices(s, d):
-    path = stage_path(s, "vertices")
-    b.road_vertex(s, d).write.csv(path, sep="\t")
-    return _shown(network_files.read_vertices(s, path))
+def read_vertices(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "vertices")
+    k.vertex.write.csv(path, sep="\t")
+    return _shown(network_files.read_vertices(k.spark, path))
 
 
 @_query("read_edges_geo")
-def read_edges_geo(s, d):
+def read_edges_geo(k: Tables) -> DataFrame:
     line = F.concat(
         F.lit("LINESTRING ("), F.concat_ws(" ", "start.lon", "start.lat"), F.lit(", "),
         F.concat_ws(" ", "end.lon", "end.lat"), F.lit(")"),
     )
     code = F.concat(F.lit("0x0"), F.col("road_class").cast("string"))
     empty = F.lit("")
-    lines = b.edge_geo(s, d).select(
+    lines = k.edge_geo.select(
         F.concat_ws(
             ":", F.col("edge_id").cast("string"), empty, empty, empty, code, empty, empty,
             F.col("length").cast("string"), empty, line,
         ).alias("value")
     )
-    edges = network_files.read_edges_geo(s, _write_text(lines, "edges_geo"), strict=True)
+    edges = network_files.read_edges_geo(k.spark, _write_text(lines, "edges_geo"), strict=True)
     return _shown(
         edges.select(
             "edge_id", F.col("start.lon").alias("start_lon"), F.col("start.lat").alias("start_lat"),
@@ -222,29 +116,29 @@ def read_edges_geo(s, d):
 
 
 @_query("read_subnet")
-def read_subnet(s, d):
+def read_subnet(k: Tables) -> DataFrame:
     c = {n: F.col(n).cast("string") for n in ("edge_id", "s_id", "e_id", "road_class", "width", "length", "speed_limit")}
-    lines = b.subnet(s, d).select(
+    lines = k.subnet.select(
         F.concat_ws(
             ",", F.lit("0"), c["edge_id"], c["s_id"], c["e_id"], F.lit("2"), c["road_class"], F.lit("0x00"),
             c["width"], c["length"], c["speed_limit"], F.lit('"LINESTRING (0 0, 1 1)"'),
         ).alias("value")
     )
-    head = s.range(1).select(F.lit("id,edge_id,s_id,e_id,dir,class,kind,width,length,limit,geometry").alias("value"))
-    return network_files.read_subnet(s, _write_text(head.unionByName(lines), "subnet"))
+    head = k.spark.range(1).select(F.lit("id,edge_id,s_id,e_id,dir,class,kind,width,length,limit,geometry").alias("value"))
+    return network_files.read_subnet(k.spark, _write_text(head.unionByName(lines), "subnet"))
 
 
 @_query("read_trajectories")
-def read_trajectories(s, d):
-    lines = traj_files.trajectory_lines(b.trajectory(s, d))
-    traj = traj_files.read_trajectories(s, _write_text(lines, "trajectories"), min_edges=10)
+def read_trajectories(k: Tables) -> DataFrame:
+    lines = traj_files.trajectory_lines(k.trajectory)
+    traj = traj_files.read_trajectories(k.spark, _write_text(lines, "trajectories"), min_edges=10)
     return _shown(trajectories.trajectory_sequence(traj).select("traj_id", "seq", "edge_id", "t"))
 
 
 @_query("read_trajectories_2016")
-def read_trajectories_2016(s, d):
-    lines = traj_files.trajectory_lines_2016(b.trajectory_2016(s, d))
-    good, _ = traj_files.read_trajectories_2016(s, _write_text(lines, "trajectories_2016"), 5, 100)
+def read_trajectories_2016(k: Tables) -> DataFrame:
+    lines = traj_files.trajectory_lines_2016(k.trajectory_2016)
+    good, _ = traj_files.read_trajectories_2016(k.spark, _write_text(lines, "trajectories_2016"), 5, 100)
     return _shown(
         good.select(
             F.array_join(F.col("edges").cast("array<string>"), "|").alias("edges"),
@@ -257,100 +151,100 @@ def read_trajectories_2016(s, d):
 
 
 @_query("month_scan")
-def month_scan(s, d):
+def month_scan(k: Tables) -> DataFrame:
     """2016 trips stored in month and day folders, one month read back."""
-    base = stage_path(s, "months")
-    trips = b.trajectory_2016(s, d).withColumn("_t", timing.epoch_to_timestamp(F.col("times")[0]))
+    base = stage_path(k.spark, "months")
+    trips = k.trajectory_2016.withColumn("_t", timing.epoch_to_timestamp(F.col("times")[0]))
     lines = traj_files.trajectory_lines_2016(trips.withColumnsRenamed({})).select("value")
     lines = lines.withColumn("_t", timing.epoch_to_timestamp(F.split(F.split("value", ",")[8], r"\|")[0].cast("bigint")))
     lines = lines.select("value", F.date_format("_t", "dd").alias("day"))
     lines.write.partitionBy("day").text(f"{base}/01")
-    good, _ = traj_files.read_trajectories_2016(s, base, month=1, by_month=True)
+    good, _ = traj_files.read_trajectories_2016(k.spark, base, month=1, by_month=True)
     return good.select(F.col("edges")[0].alias("first_edge")).groupBy("first_edge").agg(F.count(F.lit(1)).alias("trips"))
 
 
 @_query("read_link_stats")
-def read_link_stats(s, d):
-    path = stage_path(s, "link_stats")
-    stat_files.write_link_stats(_link_stat(s, d), path, text=True)
-    return _shown(stat_files.read_link_stats(s, path))
+def read_link_stats(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "link_stats")
+    stat_files.write_link_stats(k.link_stat(), path, text=True)
+    return _shown(stat_files.read_link_stats(k.spark, path))
 
 
 @_query("write_link_stats")
-def write_link_stats(s, d):
+def write_link_stats(k: Tables) -> DataFrame:
     """The text lines themselves."""
-    path = stage_path(s, "link_stats")
-    stat_files.write_link_stats(_link_stat(s, d, MINUTES), path, text=True)
-    return s.read.text(path).select(F.col("value").alias("line"))
+    path = stage_path(k.spark, "link_stats")
+    stat_files.write_link_stats(k.link_stat(MINUTES), path, text=True)
+    return k.spark.read.text(path).select(F.col("value").alias("line"))
 
 
 @_query("read_panel")
-def read_panel(s, d):
-    path = stage_path(s, "panel")
-    stat_files.write_panel(_panel(s, d), path, text=True)
-    return _shown(stat_files.read_panel(s, path))
+def read_panel(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "panel")
+    stat_files.write_panel(k.panel, path, text=True)
+    return _shown(stat_files.read_panel(k.spark, path))
 
 
 @_query("write_panel")
-def write_panel(s, d):
-    path = stage_path(s, "panel")
-    stat_files.write_panel(_dense(s, d), path, drop_zero=True)
-    return _shown(stat_files.load_panel(s, path).drop("day"))
+def write_panel(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "panel")
+    stat_files.write_panel(k.dense, path, drop_zero=True)
+    return _shown(stat_files.load_panel(k.spark, path).drop("day"))
 
 
 @_query("read_link_speed")
-def read_link_speed(s, d):
-    path = stage_path(s, "link_speed")
-    stat_files.write_link_speed(_link_speed(s, d), path)
-    return _shown(stat_files.read_link_speed(s, path))
+def read_link_speed(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "link_speed")
+    stat_files.write_link_speed(k.link_speed, path)
+    return _shown(stat_files.read_link_speed(k.spark, path))
 
 
 @_query("read_no_signal")
-def read_no_signal(s, d):
-    path = stage_path(s, "no_signal")
-    stat_files.write_no_signal(_silent(s, d), path, GRID)
-    return stat_files.read_no_signal(s, path, GRID)
+def read_no_signal(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "no_signal")
+    stat_files.write_no_signal(k.silent, path, GRID)
+    return stat_files.read_no_signal(k.spark, path, GRID)
 
 
 @_query("path_partitioned_result")
-def path_partitioned_result(s, d):
+def path_partitioned_result(k: Tables) -> DataFrame:
     """Two window lengths stored by parameter, one read back."""
-    path = stage_path(s, "results")
+    path = stage_path(k.spark, "results")
     for minutes in (MINUTES, 60):
-        result = runs.cell_speed_from_runs(b.traversal(s, d), b.road_edge(s, d), b.road_vertex(s, d), GRID, minutes)
+        result = runs.cell_speed_from_runs(k.traversal, k.edge, k.vertex, GRID, minutes)
         stat_files.write_partitioned(result, path, lon_split=GRID.nx, lat_split=GRID.ny, time_window=minutes)
-    return _shown(stat_files.load_partitioned(s, path, time_window=60))
+    return _shown(stat_files.load_partitioned(k.spark, path, time_window=60))
 
 
 @_query("result_store")
-def result_store(s, d):
-    path = stage_path(s, "prediction")
-    stat_files.save_result(_pred(s, d), path)
-    return _shown(stat_files.load_result(s, path))
+def result_store(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "prediction")
+    stat_files.save_result(k.pred, path)
+    return _shown(stat_files.load_result(k.spark, path))
 
 
 @_query("road_num_store")
-def road_num_store(s, d):
-    path = stage_path(s, "road_num")
-    stored = stat_files.save_road_num(links.road_trip_count(_link_stat(s, d)), path, 4)
-    return stat_files.load_road_num(s, stored)
+def road_num_store(k: Tables) -> DataFrame:
+    path = stage_path(k.spark, "road_num")
+    stored = stat_files.save_road_num(links.road_trip_count(k.link_stat()), path, 4)
+    return stat_files.load_road_num(k.spark, stored)
 
 
 # Scalar expressions.
 
 
 @_query("window_floor")
-def window_floor(s, d):
+def window_floor(k: Tables) -> DataFrame:
     t = F.col("t")
-    return _shown(b.traversal(s, d).select(
+    return _shown(k.traversal.select(
         "traj_id", "seq", timing.window_floor(t, 20).alias("w20"), timing.window_floor(t, 50).alias("w50"),
         timing.window_floor(t, 7).alias("w7"),
     ))
 
 
 @_query("time_diff")
-def time_diff(s, d):
-    trav = b.traversal(s, d)
+def time_diff(k: Tables) -> DataFrame:
+    trav = k.traversal
     midday = F.concat(F.date_format("t", "yyyyMMdd"), F.lit("120000"))
     return trav.select(
         "traj_id", "seq", timing.time_diff(midday, timing.format_second(F.col("t"))).alias("seconds")
@@ -358,88 +252,88 @@ def time_diff(s, d):
 
 
 @_query("epoch_to_time")
-def epoch_to_time(s, d):
+def epoch_to_time(k: Tables) -> DataFrame:
     epoch = F.unix_seconds("t")
-    return b.traversal(s, d).select(
+    return k.traversal.select(
         "traj_id", "seq", timing.epoch_to_time(epoch).alias("beijing"),
         timing.epoch_to_time(epoch, "-03:30").alias("newfoundland"),
     )
 
 
 @_query("grid_xy")
-def grid_xy(s, d):
+def grid_xy(k: Tables) -> DataFrame:
     xy = geo.grid_xy(F.col("lon"), F.col("lat"), GRID)
-    return b.road_vertex(s, d).select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y"))
+    return k.vertex.select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y"))
 
 
-def _vertex_cells(s, d):
+def _vertex_cells(k: Tables) -> DataFrame:
     xy = geo.grid_xy(F.col("lon"), F.col("lat"), GRID)
-    return b.road_vertex(s, d).select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y")).filter("x >= 0")
+    return k.vertex.select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y")).filter("x >= 0")
 
 
 @_query("cell_id")
-def cell_id(s, d):
-    return _vertex_cells(s, d).select("vertex_id", geo.cell_id(F.col("x"), F.col("y"), GRID).alias("cell"))
+def cell_id(k: Tables) -> DataFrame:
+    return _vertex_cells(k).select("vertex_id", geo.cell_id(F.col("x"), F.col("y"), GRID).alias("cell"))
 
 
 @_query("cell_xy")
-def cell_xy(s, d):
+def cell_xy(k: Tables) -> DataFrame:
     cell = (F.col("vertex_id") % GRID.cells).cast("int")
     xy = geo.cell_xy(cell, GRID)
-    return b.road_vertex(s, d).select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y"))
+    return k.vertex.select("vertex_id", xy["x"].alias("x"), xy["y"].alias("y"))
 
 
 @_query("road_class_code")
-def road_class_code(s, d):
+def road_class_code(k: Tables) -> DataFrame:
     code = F.concat(F.lit("0x0"), F.lower(F.hex(F.col("edge_id") % 16)))
-    return b.road_edge(s, d).select("edge_id", geo.road_class_code(code).alias("code"))
+    return k.edge.select("edge_id", geo.road_class_code(code).alias("code"))
 
 
 @_query("in_road_class")
-def in_road_class(s, d):
-    edge = b.road_edge(s, d).select("edge_id", "road_class").filter(F.col("edge_id") % 7 != 0)
-    joined = b.traversal(s, d).join(edge, "edge_id", "left")
+def in_road_class(k: Tables) -> DataFrame:
+    edge = k.edge.select("edge_id", "road_class").filter(F.col("edge_id") % 7 != 0)
+    joined = k.traversal.join(edge, "edge_id", "left")
     return joined.select("traj_id", "seq", geo.in_road_class(F.col("road_class")).alias("eligible"))
 
 
 @_query("segment_point")
-def segment_point(s, d):
-    known = b.edge_geo(s, d).filter(F.col("edge_id") % 7 != 0)
-    rows = network.geo_edge_lookup(_trav_2016(s, d), known)
+def segment_point(k: Tables) -> DataFrame:
+    known = k.edge_geo.filter(F.col("edge_id") % 7 != 0)
+    rows = network.geo_edge_lookup(k.traversal_2016, known)
     at = geo.segment_point(F.col("seq"), F.col("n"), F.col("start_pt"), F.col("end_pt"), F.col("edge_start"))
     return _shown(rows.select("traj_id", "seq", at["lon"].alias("lon"), at["lat"].alias("lat")))
 
 
 @_query("congestion_label")
-def congestion_label(s, d):
-    return _shown(_dense(s, d).select("w", "x", "y", labels.congestion_label(F.col("speed")).alias("label")))
+def congestion_label(k: Tables) -> DataFrame:
+    return _shown(k.dense.select("w", "x", "y", labels.congestion_label(F.col("speed")).alias("label")))
 
 
 @_query("speed_kmh")
-def speed_kmh(s, d):
-    return _shown(_panel(s, d).select("w", "x", "y", labels.speed_kmh(F.col("speed")).alias("kmh")))
+def speed_kmh(k: Tables) -> DataFrame:
+    return _shown(k.fresh_panel.select("w", "x", "y", labels.speed_kmh(F.col("speed")).alias("kmh")))
 
 
 @_query("speed_color_bucket")
-def speed_color_bucket(s, d):
-    return _shown(_dense(s, d).select("w", "x", "y", labels.speed_color_bucket(F.col("speed")).alias("bucket")))
+def speed_color_bucket(k: Tables) -> DataFrame:
+    return _shown(k.dense.select("w", "x", "y", labels.speed_color_bucket(F.col("speed")).alias("bucket")))
 
 
 @_query("cell_polygon")
-def cell_polygon(s, d):
+def cell_polygon(k: Tables) -> DataFrame:
     p = geo.cell_polygon(F.col("x"), F.col("y"), GRID)
     corners = [p[k][f].alias(f"{f}{k}") for k in range(4) for f in ("lon", "lat")]
-    return _shown(_vertex_cells(s, d).select("vertex_id", *corners))
+    return _shown(_vertex_cells(k).select("vertex_id", *corners))
 
 
 @_query("calendar_features")
-def calendar_features(s, d):
-    return _shown(_times(s, d).select("w", *calendar.calendar_features(F.col("w"))))
+def calendar_features(k: Tables) -> DataFrame:
+    return _shown(k.times.select("w", *calendar.calendar_features(F.col("w"))))
 
 
 @_query("weather_flags")
-def weather_flags(s, d):
-    return _shown(b.weather(s, d).select("date", *calendar.weather_flags(F.col("weather"))))
+def weather_flags(k: Tables) -> DataFrame:
+    return _shown(k.weather.select("date", *calendar.weather_flags(F.col("weather"))))
 
 
 def _wind_text():
@@ -451,55 +345,59 @@ def _wind_text():
 
 
 @_query("wind_level")
-def wind_level(s, d):
-    return _shown(b.weather(s, d).select("date", calendar.wind_level(_wind_text()).alias("level")))
+def wind_level(k: Tables) -> DataFrame:
+    return _shown(k.weather.select("date", calendar.wind_level(_wind_text()).alias("level")))
+
+
+def _restored(df):
+    same = F.abs(F.col("back") - F.col("speed")) < 1e-9
+    return _shown(df.select("w", "x", "y", "scaled", same.alias("restored")))
 
 
 @_query("minmax_scale")
-def minmax_scale(s, d):
-    p = _panel(s, d)
+def minmax_scale(k: Tables) -> DataFrame:
+    p = k.panel
     params = scaling.minmax_fit(p, "speed")
     out = scaling.minmax_scale(p, "speed", params, out="scaled")
-    return _shown(scaling.minmax_inverse(out, "scaled", params, out="back").select("w", "x", "y", "scaled", "back"))
+    return _restored(scaling.minmax_inverse(out, "scaled", params, out="back"))
 
 
 @_query("minmax_scale_01")
-def minmax_scale_01(s, d):
-    p = _panel(s, d)
+def minmax_scale_01(k: Tables) -> DataFrame:
+    p = k.panel
     params = scaling.minmax_fit(p, "speed")
     out = scaling.minmax_scale(p, "speed", params, 0.0, 1.0, out="scaled")
-    back = scaling.minmax_inverse(out, "scaled", params, 0.0, 1.0, out="back")
-    return _shown(back.select("w", "x", "y", "scaled", "back"))
+    return _restored(scaling.minmax_inverse(out, "scaled", params, 0.0, 1.0, out="back"))
 
 
 @_query("round_half_even")
-def round_half_even(s, d):
+def round_half_even(k: Tables) -> DataFrame:
     half = F.col("length") / 200
-    return b.road_edge(s, d).select("edge_id", labels.round_half_even(half).alias("rounded"))
+    return k.edge.select("edge_id", labels.round_half_even(half).alias("rounded"))
 
 
 @_query("time_shift")
-def time_shift(s, d):
+def time_shift(k: Tables) -> DataFrame:
     w = F.col("w")
-    return _shown(_times(s, d).select("w", timing.time_shift(w, 2, MINUTES).alias("later"), timing.time_shift(w, -1, MINUTES).alias("earlier")))
+    return _shown(k.times.select("w", timing.time_shift(w, 2, MINUTES).alias("later"), timing.time_shift(w, -1, MINUTES).alias("earlier")))
 
 
 @_query("display_time")
-def display_time(s, d):
-    return _shown(_times(s, d).select("w", timing.display_time(F.col("w")).alias("shown")))
+def display_time(k: Tables) -> DataFrame:
+    return _shown(k.times.select("w", timing.display_time(F.col("w")).alias("shown")))
 
 
 @_query("parse_time")
-def parse_time(s, d):
-    text = _times(s, d).select(timing.format_time(F.col("w")).alias("text"))
+def parse_time(k: Tables) -> DataFrame:
+    text = k.times.select(timing.format_time(F.col("w")).alias("text"))
     back = timing.parse_time(F.col("text"))
     return text.select("text", F.unix_seconds(back).alias("epoch"))
 
 
 @_query("cell_count")
-def cell_count(s, d):
+def cell_count(k: Tables) -> DataFrame:
     excluded = 3
-    n = _dense(s, d).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("samples"))
+    n = k.dense.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("samples"))
     count = labels.cell_count(F.col("samples"), 1, GRID.cells, excluded)
     return n.select("samples", count.alias("cells"), labels.sample_count(count, 1, GRID.cells, excluded).alias("back"))
 
@@ -508,143 +406,143 @@ def cell_count(s, d):
 
 
 @_query("edge_lookup")
-def edge_lookup(s, d):
-    return _shown(network.edge_lookup(b.traversal(s, d), b.road_edge(s, d), strict=True).select("traj_id", "seq", "edge_id", "length"))
+def edge_lookup(k: Tables) -> DataFrame:
+    return _shown(network.edge_lookup(k.traversal, k.edge, strict=True).select("traj_id", "seq", "edge_id", "length"))
 
 
 @_query("edge_start_vertex")
-def edge_start_vertex(s, d):
-    rows = network.edge_start_vertex(b.traversal(s, d), b.road_edge(s, d), b.road_vertex(s, d), strict=True)
+def edge_start_vertex(k: Tables) -> DataFrame:
+    rows = network.edge_start_vertex(k.traversal, k.edge, k.vertex, strict=True)
     return _shown(rows.select("traj_id", "seq", "length", "lon", "lat"))
 
 
 @_query("geo_edge_lookup")
-def geo_edge_lookup(s, d):
-    known = b.edge_geo(s, d).filter(F.col("edge_id") % 7 != 0)
-    rows = network.geo_edge_lookup(_trav_2016(s, d), known)
+def geo_edge_lookup(k: Tables) -> DataFrame:
+    known = k.edge_geo.filter(F.col("edge_id") % 7 != 0)
+    rows = network.geo_edge_lookup(k.traversal_2016, known)
     return _shown(rows.select("traj_id", "seq", "edge_length", "road_class", F.col("edge_start.lon").alias("lon")))
 
 
 @_query("subnet_semi")
-def subnet_semi(s, d):
-    return _shown(network.subnet_semi(b.traversal(s, d), b.subnet(s, d)).select("traj_id", "seq", "edge_id", "length"))
+def subnet_semi(k: Tables) -> DataFrame:
+    return _shown(network.subnet_semi(k.traversal, k.subnet).select("traj_id", "seq", "edge_id", "length"))
 
 
 @_query("exclude_no_signal")
-def exclude_no_signal(s, d):
-    return _shown(marks.exclude_no_signal(_panel(s, d), _silent(s, d)))
+def exclude_no_signal(k: Tables) -> DataFrame:
+    return _shown(marks.exclude_no_signal(k.panel, k.silent))
 
 
 @_query("mark_no_signal")
-def mark_no_signal(s, d):
-    return _shown(marks.mark_no_signal(_panel(s, d), _silent(s, d), "speed"))
+def mark_no_signal(k: Tables) -> DataFrame:
+    return _shown(marks.mark_no_signal(k.panel, k.silent, "speed"))
 
 
 @_query("lag_self_join")
-def lag_self_join(s, d):
-    return _shown(features.lag_join(_dense(s, d), {"c1": 1, "c2": 2}, MINUTES, value="speed"))
+def lag_self_join(k: Tables) -> DataFrame:
+    return _shown(features.lag_join(k.dense, {"c1": 1, "c2": 2}, MINUTES, value="speed"))
 
 
 @_query("holiday_semi")
-def holiday_semi(s, d):
-    days = b.table(s, d, "events").select(F.col("ts").cast("date").alias("date")).distinct()
-    return _shown(features.holiday_flag(days, b.holiday(s, d)))
+def holiday_semi(k: Tables) -> DataFrame:
+    days = k.source("events").select(F.col("ts").cast("date").alias("date")).distinct()
+    return _shown(features.holiday_flag(days, k.holiday))
 
 
 @_query("weather_prev_row")
-def weather_prev_row(s, d):
-    return _shown(features.weather_prev_row(b.weather(s, d)))
+def weather_prev_row(k: Tables) -> DataFrame:
+    return _shown(features.weather_prev_row(k.weather))
 
 
 @_query("times_in_set")
-def times_in_set(s, d):
-    after = evaluate.windows_after(evaluate.top_changes(_change(s, d), 50), 2, MINUTES)
-    return _shown(evaluate.times_in_set(_panel(s, d), after))
+def times_in_set(k: Tables) -> DataFrame:
+    after = evaluate.windows_after(evaluate.top_changes(k.change, 50), 2, MINUTES)
+    return _shown(evaluate.times_in_set(k.panel, after))
 
 
-def _diff_test(s, d):
-    train, test = features.train_test_split_tail(_features(s, d), LEN_TEST)
-    return evaluate.diff_test_select(train, test, _change(s, d), 20.0)
+def _diff_test(k: Tables) -> DataFrame:
+    train, test = features.train_test_split_tail(k.features, LEN_TEST)
+    return evaluate.diff_test_select(train, test, k.change, 20.0)
 
 
 @_query("diff_test_select")
-def diff_test_select(s, d):
-    return _shown(_diff_test(s, d))
+def diff_test_select(k: Tables) -> DataFrame:
+    return _shown(_diff_test(k))
 
 
 # Filters and selection.
 
 
 @_query("min_section_length")
-def min_section_length(s, d):
-    return _shown(network.min_section_length(b.road_edge(s, d), 2500).select("edge_id", "length"))
+def min_section_length(k: Tables) -> DataFrame:
+    return _shown(network.min_section_length(k.edge, 2500).select("edge_id", "length"))
 
 
 @_query("drop_last_traversal")
-def drop_last_traversal(s, d):
-    timed = trajectories.travel_seconds(b.traversal(s, d))
+def drop_last_traversal(k: Tables) -> DataFrame:
+    timed = trajectories.travel_seconds(k.traversal)
     return trajectories.drop_last_traversal(timed).select("traj_id", "seq", "edge_id")
 
 
 @_query("drop_first_last")
-def drop_first_last(s, d):
-    return trajectories.drop_first_last(_trav_2016(s, d)).select("traj_id", "seq", "edge_id")
+def drop_first_last(k: Tables) -> DataFrame:
+    return trajectories.drop_first_last(k.traversal_2016).select("traj_id", "seq", "edge_id")
 
 
 @_query("speed_range")
-def speed_range(s, d):
-    return _shown(runs.speed_range(_runs(s, d)).select("traj_id", "run_start", "speed"))
+def speed_range(k: Tables) -> DataFrame:
+    return _shown(runs.speed_range(k.runs).select("traj_id", "run_start", "speed"))
 
 
 CHOSEN = ("20240110080000", "20240112093000")
 
 
 @_query("choose_trajectories")
-def choose_trajectories(s, d):
+def choose_trajectories(k: Tables) -> DataFrame:
     start, end = [timing.parse_second(F.lit(v)) for v in CHOSEN]
-    chosen = trajectories.choose_trajectories(b.trajectory(s, d), start, end)
+    chosen = trajectories.choose_trajectories(k.trajectory, start, end)
     return _shown(trajectories.trajectory_sequence(chosen).select("traj_id", "seq", "edge_id", "t"))
 
 
 @_query("choose_traversals")
-def choose_traversals(s, d):
+def choose_traversals(k: Tables) -> DataFrame:
     start, end = [timing.parse_second(F.lit(v)) for v in CHOSEN]
-    return _shown(trajectories.choose_traversals(b.traversal(s, d), start, end))
+    return _shown(trajectories.choose_traversals(k.traversal, start, end))
 
 
 @_query("trajectory_size")
-def trajectory_size(s, d):
+def trajectory_size(k: Tables) -> DataFrame:
     """Trips of parts of a path: sizes differ by trip."""
-    cut = b.trajectory(s, d).withColumn("path", F.slice("path", 1, (F.col("traj_id") % 20 + 1).cast("int")))
+    cut = k.trajectory.withColumn("path", F.slice("path", 1, (F.col("traj_id") % 20 + 1).cast("int")))
     kept = trajectories.trajectory_size(cut, 5, 12)
     return kept.select("traj_id", F.size("path").alias("edges"))
 
 
 @_query("min_road_num")
-def min_road_num(s, d):
-    return links.min_road_num(links.road_trip_count(_link_stat(s, d)), 4)
+def min_road_num(k: Tables) -> DataFrame:
+    return links.min_road_num(links.road_trip_count(k.link_stat()), 4)
 
 
 @_query("panel_times")
-def panel_times(s, d):
-    return _shown(_times(s, d))
+def panel_times(k: Tables) -> DataFrame:
+    return _shown(k.times)
 
 
 @_query("panel_at")
-def panel_at(s, d):
-    p = _panel(s, d)
+def panel_at(k: Tables) -> DataFrame:
+    p = k.panel
     busiest = p.groupBy("w").agg(F.count(F.lit(1)).alias("n")).agg(F.max_by("w", F.struct("n", "w"))).scalar()
     return _shown(panel.panel_at(p, busiest))
 
 
 @_query("cell_series")
-def cell_series(s, d):
-    return _shown(panel.cell_series(_panel(s, d), 1, 1))
+def cell_series(k: Tables) -> DataFrame:
+    return _shown(panel.cell_series(k.panel, 1, 1))
 
 
 @_query("train_test_split_tail")
-def train_test_split_tail(s, d):
-    train, test = features.train_test_split_tail(_values(s, d), LEN_TEST)
+def train_test_split_tail(k: Tables) -> DataFrame:
+    train, test = features.train_test_split_tail(k.values, LEN_TEST)
     parts = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), timing.format_time(F.min("w")).alias("first_w"))
 
@@ -653,189 +551,188 @@ def train_test_split_tail(s, d):
 
 
 @_query("link_travel_time")
-def link_travel_time(s, d):
-    return _shown(_link_stat(s, d))
+def link_travel_time(k: Tables) -> DataFrame:
+    return _shown(k.link_stat())
 
 
 @_query("cell_travel_time")
-def cell_travel_time(s, d):
-    return _shown(links.cell_travel_time(_link_stat(s, d), b.road_edge(s, d), b.road_vertex(s, d), GRID))
+def cell_travel_time(k: Tables) -> DataFrame:
+    return _shown(links.cell_travel_time(k.link_stat(), k.edge, k.vertex, GRID))
 
 
 @_query("cell_link_travel_time")
-def cell_link_travel_time(s, d):
-    return _shown(_cell_link(s, d))
+def cell_link_travel_time(k: Tables) -> DataFrame:
+    return _shown(k.cell_link)
 
 
 @_query("cell_edge_count")
-def cell_edge_count(s, d):
-    return links.cell_edge_count(_cell_link(s, d))
+def cell_edge_count(k: Tables) -> DataFrame:
+    return links.cell_edge_count(k.cell_link)
 
 
 @_query("cell_speed_from_links")
-def cell_speed_from_links(s, d):
-    return _shown(links.cell_speed_from_links(_cell_link(s, d), b.road_edge(s, d), MINUTES))
+def cell_speed_from_links(k: Tables) -> DataFrame:
+    return _shown(links.cell_speed_from_links(k.cell_link, k.edge, MINUTES))
 
 
 @_query("cell_speed_from_runs")
-def cell_speed_from_runs(s, d):
-    return _shown(_panel(s, d))
+def cell_speed_from_runs(k: Tables) -> DataFrame:
+    return _shown(k.fresh_panel)
 
 
 @_query("cell_condition")
-def cell_condition(s, d):
+def cell_condition(k: Tables) -> DataFrame:
     """Mean speed and congestion label per cell and window, from raw traversals."""
-    return _shown(_panel(s, d).withColumn("label", labels.congestion_label(F.col("speed"))))
+    return _shown(k.fresh_panel.withColumn("label", labels.congestion_label(F.col("speed"))))
 
 
 @_query("cell_speed_from_runs_2016")
-def cell_speed_from_runs_2016(s, d):
-    return _shown(runs.cell_speed(_runs_2016(s, d)))
+def cell_speed_from_runs_2016(k: Tables) -> DataFrame:
+    return _shown(runs.cell_speed(k.runs_2016))
 
 
 @_query("link_speed")
-def link_speed(s, d):
-    return _shown(_link_speed(s, d))
+def link_speed(k: Tables) -> DataFrame:
+    return _shown(k.link_speed)
 
 
 @_query("link_speed_rollup")
-def link_speed_rollup(s, d):
-    smaller = b.subnet(s, d).filter(F.col("road_class") == "0x01")
-    return _shown(links.link_speed_rollup(_link_speed(s, d), smaller, MINUTES))
+def link_speed_rollup(k: Tables) -> DataFrame:
+    smaller = k.subnet.filter(F.col("road_class") == "0x01")
+    return _shown(links.link_speed_rollup(k.link_speed, smaller, MINUTES))
 
 
 @_query("road_trip_count")
-def road_trip_count(s, d):
-    return links.road_trip_count(_link_stat(s, d))
+def road_trip_count(k: Tables) -> DataFrame:
+    return links.road_trip_count(k.link_stat())
 
 
 @_query("road_class_by_count")
-def road_class_by_count(s, d):
-    counts = links.road_trip_count(_link_stat(s, d))
-    return _shown(links.road_class_by_count(counts, b.road_edge(s, d), b.road_vertex(s, d), [2, 5, 10]))
+def road_class_by_count(k: Tables) -> DataFrame:
+    counts = links.road_trip_count(k.link_stat())
+    return _shown(links.road_class_by_count(counts, k.edge, k.vertex, [2, 5, 10]))
 
 
 @_query("no_signal_cells")
-def no_signal_cells(s, d):
-    p = _panel(s, d)
+def no_signal_cells(k: Tables) -> DataFrame:
+    p = k.panel
     times = panel.fill_windows(p, MINUTES, panel.incomplete_days(p, MINUTES))
     return panel.no_signal_cells(p, GRID, times=times)
 
 
 @_query("panel_info")
-def panel_info(s, d):
-    return _shown(panel.panel_info(_dense(s, d), _silent(s, d), GRID))
+def panel_info(k: Tables) -> DataFrame:
+    return _shown(panel.panel_info(k.dense, k.silent, GRID))
 
 
 @_query("integrity_check")
-def integrity_check(s, d):
-    return _shown(panel.integrity_check(_panel(s, d), MINUTES))
+def integrity_check(k: Tables) -> DataFrame:
+    return _shown(panel.integrity_check(k.panel, MINUTES))
 
 
 @_query("label_count")
-def label_count(s, d):
-    return panel.label_count(panel.to_labels(_dense(s, d)))
+def label_count(k: Tables) -> DataFrame:
+    return panel.label_count(panel.to_labels(k.dense))
 
 
 @_query("rmse")
-def rmse(s, d):
-    return _shown(evaluate.rmse(_pred(s, d), _silent(s, d)))
+def rmse(k: Tables) -> DataFrame:
+    return _shown(evaluate.rmse(k.pred, k.silent))
 
 
 @_query("accuracy")
-def accuracy(s, d):
-    return _shown(evaluate.accuracy(_pred(s, d), _silent(s, d)))
+def accuracy(k: Tables) -> DataFrame:
+    return _shown(evaluate.accuracy(k.pred, k.silent))
 
 
 @_query("frame_change")
-def frame_change(s, d):
-    return _shown(_change(s, d))
+def frame_change(k: Tables) -> DataFrame:
+    return _shown(k.change)
 
 
 @_query("compare_after_change")
-def compare_after_change(s, d):
-    preds = {"mean": _pred(s, d), "latest": _pred_lag(s, d)}
-    return _shown(evaluate.compare_after_change(_change(s, d), preds, _silent(s, d), top=300, minutes=MINUTES))
+def compare_after_change(k: Tables) -> DataFrame:
+    preds = {"mean": k.pred, "latest": k.pred_latest}
+    return _shown(evaluate.compare_after_change(k.change, preds, k.silent, top=300, minutes=MINUTES))
 
 
 @_query("mean_predictor")
-def mean_predictor(s, d):
-    cols = features.lag_columns(3, 1, 1)
-    return _shown(evaluate.mean_predictor(_features(s, d), cols).select("w", "x", "y", "predict"))
+def mean_predictor(k: Tables) -> DataFrame:
+    return _shown(evaluate.mean_predictor(k.features, CPT).select("w", "x", "y", "predict"))
 
 
-def _class_rows(s, d):
+def _class_rows(k: Tables) -> DataFrame:
     """Labels of the panel with the weekday and the column of their cell."""
-    lab = panel.to_labels(_panel(s, d))
+    lab = panel.to_labels(k.panel)
     return lab.select("label", "x", F.weekday("w").alias("weekday"))
 
 
 @_query("entropy")
-def entropy(s, d):
-    return _shown(information.entropy(_class_rows(s, d), "label"))
+def entropy(k: Tables) -> DataFrame:
+    return _shown(information.entropy(_class_rows(k), "label"))
 
 
 @_query("information_gain")
-def information_gain(s, d):
-    return _shown(information.information_gain(_class_rows(s, d), "x", "label"))
+def information_gain(k: Tables) -> DataFrame:
+    return _shown(information.information_gain(_class_rows(k), "x", "label"))
 
 
 @_query("majority_label")
-def majority_label(s, d):
-    return _shown(information.majority_label(_class_rows(s, d), ["x", "weekday"], "label"))
+def majority_label(k: Tables) -> DataFrame:
+    return _shown(information.majority_label(_class_rows(k), ["x", "weekday"], "label"))
 
 
 @_query("weather_minmax")
-def weather_minmax(s, d):
-    return _shown(features.weather_minmax(b.weather(s, d)).select("date", *features.WEATHER_SCALED))
+def weather_minmax(k: Tables) -> DataFrame:
+    return _shown(features.weather_minmax(k.weather).select("date", *features.WEATHER_SCALED))
 
 
 # Ordered operators.
 
 
 @_query("cell_runs")
-def cell_runs(s, d):
-    return _shown(_runs(s, d))
+def cell_runs(k: Tables) -> DataFrame:
+    return _shown(k.runs)
 
 
 @_query("cell_runs_2016")
-def cell_runs_2016(s, d):
-    return _shown(_runs_2016(s, d))
+def cell_runs_2016(k: Tables) -> DataFrame:
+    return _shown(k.runs_2016)
 
 
 @_query("travel_seconds")
-def travel_seconds(s, d):
-    return trajectories.travel_seconds(b.traversal(s, d)).select("traj_id", "seq", "seconds")
+def travel_seconds(k: Tables) -> DataFrame:
+    return trajectories.travel_seconds(k.traversal).select("traj_id", "seq", "seconds")
 
 
 @_query("interpolate_gaps")
-def interpolate_gaps(s, d):
-    return _shown(gaps.interpolate_gaps(_dense(s, d), _silent(s, d)))
+def interpolate_gaps(k: Tables) -> DataFrame:
+    return _shown(gaps.interpolate_gaps(k.dense, k.silent))
 
 
 @_query("interpolate_gaps_compat")
-def interpolate_gaps_compat(s, d):
-    return _shown(gaps.interpolate_gaps(_dense(s, d), _silent(s, d), compat=True))
+def interpolate_gaps_compat(k: Tables) -> DataFrame:
+    return _shown(gaps.interpolate_gaps(k.dense, k.silent, compat=True))
 
 
 @_query("fill_low_weight")
-def fill_low_weight(s, d):
-    return _shown(gaps.fill_low_weight(_dense(s, d), _silent(s, d), threshold=2))
+def fill_low_weight(k: Tables) -> DataFrame:
+    return _shown(gaps.fill_low_weight(k.dense, k.silent, threshold=2))
 
 
 @_query("neighbour_max_fill")
-def neighbour_max_fill(s, d):
-    return _shown(gaps.neighbour_max_fill(_dense(s, d), _silent(s, d)))
+def neighbour_max_fill(k: Tables) -> DataFrame:
+    return _shown(gaps.neighbour_max_fill(k.dense, k.silent))
 
 
 @_query("trajectory_sequence")
-def trajectory_sequence(s, d):
-    return trajectories.trajectory_sequence(b.trajectory(s, d)).select("traj_id", "seq", "edge_id", "is_last")
+def trajectory_sequence(k: Tables) -> DataFrame:
+    return trajectories.trajectory_sequence(k.trajectory).select("traj_id", "seq", "edge_id", "is_last")
 
 
 @_query("sliding_sequences")
-def sliding_sequences(s, d):
-    seq = features.sliding_sequences(_dense(s, d), ["x", "y"], ["speed"], 3)
+def sliding_sequences(k: Tables) -> DataFrame:
+    seq = features.sliding_sequences(k.dense, ["x", "y"], ["speed"], 3)
     return _shown(seq.select("w", "x", "y", *[F.col("speed_seq")[k].alias(f"s{k}") for k in range(3)]))
 
 
@@ -843,81 +740,81 @@ def sliding_sequences(s, d):
 
 
 @_query("incomplete_days")
-def incomplete_days(s, d):
-    return _shown(panel.incomplete_days(_panel(s, d), MINUTES, 0.86))
+def incomplete_days(k: Tables) -> DataFrame:
+    return _shown(panel.incomplete_days(k.panel, MINUTES, 0.86))
 
 
 @_query("fill_windows")
-def fill_windows(s, d):
-    p = _panel(s, d)
+def fill_windows(k: Tables) -> DataFrame:
+    p = k.panel
     return _shown(panel.fill_windows(p, MINUTES, panel.incomplete_days(p, MINUTES, 0.86)))
 
 
 @_query("drop_flagged_days")
-def drop_flagged_days(s, d):
-    p = _panel(s, d)
+def drop_flagged_days(k: Tables) -> DataFrame:
+    p = k.panel
     return _shown(panel.drop_flagged_days(p, panel.incomplete_days(p, MINUTES, 0.86)))
 
 
 @_query("densify")
-def densify(s, d):
-    return _shown(_dense(s, d))
+def densify(k: Tables) -> DataFrame:
+    return _shown(k.dense)
 
 
 @_query("complete_panel")
-def complete_panel(s, d):
-    return _shown(_complete(s, d))
+def complete_panel(k: Tables) -> DataFrame:
+    return _shown(k.complete)
 
 
 @_query("complete_days_only")
-def complete_days_only(s, d):
-    return _shown(panel.complete_days_only(_complete(s, d), MINUTES))
+def complete_days_only(k: Tables) -> DataFrame:
+    return _shown(panel.complete_days_only(k.complete, MINUTES))
 
 
 @_query("complete_days_only_compat")
-def complete_days_only_compat(s, d):
-    return _shown(panel.complete_days_only(_panel(s, d), MINUTES, compat=True))
+def complete_days_only_compat(k: Tables) -> DataFrame:
+    return _shown(panel.complete_days_only(k.panel, MINUTES, compat=True))
 
 
 @_query("preprocess_panel")
-def preprocess_panel(s, d):
-    return _shown(_clean(s, d))
+def preprocess_panel(k: Tables) -> DataFrame:
+    return _shown(_clean(k))
 
 
 @_query("preprocess_panel_low_weight")
-def preprocess_panel_low_weight(s, d):
-    return _shown(panel.preprocess_panel(_panel(s, d), GRID, MINUTES, "low_weight"))
+def preprocess_panel_low_weight(k: Tables) -> DataFrame:
+    return _shown(panel.preprocess_panel(k.panel, GRID, MINUTES, "low_weight"))
 
 
 # Features, samples, models.
 
 
 @_query("cpt_features")
-def cpt_features(s, d):
-    return _shown(_features(s, d))
+def cpt_features(k: Tables) -> DataFrame:
+    return _shown(k.features)
 
 
 @_query("external_features")
-def external_features(s, d):
-    return _shown(_external(s, d))
+def external_features(k: Tables) -> DataFrame:
+    return _shown(features.external_features(panel.panel_times(k.values), k.holiday, k.weather))
 
 
 @_query("cell_samples")
-def cell_samples(s, d):
-    f = _features(s, d)
-    ext = features.external_features(panel.panel_times(f), b.holiday(s, d), b.weather(s, d))
-    return _shown(features.cell_samples(f, ext, _silent(s, d)))
+def cell_samples(k: Tables) -> DataFrame:
+    f = k.features
+    ext = features.external_features(panel.panel_times(f), k.holiday, k.weather)
+    return _shown(features.cell_samples(f, ext, k.silent))
 
 
 @_query("cells_to_frame")
-def cells_to_frame(s, d):
-    kept = marks.exclude_no_signal(_pred(s, d), _silent(s, d))
+def cells_to_frame(k: Tables) -> DataFrame:
+    kept = marks.exclude_no_signal(k.pred, k.silent)
     return _shown(features.cells_to_frame(kept, GRID, default=-1.0))
 
 
-def _dataset(s, d, scaled=True):
+def _dataset(k: Tables, scaled=True):
     return features.load_dataset(
-        [_panel(s, d)], GRID, MINUTES, _silent(s, d), LEN_TEST, holiday=b.holiday(s, d), weather=b.weather(s, d), scaled=scaled
+        [k.panel], GRID, MINUTES, k.silent, LEN_TEST, holiday=k.holiday, weather=k.weather, scaled=scaled
     )
 
 
@@ -926,14 +823,14 @@ def _both(ds: features.Dataset) -> DataFrame:
 
 
 @_query("load_dataset")
-def load_dataset(s, d):
-    return _shown(_both(_dataset(s, d)).drop("source_id"))
+def load_dataset(k: Tables) -> DataFrame:
+    return _shown(_both(_dataset(k)).drop("source_id"))
 
 
 @_query("multi_file_union")
-def multi_file_union(s, d):
+def multi_file_union(k: Tables) -> DataFrame:
     """Two halves of the month as two sources; lags stay within each."""
-    p = _panel(s, d)
+    p = k.panel
     middle = F.to_timestamp(F.lit("20240116"), "yyyyMMdd")
     halves = panel.panel_union([p.filter(F.col("w") < middle), p.filter(F.col("w") >= middle)])
     dense = panel.densify(halves, GRID, by=["source_id"])
@@ -941,95 +838,92 @@ def multi_file_union(s, d):
 
 
 @_query("test_on_change")
-def test_on_change(s, d):
-    ds = _dataset(s, d, scaled=False)
-    chosen = evaluate.diff_test_select(ds.train, ds.test, _change(s, d), 20.0)
+def test_on_change(k: Tables) -> DataFrame:
+    ds = _dataset(k, scaled=False)
+    chosen = evaluate.diff_test_select(ds.train, ds.test, k.change, 20.0)
     return _shown(chosen.drop("source_id"))
 
 
-CPT = features.lag_columns(3, 1, 1)
-
-
-def _tree_rows(s, d):
-    rows = _labelled(s, d)
+def _tree_rows(k: Tables) -> DataFrame:
+    rows = k.labelled
     train, test = features.train_test_split_tail(rows, LEN_TEST)
     return train, test
 
 
 @_query("level_tree_fit")
-def level_tree_fit(s, d):
-    train, _ = _tree_rows(s, d)
+def level_tree_fit(k: Tables) -> DataFrame:
+    train, _ = _tree_rows(k)
     return _shown(trees.level_tree_fit(train, CPT[:3], CPT[3:4], CPT[4:], label="value"))
 
 
 @_query("level_tree_predict")
-def level_tree_predict(s, d):
-    train, test = _tree_rows(s, d)
+def level_tree_predict(k: Tables) -> DataFrame:
+    train, test = _tree_rows(k)
     nodes = trees.level_tree_fit(train, CPT[:3], CPT[3:4], CPT[4:], label="value")
     return _shown(trees.level_tree_predict(test, nodes, CPT).select("w", "x", "y", "value", "predict"))
 
 
-def _scored(s, d, pipeline, labelled=True):
-    rows = _labelled(s, d) if labelled else _features(s, d)
+def _scored(k: Tables, pipeline, labelled=True):
+    rows = k.labelled if labelled else k.features
     train, test = features.train_test_split_tail(rows, LEN_TEST)
     return models.predict(pipeline.fit(train), test)
 
 
 @_query("dt_classifier")
-def dt_classifier(s, d):
-    return _scored(s, d, models.dt_classifier(CPT)).select("x", "y", "predict", "real")
+def dt_classifier(k: Tables) -> DataFrame:
+    return _scored(k, models.dt_classifier(CPT)).select("x", "y", "predict", "real")
 
 
 @_query("dt_regressor")
-def dt_regressor(s, d):
-    return _shown(_scored(s, d, models.dt_regressor(CPT), labelled=False).select("x", "y", "predict", "real"))
+def dt_regressor(k: Tables) -> DataFrame:
+    return _shown(_scored(k, models.dt_regressor(CPT), labelled=False).select("x", "y", "predict", "real"))
 
 
 @_query("rf_classifier")
-def rf_classifier(s, d):
-    return _scored(s, d, models.rf_classifier(CPT)).select("x", "y", "predict", "real")
+def rf_classifier(k: Tables) -> DataFrame:
+    return _scored(k, models.rf_classifier(CPT)).select("x", "y", "predict", "real")
 
 
 @_query("grid_search")
-def grid_search(s, d):
+def grid_search(k: Tables) -> DataFrame:
     """Accuracy of each parameter choice."""
     pipeline = models.dt_classifier(CPT)
     tree = pipeline.getStages()[-1]
     grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 6]).addGrid(tree.impurity, ["gini", "entropy"]).build()
     evaluator = MulticlassClassificationEvaluator(labelCol="value", metricName="accuracy")
-    train, _ = _tree_rows(s, d)
+    train, _ = _tree_rows(k)
     found = models.grid_search(pipeline, grid, evaluator, train, folds=2)
     rows = [
         (*[str(v) for _, v in sorted((p.name, v) for p, v in params.items())], float(m))
         for params, m in zip(grid, found.avgMetrics, strict=True)
     ]
-    return _shown(s.createDataFrame(rows, "impurity string, max_depth string, accuracy double"))
+    return _shown(k.spark.createDataFrame(rows, "impurity string, max_depth string, accuracy double"))
 
 
 @_query("model_report")
-def model_report(s, d):
+def model_report(k: Tables) -> DataFrame:
     """Mean of the scaled lags, brought back and scored."""
-    ds = _dataset(s, d)
+    ds = _dataset(k)
     pred = evaluate.mean_predictor(ds.test, CPT).withColumn("real", F.col("value"))
     return _shown(models.model_report(pred, ds.scale))
 
 
 @_query("sweep_report")
-def sweep_report(s, d):
+def sweep_report(k: Tables) -> DataFrame:
     methods = {"mean": models.mean_method}
-    return _shown(models.sweep_report(_values(s, d), MINUTES, [1, 2, 3], methods, LEN_TEST, no_signal=_silent(s, d)))
+    return _shown(models.sweep_report(k.values, MINUTES, [1, 2, 3], methods, LEN_TEST, no_signal=k.silent))
 
 
 @_query("sweep_report_tree")
-def sweep_report_tree(s, d):
+def sweep_report_tree(k: Tables) -> DataFrame:
     methods = {"mean": models.mean_method, "tree": models.tree_method}
-    return _shown(models.sweep_report(_values(s, d), MINUTES, [1, 2], methods, LEN_TEST, kind="period"))
+    return _shown(models.sweep_report(k.values, MINUTES, [1, 2], methods, LEN_TEST, kind="period"))
 
 
 @_query("weather_pages")
-def weather_pages(s, d):
+def weather_pages(k: Tables) -> DataFrame:
     """Monthly pages made of the weather rows, at most 31 days each, read back."""
-    w = b.weather(s, d)
+    w = k.weather
     item = F.concat(
         F.lit('<ul><li><a href="#">'), F.date_format("date", "yyyy-MM-dd"), F.lit("</a></li>"),
         *[F.concat(F.lit("<li>"), c, F.lit("</li>")) for c in (
@@ -1046,9 +940,9 @@ def weather_pages(s, d):
 
 
 @_query("trajectory_polyline")
-def trajectory_polyline(s, d):
-    starts = network.edge_starts(b.road_edge(s, d), b.road_vertex(s, d))
-    lines = trajectories.trajectory_polyline(b.traversal(s, d), starts)
+def trajectory_polyline(k: Tables) -> DataFrame:
+    starts = network.edge_starts(k.edge, k.vertex)
+    lines = trajectories.trajectory_polyline(k.traversal, starts)
     text = F.array_join(F.transform("points", lambda p: F.concat_ws(
         " ", timing.format_second(p["t"]), F.round(p["lon"] * 1000).cast("bigint").cast("string"), F.round(p["lat"] * 1000).cast("bigint").cast("string"),
     )), ";")
@@ -1057,6 +951,3 @@ def trajectory_polyline(s, d):
 
 def queries() -> dict[str, Query]:
     return dict(_registry)
-
-
-SLOTS_PER_DAY = windows_per_day(MINUTES)
