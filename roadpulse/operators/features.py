@@ -144,8 +144,13 @@ def weather_prev_row(weather: DataFrame) -> DataFrame:
 
 def weather_minmax(slots: DataFrame) -> DataFrame:
     """Scale wind, max_t and min_t to 0..1 over the given slots; a constant column becomes 0."""
-    for name in ("wind", "max_t", "min_t"):
-        slots = minmax_scale(slots, name, minmax_fit(slots, name), 0.0, 1.0, f"{name}_scaled")
+    names = ("wind", "max_t", "min_t")
+    bounds = [F.struct(F.min(n).cast("double").alias("lo"), F.max(n).cast("double").alias("hi")).alias(n) for n in names]
+    limits = slots.agg(F.struct(*bounds)).scalar()
+    for name in names:
+        lo, hi = limits[name]["lo"], limits[name]["hi"]
+        unit = (F.col(name) - lo) / F.nullif(hi - lo, F.lit(0.0))
+        slots = slots.withColumn(f"{name}_scaled", F.when(F.col(name).isNotNull(), F.coalesce(unit, F.lit(0.0))))
     return slots
 
 

@@ -17,37 +17,40 @@ from roadpulse.spec import MAX_SPEED, MIN_SPEED, ROAD_CLASSES, GridSpec
 EDGE_PIECES = -1
 
 
-def _runs(steps: DataFrame, chunk: int, seconds: Column | None = None) -> DataFrame:
-    """Merge consecutive usable steps of one cell and window.
+def _place(usable: Column, x: Column, y: Column, w: Column) -> Column:
+    """Cell and window of a usable step, null for one that ends the run before it."""
+    return F.when(usable, F.struct(x.alias("x"), y.alias("y"), w.alias("w"))).alias("place")
 
-    ``steps``: traj_id, seq, t, w, x, y, length and ``usable``; a step that is not usable ends
-    the run before it. Without ``seconds`` the time until the next step is taken and the last
-    step, which has none, is left out.
+
+def _runs(steps: DataFrame, chunk: int, timed: bool) -> DataFrame:
+    """Merge consecutive steps of one cell and window.
+
+    ``steps``: traj_id, seq, length, ``place`` and, when ``timed``, seconds; otherwise t, from
+    which the time until the next step is taken. A trip's last step then has none and is left
+    out.
 
     Runs are built per chunk of a trip. A run that crosses a chunk's edge comes out in pieces;
     only those (at most two per chunk) are brought together in a second, small step.
     """
-    seen = with_edge_copies(steps, "seq", chunk, before=True, after=True)
     order = chunk_window("traj_id", "seq")
-    place = F.when(F.col("usable"), F.struct("x", "y", "w"))
     own = is_own("seq", chunk)
-    seen = seen.withColumn("_place", place)
-    seen = seen.withColumn("_before", F.lag("_place").over(order)).withColumn(
-        "_after", F.lead("_place").over(order)
+    seconds = F.col("seconds") if timed else seconds_between(F.col("t"), F.lead("t").over(order))
+    seen = with_edge_copies(steps, "seq", chunk, before=True, after=True).withColumns(
+        {
+            "_before": F.lag("place").over(order),
+            "_after": F.lead("place").over(order),
+            "_seconds": seconds,
+        }
     )
-    if seconds is None:
-        seen = seen.withColumn("_next_t", F.lead("t").over(order))
-        seconds = seconds_between(F.col("t"), F.col("_next_t"))
-    opens = own & F.col("usable") & ~F.col("_before").eqNullSafe(F.col("_place"))
-    seen = seen.withColumn("_opens_at", F.when(opens, F.col("seq")))
+    opens = own & F.col("place").isNotNull() & ~F.col("_before").eqNullSafe(F.col("place"))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = seen.withColumn("run_start", F.last("_opens_at", ignorenulls=True).over(so_far))
-    seen = seen.withColumn("_seconds", seconds)
-    goes_on = (F.col("seq") % chunk == chunk - 1) & F.col("_after").eqNullSafe(F.col("_place"))
+    started = F.last(F.when(opens, F.col("seq")), ignorenulls=True).over(so_far)
+    goes_on = (F.col("seq") % chunk == chunk - 1) & F.col("_after").eqNullSafe(F.col("place"))
 
     pieces = (
-        seen.filter(own & F.col("usable") & F.col("_seconds").isNotNull())
-        .groupBy("traj_id", CHUNK_COL, "run_start", "x", "y", "w")
+        seen.withColumn("run_start", started)
+        .filter(own & F.col("place").isNotNull() & F.col("_seconds").isNotNull())
+        .groupBy("traj_id", CHUNK_COL, "run_start", "place")
         .agg(
             F.count(F.lit(1)).alias("edges"),
             F.sum("length").alias("length"),
@@ -64,11 +67,10 @@ def _runs(steps: DataFrame, chunk: int, seconds: Column | None = None) -> DataFr
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     pieces = pieces.withColumn("run_start", F.last("run_start", ignorenulls=True).over(joined))
-    return pieces.groupBy("traj_id", "_group", "run_start", "x", "y", "w").agg(
-        F.sum("edges").alias("edges"),
-        F.sum("length").alias("length"),
-        F.sum("seconds").alias("seconds"),
-    ).drop("_group")
+    runs = pieces.groupBy("traj_id", "_group", "run_start", "place").agg(
+        F.sum("edges").alias("edges"), F.sum("length").alias("length"), F.sum("seconds").alias("seconds")
+    )
+    return runs.select("traj_id", "run_start", "place.x", "place.y", "place.w", "edges", "length", "seconds")
 
 
 def cell_runs(
@@ -79,15 +81,11 @@ def cell_runs(
     Edges outside the box end a run; a trip's last edge is left out; runs without elapsed time
     are dropped. Speed is total length over total seconds.
     """
-    cells = edge_cells(edge, vertex, grid)
-    steps = (
-        trav.select("traj_id", "seq", "edge_id", "t")
-        .join(cells, "edge_id")
-        .withColumn("w", window_floor(F.col("t"), minutes))
-        .withColumn("usable", F.col("x") >= 0)
-        .drop("edge_id")
+    w = window_floor(F.col("t"), minutes)
+    steps = trav.join(edge_cells(edge, vertex, grid), "edge_id").select(
+        "traj_id", "seq", "t", "length", _place(F.col("x") >= 0, F.col("x"), F.col("y"), w)
     )
-    return with_run_speed(_runs(steps, chunk))
+    return with_run_speed(_runs(steps, chunk, timed=False))
 
 
 def with_run_speed(runs: DataFrame) -> DataFrame:
@@ -111,28 +109,23 @@ def cell_runs_2016(
     around it. The first and last edge count with their driven part only, and all edges are
     used because the end time is known. Runs outside the speed range are dropped.
     """
-    steps = geo_edge_lookup(trav, edge_geo)
     at = segment_point(F.col("seq"), F.col("n"), F.col("start_pt"), F.col("end_pt"), F.col("edge_start"))
     length = (
         F.when(F.col("seq") == 0, F.col("first_len"))
         .when(F.col("seq") == F.col("n") - 1, F.col("last_len"))
         .otherwise(F.col("edge_length"))
-        .cast("double")
     )
-    steps = steps.withColumn("_at", at).select(
+    located = geo_edge_lookup(trav, edge_geo).withColumn("_at", at)
+    located = located.withColumn("_xy", grid_xy(F.col("_at.lon"), F.col("_at.lat"), grid))
+    usable = in_road_class(F.col("road_class"), classes) & (F.col("_xy.x") >= 0)
+    steps = located.select(
         "traj_id",
         "seq",
         "seconds",
-        window_floor(F.col("t"), minutes).alias("w"),
-        grid_xy(F.col("_at.lon"), F.col("_at.lat"), grid).alias("_xy"),
-        length.alias("length"),
-        in_road_class(F.col("road_class"), classes).alias("_eligible"),
-    )
-    steps = steps.select(
-        "traj_id", "seq", "seconds", "w", "_xy.x", "_xy.y", "length",
-        (F.col("_eligible") & (F.col("_xy.x") >= 0)).alias("usable"),
+        length.cast("double").alias("length"),
+        _place(usable, F.col("_xy.x"), F.col("_xy.y"), window_floor(F.col("t"), minutes)),
     )
-    return speed_range(with_run_speed(_runs(steps, chunk, F.col("seconds"))), low, high)
+    return speed_range(with_run_speed(_runs(steps, chunk, timed=True)), low, high)
 
 
 def speed_range(df: DataFrame, low: float = MIN_SPEED, high: float = MAX_SPEED) -> DataFrame:

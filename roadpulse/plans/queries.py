@@ -778,7 +778,7 @@ def complete_days_only_compat(k: Tables) -> DataFrame:
 
 @_query("preprocess_panel")
 def preprocess_panel(k: Tables) -> DataFrame:
-    return _shown(_clean(k))
+    return _shown(panel.preprocess_panel(k.panel, GRID, MINUTES))
 
 
 @_query("preprocess_panel_low_weight")
