@@ -18,11 +18,13 @@ from roadpulse.functions.scaling import minmax_fit, minmax_scale
 from roadpulse.functions.timing import time_shift
 from roadpulse.operators.marks import exclude_no_signal
 from roadpulse.operators.panel import (
-    complete_days_only,
+    complete_days,
     complete_panel,
+    complete_times,
     day_of,
     densify,
     grid_frame,
+    keep_days,
     panel_times,
     panel_union,
     rank_windows,
@@ -263,11 +265,14 @@ def load_dataset(
     by = ["source_id"]
     union = panel_union(panels)
     if complete:
+        times = complete_times(union, minutes, by)
         dense = complete_panel(union, grid, minutes, no_signal, complete_value, by=by)
     else:
+        times = panel_times(union, by)
         dense = densify(union, grid, by=by)
-    days = complete_days_only(stage(dense, "dense"), minutes, compat, by)
-    values = stage(days.select(*by, "w", "x", "y", F.col("speed").cast("double").alias("value")), "values")
+    # Whole days are found on the windows alone, before any cell is built.
+    kept = keep_days(dense, complete_days(times, minutes, compat, by), by)
+    values = stage(kept.select(*by, "w", "x", "y", F.col("speed").cast("double").alias("value")), "values")
 
     scale = None
     if scaled:

@@ -160,16 +160,16 @@ def complete_panel(
     return own.unionByName(added)
 
 
-def complete_days_only(
-    panel: DataFrame, minutes: int, compat: bool = False, by: Sequence[str] = ()
+def complete_days(
+    times: DataFrame, minutes: int, compat: bool = False, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Keep days that have all their windows.
+    """(day) of the days that have all their windows.
 
     ``compat`` also stops at the first day that starts at midnight but is not complete: it and
     all later days are lost.
     """
     whole = windows_per_day(check_window(minutes))
-    days = panel_times(panel, by).groupBy(*by, day_of().alias("day")).agg(
+    days = times.groupBy(*by, day_of().alias("day")).agg(
         F.count(F.lit(1)).alias("windows"),
         F.bool_or(F.col("w") == F.col("w").cast("date").cast("timestamp")).alias("from_midnight"),
     )
@@ -178,13 +178,26 @@ def complete_days_only(
         stop = days.filter((F.col("windows") != whole) & F.col("from_midnight")).groupBy(*by).agg(
             F.min("day").alias("_stop")
         )
-        if by:
-            good = good.join(stop, list(by), "left")
-        else:
-            good = good.withColumn("_stop", stop.scalar())
+        good = good.join(stop, list(by), "left") if by else good.withColumn("_stop", stop.scalar())
         good = good.filter(F.col("_stop").isNull() | (F.col("day") < F.col("_stop")))
-    kept = panel.withColumn("day", day_of()).join(good.select(*by, "day"), [*by, "day"], "left_semi")
-    return kept.drop("day")
+    return good.select(*by, "day")
+
+
+def keep_days(panel: DataFrame, days: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return panel.withColumn("day", day_of()).join(days, [*by, "day"], "left_semi").drop("day")
+
+
+def complete_days_only(
+    panel: DataFrame, minutes: int, compat: bool = False, by: Sequence[str] = ()
+) -> DataFrame:
+    """Keep days that have all their windows; for ``compat`` see :func:`complete_days`."""
+    return keep_days(panel, complete_days(panel_times(panel, by), minutes, compat, by), by)
+
+
+def complete_times(panel: DataFrame, minutes: int, by: Sequence[str] = ()) -> DataFrame:
+    """Windows of :func:`complete_panel`, without building its cells."""
+    times = panel_times(panel, by)
+    return times.unionByName(missing_windows(times, minutes, by))
 
 
 def no_signal_cells(

@@ -14,17 +14,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.operators.information import majority_of_counts, value_entropy
-from roadpulse.session import cut_lineage
+from roadpulse.session import cut_lineage, stage
 
 ROOT = "root"
-# Node tables up to this many rows are broadcast; the count is taken from the finished level.
+# Node tables up to this many rows are broadcast; the count is taken from the finished table.
 BROADCAST_NODES = 100_000
+# Samples are stored every so many levels; in between they follow a chain of node lookups.
+STORE_EVERY = 4
 
 
-def _sized(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with a broadcast hint when it is small. It must be a finished stage."""
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    return F.broadcast(nodes) if few else nodes
+def _sized(nodes: DataFrame, rows: int) -> DataFrame:
+    """``nodes`` with a broadcast hint when its row count allows one."""
+    return F.broadcast(nodes) if rows <= BROADCAST_NODES else nodes
 
 
 def _attribute(names: Sequence[str], chosen: Column) -> Column:
@@ -39,6 +40,28 @@ def _child(node: Column, attr: Column, value: Column) -> Column:
     return F.concat(node, F.lit("/"), attr, F.lit("="), value.cast("string"))
 
 
+def _candidates(families: Sequence[Sequence[str]], externals: Sequence[str]) -> Column:
+    """What a sample's node may split on, as (ord, attr, value).
+
+    The first entry belongs to no attribute: its counts are those of the node itself.
+    """
+    names = [name for family in families for name in family] + list(externals)
+    order = {name: i for i, name in enumerate(names)}
+
+    def option(name: str) -> Column:
+        return F.struct(F.lit(order[name]).alias("ord"), F.lit(name).alias("attr"), F.col(name).alias("value"))
+
+    whole = F.struct(
+        F.lit(-1).alias("ord"), F.lit(None).cast("string").alias("attr"), F.lit(None).cast("double").alias("value")
+    )
+    options = [whole]
+    # Lags of a family are used in order, so the number used so far names the next one.
+    for i, family in enumerate(families):
+        options += [F.when(F.col(f"used_{i}") == k, option(name)) for k, name in enumerate(family)]
+    options += [F.when(~F.array_contains("used_externals", name), option(name)) for name in externals]
+    return F.array_compact(F.array(*options))
+
+
 def level_tree_fit(
     samples: DataFrame,
     closeness: Sequence[str],
@@ -56,14 +79,14 @@ def level_tree_fit(
 
     A node becomes a leaf when its majority label exceeds ``min_confidence``, when it has no
     more than ``min_support`` samples, or when no candidate is left. A best gain of zero still
-    splits.
+    splits. Each level takes one pass over the samples.
     """
     families = [list(closeness)[:max_c], list(period)[:max_d], list(trend)[:max_w]]
     attrs = [*closeness, *period, *trend, *externals]
-    rows = samples.select(*[F.col(a).cast("double").alias(a) for a in attrs], F.col(label).cast("int").alias("label"))
-    # Lags of a family are used in order, so the number used so far names the next candidate.
-    rows = rows.select(
-        "*",
+    branch = ["node", "parent", "attr", "value"]
+    rows = samples.select(
+        *[F.col(a).cast("double").alias(a) for a in attrs],
+        F.col(label).cast("int").alias("label"),
         F.lit(ROOT).alias("node"),
         F.lit(None).cast("string").alias("parent"),
         F.lit(None).cast("string").alias("attr"),
@@ -71,69 +94,56 @@ def level_tree_fit(
         *[F.lit(0).alias(f"used_{i}") for i in range(3)],
         F.array().cast("array<string>").alias("used_externals"),
     )
-    order = {name: i for i, name in enumerate([*closeness, *period, *trend, *externals])}
-
-    def candidates() -> Column:
-        options = []
-        for i, family in enumerate(families):
-            for k, name in enumerate(family):
-                options.append(F.when(F.col(f"used_{i}") == k, _option(name)))
-        for name in externals:
-            options.append(F.when(~F.array_contains("used_externals", name), _option(name)))
-        return F.array_compact(F.array(*options))
-
-    def _option(name: str) -> Column:
-        return F.struct(F.lit(order[name]).alias("ord"), F.lit(name).alias("attr"), F.col(name).alias("value"))
 
     levels: list[DataFrame] = []
-    level = 0
     while True:
-        branch = ["node", "parent", "attr", "value"]
-        counts = rows.groupBy(*branch, "label").agg(F.count(F.lit(1)).alias("n"))
-        stats = cut_lineage(majority_of_counts(counts, branch, "label").withColumn("level", F.lit(level)))
-        open_nodes = stats.filter((F.col("confidence") <= min_confidence) & (F.col("support") > min_support))
-        rows = rows.join(_sized(open_nodes.select("node")), "node", "left_semi")
-
-        shown = rows.select("node", "label", F.explode(candidates()).alias("_o"))
-        seen = shown.groupBy("node", "_o.ord", "_o.attr", "_o.value", "label").agg(F.count(F.lit(1)).alias("n"))
-        rest = value_entropy(seen, ["node", "ord", "attr", "value"]).groupBy("node", "ord", "attr").agg(
-            # Rounded, so that equal gains summed in another order stay equal.
-            F.round(F.sum(F.col("n") * F.col("entropy")) / F.sum("n"), 12).alias("rest")
-        )
-        splits = cut_lineage(
-            rest.groupBy("node").agg(F.min_by("attr", F.struct("rest", "ord")).alias("split_attr"))
-        )
-        levels.append(stats.join(splits, "node", "left"))
-        if splits.isEmpty():
+        level = len(levels)
+        shown = rows.select(*branch, "label", F.explode(_candidates(families, externals)).alias("option"))
+        counts = shown.groupBy(*branch, "option", "label").agg(F.count(F.lit(1)).alias("n"))
+        counts = stage(counts, "tree-counts")
+
+        nodes = majority_of_counts(counts.filter("option.ord < 0"), branch, "label").withColumn("level", F.lit(level))
+        is_open = (F.col("confidence") <= min_confidence) & (F.col("support") > min_support)
+        # Rounded, so that equal gains summed in another order stay equal.
+        rest = F.round(F.sum(F.col("n") * F.col("entropy")) / F.sum("n"), 12).alias("rest")
+        gains = value_entropy(counts.filter("option.ord >= 0"), ["node", "option"]).groupBy(
+            "node", "option.ord", "option.attr"
+        ).agg(rest)
+        best = gains.groupBy("node").agg(F.min_by("attr", F.struct("rest", "ord")).alias("split_attr"))
+        nodes = nodes.join(best, "node", "left").withColumn("split_attr", F.when(is_open, F.col("split_attr")))
+        nodes = stage(nodes, "tree-nodes")
+        levels.append(nodes)
+
+        splits = nodes.filter(F.col("split_attr").isNotNull()).select("node", "split_attr")
+        open_nodes = splits.count()
+        if open_nodes == 0:
             break
-        moved = rows.drop("parent", "attr", "value").join(_sized(splits), "node")
         chosen = F.col("split_attr")
         value = _attribute(attrs, chosen)
         used = [
             (F.col(f"used_{i}") + chosen.isin(list(family)).cast("int")).alias(f"used_{i}")
             for i, family in enumerate((closeness, period, trend))
         ]
-        external = F.when(
+        used_externals = F.when(
             chosen.isin(list(externals)), F.array_append("used_externals", chosen)
         ).otherwise(F.col("used_externals"))
-        rows = cut_lineage(
-            moved.select(
-                *attrs,
-                "label",
-                _child(F.col("node"), chosen, value).alias("node"),
-                F.col("node").alias("parent"),
-                chosen.alias("attr"),
-                value.alias("value"),
-                *used,
-                external.alias("used_externals"),
-            )
+        rows = rows.drop("parent", "attr", "value").join(_sized(splits, open_nodes), "node").select(
+            *attrs,
+            "label",
+            _child(F.col("node"), chosen, value).alias("node"),
+            F.col("node").alias("parent"),
+            chosen.alias("attr"),
+            value.alias("value"),
+            *used,
+            used_externals.alias("used_externals"),
         )
-        level += 1
+        if (level + 1) % STORE_EVERY == 0:
+            rows = cut_lineage(rows)
 
-    nodes = levels[0]
+    tree = levels[0]
     for other in levels[1:]:
-        nodes = nodes.unionByName(other)
-    return nodes
+        tree = tree.unionByName(other)
+    return tree
 
 
 def _nearest_children(asked: DataFrame, children: DataFrame) -> DataFrame:
@@ -142,9 +152,10 @@ def _nearest_children(asked: DataFrame, children: DataFrame) -> DataFrame:
     Asked values and children are ordered together per node, so each asked value meets only
     its two neighbours. Of two equally near children the one with the smaller value is taken.
     """
-    both = children.select(
-        F.col("parent").alias("node"), "value", F.struct(F.col("value").alias("v"), F.col("node").alias("child")).alias("_c")
-    ).unionByName(asked.withColumn("_c", F.lit(None).cast("struct<v:double,child:string>")))
+    child = F.struct(F.col("value").alias("v"), F.col("node").alias("child")).alias("_c")
+    both = children.select(F.col("parent").alias("node"), "value", child).unionByName(
+        asked.withColumn("_c", F.lit(None).cast("struct<v:double,child:string>"))
+    )
     start = Window.unboundedPreceding, Window.currentRow
     up = Window.partitionBy("node").orderBy("value", F.col("_c").isNull()).rowsBetween(*start)
     down = Window.partitionBy("node").orderBy(F.col("value").desc(), F.col("_c").isNull()).rowsBetween(*start)
@@ -152,26 +163,39 @@ def _nearest_children(asked: DataFrame, children: DataFrame) -> DataFrame:
     both = both.withColumn("_above", F.last("_c", ignorenulls=True).over(down))
     below, above = F.col("_below"), F.col("_above")
     lower_is_nearer = above.isNull() | (F.col("value") - below["v"] <= above["v"] - F.col("value"))
-    child = F.when(below.isNotNull() & lower_is_nearer, below["child"]).otherwise(above["child"])
-    return both.filter(F.col("_c").isNull()).select("node", "value", child.alias("child"))
+    nearest = F.when(below.isNotNull() & lower_is_nearer, below["child"]).otherwise(above["child"])
+    return both.filter(F.col("_c").isNull()).select("node", "value", nearest.alias("child"))
 
 
 def level_tree_predict(samples: DataFrame, nodes: DataFrame, attrs: Sequence[str]) -> DataFrame:
-    """Add ``predict``: walk from the root to a leaf, at each split to the nearest child."""
-    nodes = cut_lineage(nodes)
-    depth = nodes.agg(F.max("level").alias("depth")).first()["depth"]
-    rows = samples.withColumn("node", F.lit(ROOT))
+    """Add ``predict``: walk from the root to a leaf, at each split to the nearest child.
+
+    Per level the distinct (node, value) pairs find their child once, and samples look it up.
+    A sample carries its node's split column (null at a leaf).
+    """
+    root = nodes.filter(F.col("node") == ROOT).select("label", "split_attr").first()
+    depth = nodes.agg(F.max("level")).first()[0]
+    rows = samples.withColumns(
+        {"node": F.lit(ROOT), "split_attr": F.lit(root["split_attr"]).cast("string"), "predict": F.lit(root["label"])}
+    )
     for level in range(depth):
-        here = nodes.filter((F.col("level") == level) & F.col("split_attr").isNotNull()).select("node", "split_attr")
-        rows = rows.join(_sized(here), "node", "left")
-        value = F.when(F.col("split_attr").isNotNull(), _attribute(attrs, F.col("split_attr")))
-        rows = rows.withColumn("_value", value.cast("double"))
+        rows = rows.withColumn("_value", _attribute(attrs, F.col("split_attr")).cast("double"))
         asked = rows.filter(F.col("split_attr").isNotNull()).select("node", F.col("_value").alias("value")).distinct()
         children = nodes.filter(F.col("level") == level + 1)
-        steps = cut_lineage(_nearest_children(asked, children))
-        steps = steps.withColumnRenamed("value", "_value")
-        rows = rows.join(_sized(steps), ["node", "_value"], "left")
-        rows = rows.withColumn("node", F.coalesce("child", "node")).drop("child", "_value", "split_attr")
-        rows = cut_lineage(rows)
-    labels = nodes.select("node", F.col("label").alias("predict"))
-    return rows.join(_sized(labels), "node").drop("node")
+        below = children.select(
+            F.col("node").alias("child"), F.col("split_attr").alias("_split"), F.col("label").alias("_label")
+        )
+        steps = _nearest_children(asked, children).join(below, "child").withColumnRenamed("value", "_value")
+        steps = stage(steps, "tree-steps")
+        rows = rows.join(_sized(steps, steps.count()), ["node", "_value"], "left")
+        moved = F.col("child").isNotNull()
+        rows = rows.withColumns(
+            {
+                "node": F.coalesce("child", "node"),
+                "predict": F.when(moved, F.col("_label")).otherwise(F.col("predict")),
+                "split_attr": F.col("_split"),
+            }
+        ).drop("child", "_value", "_split", "_label")
+        if (level + 1) % STORE_EVERY == 0:
+            rows = cut_lineage(rows)
+    return rows.drop("node", "split_attr")

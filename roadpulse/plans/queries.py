@@ -768,7 +768,7 @@ def complete_panel(k: Tables) -> DataFrame:
 
 @_query("complete_days_only")
 def complete_days_only(k: Tables) -> DataFrame:
-    return _shown(panel.complete_days_only(k.complete, MINUTES))
+    return _shown(k.whole_days)
 
 
 @_query("complete_days_only_compat")

@@ -112,11 +112,15 @@ class Tables:
         """Every window from first to last, filled with label 4."""
         return panel.complete_panel(self.panel, GRID, MINUTES, self.silent)
 
+    @cached_property
+    def whole_days(self) -> DataFrame:
+        """The completed panel's whole days."""
+        return panel.keep_days(self.complete, panel.complete_days(panel.complete_times(self.panel, MINUTES), MINUTES))
+
     @cached_property
     def values(self) -> DataFrame:
-        """(w, x, y, value) of the completed panel's whole days."""
-        days = panel.complete_days_only(stage(self.complete, "complete"), MINUTES)
-        return stage(days.select("w", "x", "y", F.col("speed").alias("value")), "values")
+        """(w, x, y, value) of the whole days."""
+        return stage(self.whole_days.select("w", "x", "y", F.col("speed").alias("value")), "values")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -125,10 +129,9 @@ class Tables:
     @cached_property
     def labelled(self) -> DataFrame:
         """Features over congestion labels, for the class trees."""
-        complete = stage(self.complete, "complete")
         label = labels.congestion_label(F.col("speed")).cast("double").alias("value")
-        days = panel.complete_days_only(complete, MINUTES).select("w", "x", "y", label)
-        return stage(features.cpt_features(stage(days, "labels"), MINUTES), "features")
+        days = stage(self.whole_days.select("w", "x", "y", label), "labels")
+        return stage(features.cpt_features(days, MINUTES), "features")
 
     def scored(self, predict: str, rows: DataFrame) -> DataFrame:
         """Predictions of the column ``predict``, rounded to whole numbers."""
