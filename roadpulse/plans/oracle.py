@@ -466,6 +466,9 @@ SQL: dict[str, str] = {
     "cell_travel_time": f"""select {W}, x, y, sum(travel_time)::bigint as travel_time, sum(num)::bigint as num
         from link_stat join cells using (edge_id) where x >= 0 group by link_stat.w, x, y""",
     "cell_link_travel_time": f"select {W}, x, y, edge_id, travel_time, num from cell_link",
+    "cell_links_nested": f"""select {W}, x, y, edge_id // 4096 as part,
+        string_agg(edge_id || ',' || travel_time || ',' || num, ';' order by edge_id) as links
+        from cell_link group by cell_link.w, x, y, edge_id // 4096""",
     "cell_edge_count": "select x, y, count(distinct edge_id) as edges from cell_link group by 1, 2",
     "cell_speed_from_links": f"""select {_fmt('w20')} as w, x, y,
         round(sum(case when travel_time <> 0 then length / (travel_time / cast(num as double)) else 0 end) / count(*), 6) as speed

