@@ -154,11 +154,10 @@ def read_trajectories_2016(k: Tables) -> DataFrame:
 def month_scan(k: Tables) -> DataFrame:
     """2016 trips stored in month and day folders, one month read back."""
     base = stage_path(k.spark, "months")
-    trips = k.trajectory_2016.withColumn("_t", timing.epoch_to_timestamp(F.col("times")[0]))
-    lines = traj_files.trajectory_lines_2016(trips.withColumnsRenamed({})).select("value")
-    lines = lines.withColumn("_t", timing.epoch_to_timestamp(F.split(F.split("value", ",")[8], r"\|")[0].cast("bigint")))
-    lines = lines.select("value", F.date_format("_t", "dd").alias("day"))
-    lines.write.partitionBy("day").text(f"{base}/01")
+    lines = traj_files.trajectory_lines_2016(k.trajectory_2016)
+    first_time = F.split(F.split("value", ",")[8], r"\|")[0].cast("bigint")
+    day = F.date_format(timing.epoch_to_timestamp(first_time), "dd")
+    lines.withColumn("day", day).write.partitionBy("day").text(f"{base}/01")
     good, _ = traj_files.read_trajectories_2016(k.spark, base, month=1, by_month=True)
     return good.select(F.col("edges")[0].alias("first_edge")).groupBy("first_edge").agg(F.count(F.lit(1)).alias("trips"))
 

@@ -25,13 +25,19 @@ def get_session(app: str = "roadpulse", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+# Folders made for sessions that name none, by application id.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where the session names none, as in tests, a new one."""
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if not named:
-        named = tempfile.mkdtemp(prefix="roadpulse-")
-        spark.conf.set(CHECKPOINT_CONF, named)
-    return named
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if named:
+        return named.rstrip("/")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="roadpulse-")
+    return _own_dirs[context.applicationId]
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
