@@ -99,7 +99,9 @@ def write_panel(panel: DataFrame, path: str, text: bool = False, drop_zero: bool
     """
     kept = panel.filter(F.col("speed") != 0) if drop_zero else panel
     if not text:
-        kept.withColumn("day", F.to_date("w")).write.mode("overwrite").partitionBy("day").parquet(path)
+        # A day holds at most its windows times the grid's cells: one task and one file per day.
+        days = kept.withColumn("day", F.to_date("w")).repartition("day")
+        days.write.mode("overwrite").partitionBy("day").parquet(path)
         return
     cells = F.array_sort(F.collect_list(F.struct("x", "y", "speed", "num")))
     lines = kept.groupBy("w").agg(cells.alias("cells"))

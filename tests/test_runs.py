@@ -204,6 +204,24 @@ def test_link_speed_rollup_is_weighted(spark):
     assert [tuple(r) for r in links.link_speed_rollup(fine, subnet, 20).collect()] == [(5, w, 7.0, 4)]
 
 
+def test_rollup_of_fine_windows_equals_the_coarse_one(spark, frames):
+    rows, _, _, _ = frames
+    trav = trajectories.traversals_2016(trips_2016(spark, rows))
+    subnet = spark.createDataFrame([(e, 100 + 10 * e) for e in range(12)], "edge_id long, length int")
+    coarse = links.link_speed(trav, subnet, 20)
+    rolled = links.link_speed_rollup(links.link_speed(trav, subnet, 5), subnet, 20)
+    both = coarse.join(rolled.withColumnsRenamed({"speed": "s", "num": "n"}), ["edge_id", "w"], "full")
+    assert both.count() == coarse.count() > 0
+    assert both.filter(~((F.abs(F.col("speed") - F.col("s")) < 1e-9) & (F.col("num") == F.col("n")))).count() == 0
+
+
+def test_runs_hold_every_length_inside_the_box(frames):
+    rows, trav, edge, vertex = frames
+    got = runs.cell_runs(trav, edge, vertex, GRID, 20).agg(F.sum("length"), F.sum("edges")).first()
+    walked = plain_runs(rows)
+    assert tuple(got) == (sum(r[5] for r in walked), sum(r[4] for r in walked))
+
+
 def test_links_without_time_count_in_the_mean(spark):
     w = datetime(2024, 1, 1)
     link = spark.createDataFrame([(w, 0, 0, 1, 0, 2), (w, 0, 0, 2, 20, 2)], "w timestamp, x int, y int, edge_id long, travel_time long, num long")

@@ -62,6 +62,15 @@ def test_a_hot_road_is_split_when_the_network_is_too_large_to_broadcast(spark, h
     assert "skew=true" in plan
 
 
+def test_runs_split_a_hot_road_too(hot, small):
+    trav, edge, vertex = hot
+    got = runs.cell_runs(trav, edge, vertex, GRID, 20)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    assert "skew=true" in plan
+
+
 def test_results_do_not_depend_on_how_the_network_is_joined(spark, hot):
     trav, edge, vertex = hot
 
