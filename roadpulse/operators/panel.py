@@ -18,6 +18,7 @@ from roadpulse.functions.labels import congestion_label
 from roadpulse.functions.timing import window_floor
 from roadpulse.operators.gaps import fill_low_weight, interpolate_gaps
 from roadpulse.operators.marks import exclude_no_signal
+from roadpulse.session import stage
 from roadpulse.spec import (
     INCOMPLETE_DAY_FRACTION,
     LABEL_CLEAR,
@@ -282,10 +283,12 @@ def preprocess_panel(
 
     Flag incomplete days, add missing windows, find no-signal cells, fill the gaps
     (``interpolate`` or ``low_weight``), drop the flagged days, label the speeds. Windows of
-    flagged days take part in the filling before they are dropped.
+    flagged days take part in the filling before they are dropped. The panel should be a stored
+    table; its list of windows is stored too, since every step starts from it.
     """
-    flagged = incomplete_days(panel, minutes)
-    times = fill_windows(panel, minutes, flagged)
+    own = stage(panel_times(panel), "windows")
+    flagged = incomplete_days(own, minutes)
+    times = fill_windows(own, minutes, flagged)
     silent = no_signal_cells(panel, grid, times=times)
     dense = densify(panel, grid, times)
     if method == "interpolate":

@@ -16,7 +16,8 @@ def spark():
         "tests",
         **{
             "spark.master": "local[8]",
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
+            "spark.default.parallelism": "2",
             "spark.driver.memory": "8g",
             "spark.ui.enabled": "false",
         },
