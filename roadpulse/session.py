@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +31,35 @@ def get_session(app: str = "roadpulse", **conf: str) -> SparkSession:
 _own_dirs: dict[str, str] = {}
 
 
+# Applications whose Python workers have been given the package.
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where it is not installed or on their path."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="roadpulse-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none, as in tests, a new one."""
+    """The cluster's shared folder; a local session that names none, as in tests, gets a new one.
+
+    A session on several machines must name one: a folder of one machine is not seen by the others.
+    """
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
     if named:
         return named.rstrip("/")
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that the driver and all executors share")
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="roadpulse-")
     return _own_dirs[context.applicationId]
