@@ -5,11 +5,15 @@ equal sets are one class and only its smallest id goes on. A signature has the m
 universal hash functions; four at a time they make 32 bands, so two sets with a Jaccard similarity
 of 0.75 share a band but for 5 in a million cases, and with more similarity almost surely.
 
-No bucket is expanded into pairs. Its members are first compared with its smallest and its largest
-id. Confirmed links are merged into components by alternating large-star and small-star. Only then
-are members of a bucket that ended in *different* components compared, each pair in the first band
-it shares. A bucket of mutual near copies is one component by then and costs nothing more, so no
-link between components is left out and no bucket is capped.
+No bucket is expanded into pairs. Its members are first compared with two of them, drawn by a hash,
+and confirmed links are merged into components by alternating large-star and small-star. Most
+buckets are one component then and done. In the others all members in *different* components are
+compared, tile by tile: a bucket is cut into tiles of about ``TILE`` members, and each two tiles
+meet in a group of bounded size, where one matrix product of their sets gives all intersections
+and only links come out. So no link between components is left out and no bucket is capped.
+
+Full sets are made again from the texts of candidates only. A bit array of fixed size tells the
+scan which rows these may be, so no text is shuffled and nothing that grows is broadcast.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and stands for
 itself; fewer than five words make one shingle of the whole sequence; rows repeating a ``doc_id``
@@ -33,6 +37,8 @@ from roadpulse.session import stage
 WIDTH, HASHES, BAND = 5, 128, 4
 #: Smallest share of equal minima that goes to the full comparison: 0.75 less 5.2 deviations.
 SURE_BELOW = 0.55
+#: Bits that mark candidates for the scan of the texts, and members of a tile of a large bucket.
+BITS, TILE = 1 << 23, 200
 
 _rng = np.random.default_rng(20240501)
 _STEP = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,12 +103,21 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(batch.column(1)))
-        at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["rep", "shingles"])
+def _sets(bits: np.ndarray):
+    """Sets of the rows whose id's bit is set: (rep, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63)) & 1 == 1))
+            if not batch.num_rows:
+                continue
+            sets = list(shingle_sets(batch.column(1)))
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            flat = np.concatenate(sets).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["rep", "shingles"])
+
+    return run
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -145,6 +160,46 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def _full_sets(needed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles) of the ids in ``needed``, from their texts."""
+    place = F.pmod(F.xxhash64("rep"), F.lit(BITS))
+    words = needed.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))).alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.int64)
+    bits[words.column("at").to_numpy()] = words.column("bits").to_numpy()
+    rows = _texts(docs).where("doc_id is not null").select("*", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place"))
+    sets = rows.mapInArrow(_sets(bits), "rep long, shingles array<long>").join(needed, "rep", "left_semi")
+    # Of rows that repeat an id, those count that have the representative's set size.
+    return stage(sets.join(reps.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).drop("n_shingles"), "sets")
+
+
+def _tile_links(percent: int):
+    """Links (u, v) between members of different components of a group of (rep, component, shingles)."""
+
+    def links(group: pa.Table) -> pa.Table:
+        rep, component = group.column("rep").to_numpy(), group.column("component").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        who = np.repeat(np.arange(len(rep)), size)
+        _, at, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        # Only shingles of two members and more can be common.
+        column = np.cumsum(n > 1) - 1
+        shared = n[at] > 1
+        who, at = who[shared], column[at[shared]]
+        order = np.argsort(at, kind="stable")
+        who, at = who[order], at[order]
+        common = np.zeros((len(rep), len(rep)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(at, [first, first + 4096])
+            has = np.zeros((len(rep), 4096), np.float32)
+            has[who[lo:hi], at[lo:hi] - first] = 1
+            common += has @ has.T
+        union = size[:, None] + size[None, :] - common
+        u, v = np.nonzero((common * 100 >= union * percent) & (component[:, None] != component[None, :]) & (rep[:, None] < rep[None, :]))
+        return pa.table({"u": rep[u], "v": rep[v]})
+
+    return links
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose signatures agree enough and whose full sets reach the similarity."""
     sig = reps.select("rep", "minima", "n_shingles")
@@ -153,16 +208,17 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     # Sets whose sizes differ too much can't reach the similarity.
     sized = F.least("u_n", "v_n") * 100 >= F.greatest("u_n", "v_n") * percent
     likely = stage(pairs.join(a, "u").join(b, "v").where(sized & (same >= F.lit(int(SURE_BELOW * HASHES)))).select("u", "v"), "likely")
-    needed = likely.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    # Rows that repeat an id have the representative's text or one of them is taken.
-    sets = _texts(docs).join(needed, "doc_id", "left_semi").mapInArrow(_sets, "rep long, shingles array<long>")
-    sets = stage(sets.join(reps.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).drop("n_shingles"), "sets")
+    sets = _full_sets(likely.select(F.explode(F.array("u", "v")).alias("rep")).distinct(), reps, docs)
     a, b = (sets.select(F.col("rep").alias(k), F.col("shingles").alias(f"{k}_set")) for k in "uv")
     common = F.size(F.array_intersect("u_set", "v_set"))
     union = F.size("u_set") + F.size("v_set") - common
     return likely.join(a, "u").join(b, "v").where(common * 100 >= union * percent).select("u", "v").distinct()
 
 
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest linked id), kept."""
     signed = stage(signatures(docs), "signed")
@@ -172,26 +228,30 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = stage(classes, "classes")
     reps = classes.select("rep", "n_shingles", "minima")
     bands = stage(reps.select("rep", F.posexplode(_band_keys()).alias("band", "key")), "bands")
-    buckets = stage(bands.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi"), "buckets")
-    ends = bands.join(buckets, "key").select("rep", F.explode(F.array("lo", "hi")).alias("end"))
-    pairs = ends.where("rep <> end").select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v")).distinct()
-    links = stage(_confirmed(pairs, reps, docs, percent), "links")
+    drawn = F.struct(F.xxhash64("key", "rep").alias("h"), "rep")
+    buckets = bands.groupBy("key").agg(F.min(drawn)["rep"].alias("lo"), F.max(drawn)["rep"].alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = stage(buckets, "buckets")
+    members = stage(bands.join(buckets, "key"), "members")
+    ends = members.select("rep", F.explode(F.array("lo", "hi")).alias("end"))
+    links = _confirmed(_ordered(ends, "rep", "end"), reps, docs, percent)
+    links = stage(links, "links")
     found = stage(components(links), "components")
 
-    # Buckets of four and more whose members are not all in one component yet.
-    # ``n`` and the ends cover buckets of up to three members.
-    open_keys = buckets.where("n > 3").select("key")
-    rest = bands.join(open_keys, "key", "left_semi").join(found.select(F.col("u").alias("rep"), "component"), "rep", "left")
-    rest = stage(rest.select("rep", "band", "key", F.coalesce("component", "rep").alias("component")), "open")
-    mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    rest = rest.join(mixed, "key", "left_semi").join(reps.select("rep", _band_keys().alias("keys")), "rep")
-    rest = stage(rest, "mixed")
-    x, y = rest.alias("x"), rest.alias("y")
-    earlier = F.arrays_overlap(F.slice("x.keys", F.lit(1), F.col("x.band")), F.slice("y.keys", F.lit(1), F.col("y.band")))
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & ~earlier)
-    more = stage(_confirmed(across.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")), reps, docs, percent), "links")
-    if not more.isEmpty():
-        found = stage(components(links.union(more)), "components")
+    # Two drawn members cover buckets of up to three; larger ones are open while they are in more than one component.
+    rest = members.where("n > 3").select("rep", "key").join(found.select(F.col("u").alias("rep"), "component"), "rep", "left")
+    rest = stage(rest.withColumn("component", F.coalesce("component", "rep")), "open")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
+    mixed = mixed.where("a <> b").select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
+    rest = stage(rest.join(mixed, "key"), "mixed")
+    if not rest.isEmpty():
+        sets = _full_sets(rest.select("rep").distinct(), reps, docs)
+        tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
+        met = rest.withColumn("tile", tile).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
+        met = met.select("key", "rep", "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+        more = met.join(sets, "rep").groupBy("key", "a", "b").applyInArrow(_tile_links(percent), "u long, v long")
+        more = stage(more.distinct(), "links")
+        if not more.isEmpty():
+            found = stage(components(links.union(more)), "components")
 
     place = classes.join(found.select(F.col("u").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.join(place, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
