@@ -22,8 +22,8 @@ Texts are searched by one multi-pattern automaton; only clauses around a hit are
 
 Defined results: null and empty texts have no clause and get the score of texts without a match;
 a null ``doc_id`` counts as the empty text in the split; repeated rows are scored alike; equal
-texts count once in fitting; without labels every score is one half less or more by nothing
-learned (0.5). Other columns are ignored; no rows give no rows.
+texts count once in fitting; without labelled rows of both kinds nothing is called toxic and
+every score is next to 0. Other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -212,6 +212,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
 
     rows = sample.where("part >= 7").select("text", "label").mapInArrow(late, "x array<double>, label int").toArrow()
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(grammar.NAMES))
-    weights = fit_logistic(x, rows.column("label").to_numpy().astype(float))
+    y = rows.column("label").to_numpy().astype(float)
+    weights = fit_logistic(x, y) if len(set(y)) == 2 else np.array([-30.0] + [0.0] * x.shape[1])
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "text")
     return df.mapInArrow(_scores(lexicon, weights, folds, held, threshold), "doc_id long, held_out boolean, score double, predicted int, n_clauses long")
