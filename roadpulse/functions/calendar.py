@@ -54,8 +54,8 @@ def weather_flags(text: Column) -> list[Column]:
 
 
 def wind_level(text: Column) -> Column:
-    """Wind level of a description: 0 when calm, N-1 for "below N", otherwise N (0 if none)."""
-    level = F.coalesce(F.regexp_extract(text, f"(\\d){WIND_LEVEL_WORD}", 1).try_cast("int"), F.lit(0))
+    """Wind level of a description: 0 when calm, N-1 for "below N" (not less than 0), otherwise N (0 if none)."""
+    level = F.coalesce(F.regexp_extract(text, f"(\\d+){WIND_LEVEL_WORD}", 1).try_cast("int"), F.lit(0))
     return (
-        F.when(text == CALM_WIND, 0).when(F.instr(text, WIND_BELOW_WORD) > 0, level - 1).otherwise(level)
+        F.when(text == CALM_WIND, 0).when(F.instr(text, WIND_BELOW_WORD) > 0, F.greatest(level - 1, F.lit(0))).otherwise(level)
     )

@@ -59,15 +59,13 @@ def cell_link_travel_time(
     )
 
 
-def cell_links_nested(cell_link: DataFrame, ids_per_part: int = 4096) -> DataFrame:
-    """(w, x, y, part, links): the links of a cell in one row, ordered by edge id.
+def cell_links_nested(cell_link: DataFrame) -> DataFrame:
+    """(w, x, y, links): the links of a cell in one row, ordered by edge id.
 
-    A part holds the edges of one range of ``ids_per_part`` ids, so no array grows with the
-    network; a cell with few roads of near ids is one part.
+    An array is bounded by the roads that start in the cell.
     """
-    part = F.floor(F.col("edge_id") / ids_per_part).alias("part")
     links = F.array_sort(F.collect_list(F.struct("edge_id", "travel_time", "num")))
-    return cell_link.groupBy("w", "x", "y", part).agg(links.alias("links"))
+    return cell_link.groupBy("w", "x", "y").agg(links.alias("links"))
 
 
 def cell_edge_count(cell_link: DataFrame) -> DataFrame:

@@ -17,17 +17,10 @@ from roadpulse.operators.information import majority_of_counts, value_entropy
 from roadpulse.session import cut_lineage, stage
 
 ROOT = "root"
-# Node tables up to this many rows are broadcast; the count is taken from the finished table.
-BROADCAST_NODES = 100_000
 # Samples are stored every so many levels; in between they follow a chain of node lookups.
 STORE_EVERY = 4
 
 
-def _sized(nodes: DataFrame, rows: int) -> DataFrame:
-    """``nodes`` with a broadcast hint when its row count allows one."""
-    return F.broadcast(nodes) if rows <= BROADCAST_NODES else nodes
-
-
 def _attribute(names: Sequence[str], chosen: Column) -> Column:
     """Value of the column whose name ``chosen`` holds."""
     value = F.lit(None).cast("double")
@@ -127,7 +120,7 @@ def level_tree_fit(
         used_externals = F.when(
             chosen.isin(list(externals)), F.array_append("used_externals", chosen)
         ).otherwise(F.col("used_externals"))
-        rows = rows.drop("parent", "attr", "value").join(_sized(splits, open_nodes), "node").select(
+        rows = rows.drop("parent", "attr", "value").join(splits, "node").select(
             *attrs,
             "label",
             _child(F.col("node"), chosen, value).alias("node"),
@@ -187,7 +180,7 @@ def level_tree_predict(samples: DataFrame, nodes: DataFrame, attrs: Sequence[str
         )
         steps = _nearest_children(asked, children).join(below, "child").withColumnRenamed("value", "_value")
         steps = stage(steps, "tree-steps")
-        rows = rows.join(_sized(steps, steps.count()), ["node", "_value"], "left")
+        rows = rows.join(steps, ["node", "_value"], "left")
         moved = F.col("child").isNotNull()
         rows = rows.withColumns(
             {

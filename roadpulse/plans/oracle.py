@@ -203,7 +203,7 @@ CTES: dict[str, str] = {
         from range({GRID.nx}) a(x), range({GRID.ny}) b(y)""",
     "silent": """
         select g.x, g.y from grid g left join panel p on p.x = g.x and p.y = g.y and p.speed <> 0 and p.num <> 0
-        group by 1, 2 having count(p.w) / cast((select count(*) from times) as double) < 0.05""",
+        group by 1, 2 having count(p.w) / cast((select count(*) from filled) as double) < 0.05""",
     "dense": """
         select t.w, g.x, g.y, coalesce(p.speed, 0) as speed, coalesce(p.num, 0) as num
         from times t cross join grid g left join panel p on p.w = t.w and p.x = g.x and p.y = g.y""",
@@ -400,11 +400,13 @@ SQL: dict[str, str] = {
     "road_class_code": f"""select edge_id, case '0x0' || lower(to_hex(edge_id % 16)) {CLASS_CASE} end as code
         from road_edge""",
     "in_road_class": """select traj_id, seq, coalesce(road_class in (0, 1, 2, 3, 4, 6), false) as eligible
-        from traversal left join (select * from road_edge where edge_id % 7 <> 0) using (edge_id)""",
+        from (select * replace (case when seq % 7 = 3 then edge_id + 10000000 else edge_id end as edge_id) from traversal)
+        left join road_edge using (edge_id)""",
     "segment_point": """select traj_id, seq,
         round(case when seq = 0 then first_lon when seq = n - 1 then last_lon else coalesce(start_lon, -1) end, 6) as lon,
         round(case when seq = 0 then first_lat when seq = n - 1 then last_lat else coalesce(start_lat, -1) end, 6) as lat
-        from trav16 left join (select * from geo where edge_id % 7 <> 0) using (edge_id)""",
+        from (select * replace (case when seq % 7 = 3 then edge_id + 10000000 else edge_id end as edge_id) from trav16)
+        left join geo using (edge_id)""",
     "congestion_label": f"select {W}, x, y, {_label('speed')} as label from dense",
     "speed_kmh": f"select {W}, x, y, round(speed * {_d(3.6)}, 6) as kmh from panel",
     "speed_color_bucket": f"""select {W}, x, y, case when speed > 0 then
@@ -429,7 +431,8 @@ SQL: dict[str, str] = {
     "edge_start_vertex": """select traj_id, seq, round(length, 6) as length, round(lon, 6) as lon, round(lat, 6) as lat
         from traversal join starts using (edge_id)""",
     "geo_edge_lookup": """select traj_id, seq, length as edge_length, road_class, round(start_lon, 6) as lon
-        from trav16 left join (select * from geo where edge_id % 7 <> 0) using (edge_id)""",
+        from (select * replace (case when seq % 7 = 3 then edge_id + 10000000 else edge_id end as edge_id) from trav16)
+        left join geo using (edge_id)""",
     "subnet_semi": "select traj_id, seq, edge_id, round(length, 6) as length from traversal join subnet using (edge_id)",
     "exclude_no_signal": f"select {PANEL_COLUMNS} from panel where (x, y) not in (select (x, y) from silent)",
     "mark_no_signal": f"""select {W}, x, y,
@@ -451,8 +454,9 @@ SQL: dict[str, str] = {
         where traj_id in (select traj_id from traversal where {CHOSEN_SQL})""",
     "choose_traversals": f"""select traj_id, seq, edge_id, {_sec('t')} as t from traversal
         where traj_id in (select traj_id from traversal where {CHOSEN_SQL})""",
-    "trajectory_size": """select traj_id, cast(traj_id % 20 + 1 as integer) as edges
-        from (select distinct traj_id from traversal) where traj_id % 20 + 2 between 5 and 12""",
+    "trajectory_size": """select trip as traj_id, cast(count(*) as integer) as edges
+        from (select traj_id * 2 + cast(seq >= traj_id % 17 + 2 as integer) as trip from traversal)
+        group by trip having count(*) + 1 between 5 and 12""",
     "min_road_num": "select edge_id, num from road_count where num >= 4",
     "panel_times": f"select {W} from times",
     "panel_at": f"""select {PANEL_COLUMNS} from panel
@@ -466,9 +470,9 @@ SQL: dict[str, str] = {
     "cell_travel_time": f"""select {W}, x, y, sum(travel_time)::bigint as travel_time, sum(num)::bigint as num
         from link_stat join cells using (edge_id) where x >= 0 group by link_stat.w, x, y""",
     "cell_link_travel_time": f"select {W}, x, y, edge_id, travel_time, num from cell_link",
-    "cell_links_nested": f"""select {W}, x, y, edge_id // 4096 as part,
+    "cell_links_nested": f"""select {W}, x, y,
         string_agg(edge_id || ',' || travel_time || ',' || num, ';' order by edge_id) as links
-        from cell_link group by cell_link.w, x, y, edge_id // 4096""",
+        from cell_link group by cell_link.w, x, y""",
     "cell_edge_count": "select x, y, count(distinct edge_id) as edges from cell_link group by 1, 2",
     "cell_speed_from_links": f"""select {_fmt('w20')} as w, x, y,
         round(sum(case when travel_time <> 0 then length / (travel_time / cast(num as double)) else 0 end) / count(*), 6) as speed
@@ -582,9 +586,9 @@ SQL: dict[str, str] = {
               where w in (select w from test_tail) and (x, y) not in (select (x, y) from silent))""",
     "weather_pages": f"""select strftime(date, '%Y%m%d') as date, max_t, min_t, {_flags('weather')},
         cast(case wind when 0 then 0 when 1 then 0 when 2 then 1 else wind end as integer) as wind from weather""",
-    "trajectory_polyline": f"""select traj_id, string_agg({_sec('t')} || ' ' || cast(round(lon * 1000) as bigint)
+    "trajectory_polyline": f"""select traj_id, seq // 4096 as part, string_agg({_sec('t')} || ' ' || cast(round(lon * 1000) as bigint)
         || ' ' || cast(round(lat * 1000) as bigint), ';' order by seq) as line
-        from traversal join starts using (edge_id) group by traj_id""",
+        from traversal join starts using (edge_id) group by traj_id, seq // 4096""",
 }
 
 CTES["heard"] = "select * from dense where (x, y) not in (select (x, y) from silent)"

@@ -288,17 +288,22 @@ def road_class_code(k: Tables) -> DataFrame:
     return k.edge.select("edge_id", geo.road_class_code(code).alias("code"))
 
 
+def _with_unknown_roads(trav: DataFrame) -> DataFrame:
+    """Traversals that in some steps name a road that no network has."""
+    unknown = F.col("edge_id") + 10_000_000
+    return trav.withColumn("edge_id", F.when(F.col("seq") % 7 == 3, unknown).otherwise(F.col("edge_id")))
+
+
 @_query("in_road_class")
 def in_road_class(k: Tables) -> DataFrame:
-    edge = k.edge.select("edge_id", "road_class").filter(F.col("edge_id") % 7 != 0)
-    joined = k.traversal.join(edge, "edge_id", "left")
+    edge = k.edge.select("edge_id", "road_class")
+    joined = _with_unknown_roads(k.traversal).join(edge, "edge_id", "left")
     return joined.select("traj_id", "seq", geo.in_road_class(F.col("road_class")).alias("eligible"))
 
 
 @_query("segment_point")
 def segment_point(k: Tables) -> DataFrame:
-    known = k.edge_geo.filter(F.col("edge_id") % 7 != 0)
-    rows = network.geo_edge_lookup(k.traversal_2016, known)
+    rows = network.geo_edge_lookup(_with_unknown_roads(k.traversal_2016), k.edge_geo)
     at = geo.segment_point(F.col("seq"), F.col("n"), F.col("start_pt"), F.col("end_pt"), F.col("edge_start"))
     return _shown(rows.select("traj_id", "seq", at["lon"].alias("lon"), at["lat"].alias("lat")))
 
@@ -417,8 +422,7 @@ def edge_start_vertex(k: Tables) -> DataFrame:
 
 @_query("geo_edge_lookup")
 def geo_edge_lookup(k: Tables) -> DataFrame:
-    known = k.edge_geo.filter(F.col("edge_id") % 7 != 0)
-    rows = network.geo_edge_lookup(k.traversal_2016, known)
+    rows = network.geo_edge_lookup(_with_unknown_roads(k.traversal_2016), k.edge_geo)
     return _shown(rows.select("traj_id", "seq", "edge_length", "road_class", F.col("edge_start.lon").alias("lon")))
 
 
@@ -511,9 +515,14 @@ def choose_traversals(k: Tables) -> DataFrame:
 
 @_query("trajectory_size")
 def trajectory_size(k: Tables) -> DataFrame:
-    """Trips of parts of a path: sizes differ by trip."""
-    cut = k.trajectory.withColumn("path", F.slice("path", 1, (F.col("traj_id") % 20 + 1).cast("int")))
-    kept = trajectories.trajectory_size(cut, 5, 12)
+    """Each trip ends at a step of its own and another one goes on from there, so sizes differ."""
+    at = (F.col("traj_id") % 17 + 2).cast("int")
+    parts = F.array(
+        F.struct((F.col("traj_id") * 2).alias("traj_id"), F.slice("path", F.lit(1), at).alias("path")),
+        F.struct((F.col("traj_id") * 2 + 1).alias("traj_id"), F.slice("path", at + 1, F.size("path")).alias("path")),
+    )
+    trips = k.trajectory.select(F.explode(parts).alias("trip")).select("trip.*")
+    kept = trajectories.trajectory_size(trips, 5, 12)
     return kept.select("traj_id", F.size("path").alias("edges"))
 
 
@@ -568,7 +577,7 @@ def cell_link_travel_time(k: Tables) -> DataFrame:
 def cell_links_nested(k: Tables) -> DataFrame:
     nested = links.cell_links_nested(k.cell_link)
     text = F.array_join(F.transform("links", lambda v: F.concat_ws(",", v["edge_id"], v["travel_time"], v["num"])), ";")
-    return _shown(nested.select("w", "x", "y", "part", text.alias("links")))
+    return _shown(nested.select("w", "x", "y", text.alias("links")))
 
 
 @_query("cell_edge_count")
@@ -877,17 +886,17 @@ def _scored(k: Tables, pipeline, labelled=True):
 
 @_query("dt_classifier")
 def dt_classifier(k: Tables) -> DataFrame:
-    return _scored(k, models.dt_classifier(CPT)).select("x", "y", "predict", "real")
+    return _shown(_scored(k, models.dt_classifier(CPT)).select("w", "x", "y", "predict", "real"))
 
 
 @_query("dt_regressor")
 def dt_regressor(k: Tables) -> DataFrame:
-    return _shown(_scored(k, models.dt_regressor(CPT), labelled=False).select("x", "y", "predict", "real"))
+    return _shown(_scored(k, models.dt_regressor(CPT), labelled=False).select("w", "x", "y", "predict", "real"))
 
 
 @_query("rf_classifier")
 def rf_classifier(k: Tables) -> DataFrame:
-    return _scored(k, models.rf_classifier(CPT)).select("x", "y", "predict", "real")
+    return _shown(_scored(k, models.rf_classifier(CPT)).select("w", "x", "y", "predict", "real"))
 
 
 @_query("grid_search")
@@ -952,7 +961,7 @@ def trajectory_polyline(k: Tables) -> DataFrame:
     text = F.array_join(F.transform("points", lambda p: F.concat_ws(
         " ", timing.format_second(p["t"]), F.round(p["lon"] * 1000).cast("bigint").cast("string"), F.round(p["lat"] * 1000).cast("bigint").cast("string"),
     )), ";")
-    return lines.select("traj_id", text.alias("line"))
+    return lines.select("traj_id", "part", text.alias("line"))
 
 
 def queries() -> dict[str, Query]:

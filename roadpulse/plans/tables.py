@@ -101,7 +101,9 @@ class Tables:
 
     @cached_property
     def silent(self) -> DataFrame:
-        return panel.no_signal_cells(self.panel, GRID)
+        """Cells with too few speeds among all windows, the missing ones of usual days included."""
+        times = panel.fill_windows(self.panel, MINUTES, panel.incomplete_days(self.panel, MINUTES))
+        return stage(panel.no_signal_cells(self.panel, GRID, times=times), "silent")
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -128,9 +130,15 @@ class Tables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        """Features over congestion labels, for the class trees."""
-        label = labels.congestion_label(F.col("speed")).cast("double").alias("value")
-        days = stage(self.whole_days.select("w", "x", "y", label), "labels")
+        """Features over congestion labels, for the class trees.
+
+        Speeds become labels first; then missing windows are filled with the label "clear".
+        """
+        label = labels.congestion_label(F.col("speed")).cast("double")
+        own = self.panel.withColumn("speed", label)
+        whole = panel.complete_days(panel.complete_times(self.panel, MINUTES), MINUTES)
+        days = panel.keep_days(panel.complete_panel(own, GRID, MINUTES, self.silent), whole)
+        days = stage(days.select("w", "x", "y", F.col("speed").alias("value")), "labels")
         return stage(features.cpt_features(days, MINUTES), "features")
 
     def scored(self, predict: str, rows: DataFrame) -> DataFrame:

@@ -144,10 +144,14 @@ def write_link_speed(speeds: DataFrame, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, **params: str | int | float) -> None:
-    """Store a result under folders that name its parameters (``min_edges=10/...``)."""
+    """Store a result under folders that name its parameters (``min_edges=10/...``).
+
+    Writing the same parameters again replaces their result and leaves the others.
+    """
     for name, value in params.items():
         df = df.withColumn(name, F.lit(value))
-    df.write.mode("append").partitionBy(*params).parquet(path)
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*params).parquet(path)
 
 
 def load_partitioned(spark: SparkSession, path: str, **params: str | int | float) -> DataFrame:

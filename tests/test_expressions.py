@@ -112,7 +112,7 @@ def test_round_half_even(spark, v, expected):
     assert value(spark, labels.round_half_even(F.lit(v))) == expected
 
 
-@pytest.mark.parametrize(("wind", "level"), [("微风", 0), ("小于3级", 2), ("北风4级", 4), ("无", 0)])
+@pytest.mark.parametrize(("wind", "level"), [("微风", 0), ("小于3级", 2), ("北风4级", 4), ("无", 0), ("北风10级", 10), ("小于级", 0)])
 def test_wind_level(spark, wind, level):
     assert value(spark, calendar.wind_level(F.lit(wind))) == level
 

@@ -30,22 +30,22 @@ def test_edges_and_vertices(spark, tmp_path):
 
 
 def test_edges_geo(spark, tmp_path):
-    line = "7:a:b:c:{}:d:e:120:f:LINESTRING (116.41563 39.7214, 116.4 39.75, 116.41946 39.72185)\n"
+    line = "7:a:b:c:{}:d:e:120:f:LINESTRING (116.25 39.5, 116.3 39.6, 116.75 39.875)\n"
     path = file(tmp_path, line.format("0x03") + line.format("0x05"))
     rows = network.read_edges_geo(spark, path).collect()
     assert [(tuple(r["start"]), tuple(r["end"]), r["length"], r["road_class"]) for r in rows] == [
-        ((116.41563, 39.7214), (116.41946, 39.72185), 120, 3),
-        ((116.41563, 39.7214), (116.41946, 39.72185), 120, None),
+        ((116.25, 39.5), (116.75, 39.875), 120, 3),
+        ((116.25, 39.5), (116.75, 39.875), 120, None),
     ]
     with pytest.raises(Exception, match="unknown road class 0x05"):
         network.read_edges_geo(spark, path, strict=True).collect()
 
 
 def test_subnet_drops_every_header_line(spark, tmp_path):
-    line = '57325,294053,288907,288908,2,0x03,0x00,11,75,40,"LINESTRING (116.39998 39.83186, 116.40005 39.83177)"\n'
+    line = '12,801,33,34,1,0x02,0x01,5,60,31,"LINESTRING (116.5 39.5, 116.625 39.625)"\n'
     path = file(tmp_path, "id,edge_id,s\n" + line + "id,edge_id,s\n" + line)
     rows = [tuple(r) for r in network.read_subnet(spark, path).collect()]
-    assert rows == [(294053, 288907, 288908, "0x03", 11, 75, 40)] * 2
+    assert rows == [(801, 33, 34, "0x02", 5, 60, 31)] * 2
 
 
 def test_trajectories_count_the_id(spark, tmp_path):
@@ -154,6 +154,9 @@ def test_results_by_parameter(spark, tmp_path):
     df = spark.range(3)
     for minutes in (5, 20):
         statistics.write_partitioned(df, str(tmp_path / "r"), min_edges=10, time_window=minutes)
+    # Writing one of them again replaces it and leaves the other.
+    statistics.write_partitioned(df.limit(2), str(tmp_path / "r"), min_edges=10, time_window=5)
+    assert statistics.load_partitioned(spark, str(tmp_path / "r"), time_window=5).count() == 2
     kept = statistics.load_partitioned(spark, str(tmp_path / "r"), time_window=20)
     assert kept.count() == 3
     assert "PartitionFilters: [isnotnull(time_window" in kept._jdf.queryExecution().executedPlan().toString()
