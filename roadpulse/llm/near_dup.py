@@ -5,7 +5,7 @@ equal sets are one class and only its smallest id goes on. A signature has the m
 universal hash functions; four at a time they make 32 bands, so two sets with a Jaccard similarity
 of 0.75 share a band but for 5 in a million cases, and with more similarity almost surely.
 
-No bucket is expanded into pairs. Its members are first compared with two of them, drawn by a hash,
+No bucket is expanded into pairs. Its members are first compared with one of them, drawn by a hash,
 and confirmed links are merged into components by alternating large-star and small-star. Most
 buckets are one component then and done. In the others all members in *different* components are
 compared, tile by tile: a bucket is cut into tiles of about ``TILE`` members, and each two tiles
@@ -229,16 +229,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     reps = classes.select("rep", "n_shingles", "minima")
     bands = stage(reps.select("rep", F.posexplode(_band_keys()).alias("band", "key")), "bands")
     drawn = F.struct(F.xxhash64("key", "rep").alias("h"), "rep")
-    buckets = bands.groupBy("key").agg(F.min(drawn)["rep"].alias("lo"), F.max(drawn)["rep"].alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = bands.groupBy("key").agg(F.min(drawn)["rep"].alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = stage(buckets, "buckets")
     members = stage(bands.join(buckets, "key"), "members")
-    ends = members.select("rep", F.explode(F.array("lo", "hi")).alias("end"))
-    links = _confirmed(_ordered(ends, "rep", "end"), reps, docs, percent)
+    links = _confirmed(_ordered(members, "rep", "hub"), reps, docs, percent)
     links = stage(links, "links")
     found = stage(components(links), "components")
 
-    # Two drawn members cover buckets of up to three; larger ones are open while they are in more than one component.
-    rest = members.where("n > 3").select("rep", "key").join(found.select(F.col("u").alias("rep"), "component"), "rep", "left")
+    # Buckets of three and more are open while their members are in more than one component.
+    rest = members.where("n > 2").select("rep", "key").join(found.select(F.col("u").alias("rep"), "component"), "rep", "left")
     rest = stage(rest.withColumn("component", F.coalesce("component", "rep")), "open")
     mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
     mixed = mixed.where("a <> b").select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
