@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadpulse.functions.timing import time_shift
 from roadpulse.operators.marks import exclude_no_signal
 from roadpulse.operators.panel import panel_times, rank_windows
+from roadpulse.session import stage
 from roadpulse.spec import CHANGE_THRESHOLD, TOP_CHANGES, WINDOW_MINUTES
 
 
@@ -36,7 +37,7 @@ def frame_change(panel: DataFrame, col: str = "speed") -> DataFrame:
     value is added to its own window and subtracted from the next one, so the panel needs
     neither filling up nor a join of frames.
     """
-    ranked = rank_windows(panel_times(panel))
+    ranked = stage(rank_windows(panel_times(panel)), "windows")
     following = ranked.select((F.col("pos") - 1).alias("pos"), F.col("w").alias("_next"))
     steps = ranked.join(following, "pos", "left").select("w", "_next")
     signed = F.array(

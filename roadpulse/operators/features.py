@@ -10,12 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.calendar import WEATHER_COLUMNS, WEEKDAY_COLUMNS, calendar_features, weather_flags
 from roadpulse.functions.scaling import minmax_fit, minmax_scale
-from roadpulse.functions.timing import time_shift
 from roadpulse.operators.marks import exclude_no_signal
 from roadpulse.operators.panel import (
     complete_days,
@@ -65,19 +64,8 @@ def lag_columns(closeness: int, period: int, trend: int) -> list[str]:
     )
 
 
-def _later(w: str, lags: Sequence[int], minutes: int) -> Column:
-    """``w`` moved forward by each lag, as (n, w) rows."""
-    moved = [F.struct(F.lit(n).alias("_n"), time_shift(F.col(w), n, minutes).alias("_w")) for n in sorted(set(lags))]
-    return F.explode(F.array(*moved))
-
-
-def windows_with_lags(
-    times: DataFrame, lags: Sequence[int], minutes: int, by: Sequence[str] = ()
-) -> DataFrame:
-    """Windows whose lagged windows all exist."""
-    moved = times.select(*by, _later("w", lags, minutes).alias("_m")).select(*by, F.col("_m._w").alias("w"))
-    full = moved.groupBy(*by, "w").agg(F.count(F.lit(1)).alias("_found")).filter(F.col("_found") == len(set(lags)))
-    return times.join(full.drop("_found"), [*by, "w"], "left_semi")
+def _by_time(by: Sequence[str]) -> Window:
+    return Window.partitionBy(*by, "x", "y").orderBy(F.unix_seconds("w"))
 
 
 def lag_join(
@@ -85,26 +73,29 @@ def lag_join(
     lags: dict[str, int],
     minutes: int,
     by: Sequence[str] = (),
-    times: DataFrame | None = None,
     value: str = "value",
+    skip: int = 0,
 ) -> DataFrame:
     """Each cell's value with its lagged values, for windows whose lagged windows all exist.
 
-    Every row is sent forward to the windows it is a lag of and rows that meet are put side
-    by side: one shuffle for any number of lags instead of one join per lag.
+    A lag is a frame of one point in time before the row, so all lags share one shuffle and one
+    sort per cell. The panel is dense: a cell has a row in every window there is, and its series
+    is as long as the calendar. The first ``skip`` windows have no row.
     """
-    times = panel_times(panel, by) if times is None else times
-    valid = windows_with_lags(times, list(lags.values()), minutes, by)
+    series = _by_time(by)
+    at = {name: series.rangeBetween(-n * minutes * 60, -n * minutes * 60) for name, n in lags.items()}
     keys = [*by, "w", "x", "y"]
-    moved = panel.select(*by, "x", "y", value, _later("w", [0, *lags.values()], minutes).alias("_m"))
-    moved = moved.select(*by, F.col("_m._w").alias("w"), "x", "y", value, F.col("_m._n").alias("_n"))
-    moved = moved.join(valid, [*by, "w"], "left_semi")
-    side = {value: 0, **lags}
-    met = moved.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_n") == n, F.col(value))).alias(name) for name, n in side.items()]
-    )
+    met = panel.select(
+        *keys,
+        value,
+        F.row_number().over(series).alias("_pos"),
+        *[F.max(value).over(frame).alias(name) for name, frame in at.items()],
+        *[F.count(F.lit(1)).over(frame).alias(f"_has_{name}") for name, frame in at.items()],
+    ).filter(F.col("_pos") > skip)
+    for name in lags:
+        met = met.filter(F.col(f"_has_{name}") > 0)
     zero = F.lit(0).cast(panel.schema[value].dataType)
-    return met.select(*keys, *[F.coalesce(F.col(name), zero).alias(name) for name in side])
+    return met.select(*keys, *[F.coalesce(F.col(name), zero).alias(name) for name in (value, *lags)])
 
 
 def cpt_features(
@@ -124,10 +115,7 @@ def cpt_features(
     lag spans, are skipped by position.
     """
     lags = Lags.of(minutes, closeness, period, trend, period_days, trend_days)
-    times = panel_times(panel, by)
-    features = lag_join(panel, lags.columns, minutes, by, times, value)
-    late = rank_windows(times, by).filter(F.col("pos") >= lags.skip).drop("pos")
-    return features.join(late, [*by, "w"], "left_semi")
+    return lag_join(panel, lags.columns, minutes, by, value, lags.skip)
 
 
 def holiday_flag(df: DataFrame, holiday: DataFrame, day: str = "date") -> DataFrame:
@@ -156,22 +144,26 @@ def weather_minmax(slots: DataFrame) -> DataFrame:
     return slots
 
 
-def external_features(times: DataFrame, holiday: DataFrame, weather: DataFrame) -> DataFrame:
-    """22 columns per window: 8 calendar, 1 holiday, 10 weather flags, 3 scaled readings.
+def external_features(
+    times: DataFrame, holiday: DataFrame | None, weather: DataFrame | None, calendar: bool = True
+) -> DataFrame:
+    """Columns per window of what is asked for: 8 calendar, 1 holiday, 10 weather flags and 3 scaled readings.
 
     Weather is that of the previous weather row and is scaled over the windows asked for.
-    Windows whose date has no weather are dropped.
+    Windows whose date has no weather are dropped; the first weather date has no row before it
+    and counts as without flags and with the lowest readings.
     """
     slots = times.select("w").distinct().withColumn("date", day_of())
-    slots = holiday_flag(slots, holiday).join(weather_prev_row(weather), "date")
-    slots = weather_minmax(slots)
-    return slots.select(
-        "w",
-        *calendar_features(F.col("date")),
-        F.col("holiday").cast("int").alias("holiday"),
-        *[F.coalesce(flag, F.lit(0)).alias(name) for flag, name in zip(weather_flags(F.col("weather")), WEATHER_COLUMNS, strict=True)],
-        *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in WEATHER_SCALED],
-    )
+    columns = calendar_features(F.col("date")) if calendar else []
+    if holiday is not None:
+        slots = holiday_flag(slots, holiday)
+        columns = [*columns, F.col("holiday").cast("int").alias("holiday")]
+    if weather is not None:
+        slots = weather_minmax(slots.join(weather_prev_row(weather), "date"))
+        flags = zip(weather_flags(F.col("weather")), WEATHER_COLUMNS, strict=True)
+        columns = [*columns, *[F.coalesce(flag, F.lit(0)).alias(name) for flag, name in flags]]
+        columns = [*columns, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in WEATHER_SCALED]]
+    return slots.select("w", *columns)
 
 
 def cell_samples(features: DataFrame, external: DataFrame | None, no_signal: DataFrame | None) -> DataFrame:
@@ -211,23 +203,14 @@ def sliding_sequences(
 ) -> DataFrame:
     """For each window the values of the last ``step`` windows, oldest first, per ``keys``.
 
-    Windows are consecutive by position. The first ``step - 1`` windows have no sequence. A row
-    is sent to the ``step`` windows it belongs to, so an array never exceeds ``step`` values.
+    Windows are consecutive by position. The first ``step - 1`` windows have no sequence. A
+    sequence is a frame over the positions of its keys' rows, so it never exceeds ``step`` values.
     """
     ranked = rank_windows(panel_times(df, by), by)
+    last = Window.partitionBy(*by, *keys).orderBy("pos").rangeBetween(1 - step, 0)
     placed = df.join(ranked, [*by, "w"])
-    sent = placed.select(
-        *by,
-        *keys,
-        "pos",
-        *cols,
-        F.explode(F.sequence(F.col("pos"), F.col("pos") + (step - 1))).alias("_target"),
-    )
-    grouped = sent.groupBy(*by, *keys, F.col("_target").alias("pos")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("_s")
-    )
-    whole = grouped.filter(F.size("_s") == step).join(ranked, [*by, "pos"])
-    return whole.select(*by, "w", *keys, *[F.col(f"_s.{c}").alias(f"{c}_seq") for c in cols])
+    framed = placed.select(*by, "w", *keys, F.collect_list(F.struct(*cols)).over(last).alias("_s"))
+    return framed.filter(F.size("_s") == step).select(*by, "w", *keys, *[F.col(f"_s.{c}").alias(f"{c}_seq") for c in cols])
 
 
 @dataclass(frozen=True)
@@ -255,12 +238,14 @@ def load_dataset(
     complete_value: float = LABEL_CLEAR,
     trend_days: int = 7,
     compat: bool = False,
+    period_days: int = 1,
+    calendar: bool = False,
 ) -> Dataset:
     """Panels (w, x, y, speed, num) to train and test samples.
 
     Complete the calendar, keep whole days, scale (limits from all but the last ``len_test``
-    windows), build lags within each panel, join external columns, split off the last
-    ``len_test`` sample windows. Tables read more than once are stored in between.
+    windows), build lags within each panel, join external columns (each of ``calendar``,
+    ``holiday`` and ``weather`` on its own), split off the last ``len_test`` sample windows. Tables read more than once are stored in between.
     """
     by = ["source_id"]
     union = panel_union(panels)
@@ -280,11 +265,11 @@ def load_dataset(
         scale = minmax_fit(fitted, "value")
         values = minmax_scale(values, "value", scale)
 
-    features = cpt_features(values, minutes, closeness, period, trend, trend_days=trend_days, by=by)
+    features = cpt_features(values, minutes, closeness, period, trend, period_days, trend_days, by)
     features = stage(features, "features")
     external = None
-    if holiday is not None and weather is not None:
-        external = external_features(panel_times(features), holiday, weather)
+    if calendar or holiday is not None or weather is not None:
+        external = external_features(panel_times(features), holiday, weather, calendar)
     samples = cell_samples(features, external, no_signal)
     train, test = train_test_split_tail(samples, len_test, by)
     return Dataset(train, test, scale)

@@ -17,6 +17,7 @@ from roadpulse.functions.scaling import minmax_inverse
 from roadpulse.operators.evaluate import mean_predictor, rmse
 from roadpulse.operators.features import cpt_features, train_test_split_tail
 from roadpulse.operators.marks import exclude_no_signal
+from roadpulse.session import stage
 
 SEED = 1337
 
@@ -140,12 +141,13 @@ def sweep_report(
 ) -> DataFrame:
     """(kind, length, method, rmse) over lag lengths and methods.
 
-    The loop runs over the configurations only; every configuration is one Spark job.
+    The loop runs over the configurations only. The features of a length are stored once for all
+    methods.
     """
     parts = []
     for length in lengths:
         counts = {"closeness": 0, "period": 0, "trend": 0, kind: length}
-        features = cpt_features(panel, minutes, **counts)
+        features = stage(cpt_features(panel, minutes, **counts), "sweep")
         columns = [f"{kind[0]}{k}" for k in range(1, length + 1)]
         train, test = train_test_split_tail(features, len_test)
         for name, method in methods.items():

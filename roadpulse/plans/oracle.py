@@ -513,6 +513,10 @@ SQL: dict[str, str] = {
     "compare_after_change": f"""select model, round(sqrt(avg(pow(predict - real, 2))), 6) as rmse, count(*) as "values"
         from (select 'mean' as model, * from pred union all select 'latest', * from pred_lag)
         where w in (select w from {AFTER % 300}) and (x, y) not in (select (x, y) from silent) group by 1""",
+    "compare_at_change": """select model, round(sqrt(avg(pow(predict - real, 2))), 6) as rmse, count(*) as "values"
+        from (select 'mean' as model, * from pred union all select 'latest', * from pred_lag)
+        where w in (select w from change order by diff desc, w limit 300) and (x, y) not in (select (x, y) from silent)
+        group by 1""",
     "mean_predictor": f"select {W}, x, y, round({MEAN}, 6) as predict from features",
     "entropy": f"select round(({_entropy('classes')}), 6) as entropy",
     "information_gain": f"""select round(({_entropy('classes')}) - sum(n * h) / sum(n), 6) as gain
@@ -584,6 +588,17 @@ SQL: dict[str, str] = {
               from scaled_features, (select min(value) as lo, max(value) as hi from vals
                    where w not in (select distinct w from vals order by w desc limit {LEN_TEST}))
               where w in (select w from test_tail) and (x, y) not in (select (x, y) from silent))""",
+    "model_report_labels": """
+        select round(avg(cast(predict = real as integer)), 6) as score, round(sqrt(avg(pow(predict - real, 2))), 6) as rmse,
+               round(avg(cast(predict = real as integer)), 6) as accuracy, count(*) as "values"
+        from pred where (x, y) not in (select (x, y) from silent)""",
+    "trips_to_score": f"""
+        select round(sqrt(avg(pow(p - r, 2))), 6) as rmse, count(*) as "values",
+               round(avg(cast({_label('round(p, 6)')} = {_label('round(r, 6)')} as integer)), 6) as label_accuracy
+        from (select f.*, {MEAN} as p, speed as r, dense_rank() over (order by f.w desc) as late
+              from ({_lagged('cleaned', 'x, y', 'speed', CPT_LAGS)}) f join ranked_cleaned r on r.w = f.w
+              where r.pos >= {7 * DAY})
+        where late <= {LEN_TEST} and (x, y) not in (select (x, y) from silent)""",
     "weather_pages": f"""select strftime(date, '%Y%m%d') as date, max_t, min_t, {_flags('weather')},
         cast(case wind when 0 then 0 when 1 then 0 when 2 then 1 else wind end as integer) as wind from weather""",
     "trajectory_polyline": f"""select traj_id, seq // 4096 as part, string_agg({_sec('t')} || ' ' || cast(round(lon * 1000) as bigint)
@@ -591,6 +606,8 @@ SQL: dict[str, str] = {
         from traversal join starts using (edge_id) group by traj_id, seq // 4096""",
 }
 
+CTES["cleaned"] = "select w, x, y, speed from interpolated_filled where w::date not in (select day from flagged)"
+CTES["ranked_cleaned"] = "select w, row_number() over (order by w) - 1 as pos from (select distinct w from cleaned)"
 CTES["heard"] = "select * from dense where (x, y) not in (select (x, y) from silent)"
 CTES["halves"] = """
     select source_id, w, g.x, g.y, coalesce(p.speed, 0) as speed

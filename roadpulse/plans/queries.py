@@ -29,7 +29,7 @@ from roadpulse.operators import (
     trees,
 )
 from roadpulse.plans.tables import CPT, GRID, MINUTES, Tables
-from roadpulse.session import stage_path
+from roadpulse.session import stage, stage_path
 from roadpulse.sources import network as network_files
 from roadpulse.sources import statistics as stat_files
 from roadpulse.sources import trajectories as traj_files
@@ -671,6 +671,13 @@ def compare_after_change(k: Tables) -> DataFrame:
     return _shown(evaluate.compare_after_change(k.change, preds, k.silent, top=300, minutes=MINUTES))
 
 
+@_query("compare_at_change")
+def compare_at_change(k: Tables) -> DataFrame:
+    """The windows of the changes themselves."""
+    preds = {"mean": k.pred, "latest": k.pred_latest}
+    return _shown(evaluate.compare_after_change(k.change, preds, k.silent, top=300, next_n=0, minutes=MINUTES))
+
+
 @_query("mean_predictor")
 def mean_predictor(k: Tables) -> DataFrame:
     return _shown(evaluate.mean_predictor(k.features, CPT).select("w", "x", "y", "predict"))
@@ -829,7 +836,7 @@ def cells_to_frame(k: Tables) -> DataFrame:
 
 def _dataset(k: Tables, scaled=True):
     return features.load_dataset(
-        [k.panel], GRID, MINUTES, k.silent, LEN_TEST, holiday=k.holiday, weather=k.weather, scaled=scaled
+        [k.panel], GRID, MINUTES, k.silent, LEN_TEST, holiday=k.holiday, weather=k.weather, scaled=scaled, calendar=True
     )
 
 
@@ -923,6 +930,30 @@ def model_report(k: Tables) -> DataFrame:
     return _shown(models.model_report(pred, ds.scale))
 
 
+@_query("model_report_labels")
+def model_report_labels(k: Tables) -> DataFrame:
+    """Mean of the lags, rounded to labels and scored by accuracy."""
+    pred = evaluate.mean_predictor(k.features, CPT).withColumn("real", F.col("value"))
+    return _shown(models.model_report(pred, no_signal=k.silent, labels=True))
+
+
+@_query("trips_to_score")
+def trips_to_score(k: Tables) -> DataFrame:
+    """Trips to the cleaned panel, scaled samples, predictions, frames and their scores in km/h and labels."""
+    clean = panel.preprocess_panel(k.panel, GRID, MINUTES)
+    values = stage(clean.select("w", "x", "y", F.col("speed").alias("value")), "clean")
+    fitted, _ = features.train_test_split_tail(values, LEN_TEST)
+    scale = scaling.minmax_fit(fitted, "value")
+    samples = stage(features.cpt_features(scaling.minmax_scale(values, "value", scale), MINUTES), "features")
+    _, test = features.train_test_split_tail(features.cell_samples(samples, None, k.silent), LEN_TEST)
+    frame = features.cells_to_frame(evaluate.mean_predictor(test, CPT), GRID, default=-1.0)
+    met = frame.join(test.select("w", "x", "y", F.col("value").alias("real")), ["w", "x", "y"])
+    speeds = scaling.minmax_inverse(scaling.minmax_inverse(met, "predict", scale), "real", scale)
+    named = [labels.congestion_label(F.round(c, 6)).cast("double").alias(c) for c in ("predict", "real")]
+    share = evaluate.accuracy(speeds.select(*named)).select(F.col("accuracy").alias("label_accuracy")).scalar()
+    return _shown(evaluate.rmse(speeds).withColumn("label_accuracy", share))
+
+
 @_query("sweep_report")
 def sweep_report(k: Tables) -> DataFrame:
     methods = {"mean": models.mean_method}
