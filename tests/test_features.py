@@ -138,3 +138,23 @@ def test_dataset_of_two_panels_keeps_lags_apart(spark):
     assert ds.train.count() + ds.test.count() == 2 * (240 - 168)
     assert ds.test.select("source_id").distinct().first()[0] == 1 and ds.test.count() == 10
     assert tuple(ds.scale.first()) == (1.0, 1230.0)
+
+
+def test_lags_share_one_shuffle(spark):
+    plan = features.cpt_features(hourly(spark, range(24 * 8)), 60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange SinglePartition") == 0
+
+
+def test_sequences_need_every_window(spark):
+    panel = hourly(spark, range(5), cells=2).where("not (x = 1 and value = 102)")
+    got = features.sliding_sequences(panel, ["x", "y"], ["value"], 2).orderBy("x", "w").collect()
+    assert [r["value_seq"] for r in got] == [[0, 1], [1, 2], [2, 3], [3, 4], [100, 101], [103, 104]]
+
+
+def test_external_columns_on_their_own(spark):
+    times = spark.createDataFrame([(START,)], "w timestamp")
+    holiday = spark.createDataFrame([(START.date(),)], "date date")
+    assert features.external_features(times, holiday, None, calendar=False).columns == ["w", "holiday"]
+    assert features.external_features(times, None, None).columns == ["w", *features.WEEKDAY_COLUMNS, "is_weekday"]
+    assert features.external_features(times, holiday, None, calendar=False).first()["holiday"] == 1
