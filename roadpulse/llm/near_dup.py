@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from roadpulse.llm.text import column_bytes, mix, slices, word_hashes
@@ -139,12 +139,14 @@ def components(links: DataFrame) -> DataFrame:
     A node's smallest neighbour is a pre-aggregated minimum that is joined back, so a hub with many
     neighbours is split like any skewed join.
     """
-    edges = stage(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "star")
-
-    def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = mark(edges)
+    def kept(e: DataFrame) -> tuple[DataFrame, tuple]:
+        """The edges as a stored table, and their number and hash, observed while they are written."""
+        seen = Observation()
+        marks = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")
+        table = stage(e.observe(seen, *marks), "star")
+        return table, (seen.get["n"], seen.get["h"])
+
+    edges, before = kept(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while True:
         # Large-star: neighbours larger than a node go to the smallest of its neighbourhood.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -153,9 +155,9 @@ def components(links: DataFrame) -> DataFrame:
         # Small-star: a node and its smaller neighbours go to the smallest of them.
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
         down = edges.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), "m")
-        edges = stage(down.where("u <> m").select("u", F.col("m").alias("v")).distinct(), "star")
-        now = mark(edges)
+        edges, now = kept(down.where("u <> m").select("u", F.col("m").alias("v")).distinct())
         if now == before:
+            # Nothing moves any more: every node but the smallest of a component has one edge, to that one.
             return edges.groupBy("u").agg(F.min("v").alias("component"))
         before = now
 
@@ -250,7 +252,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         more = met.join(sets, "rep").groupBy("key", "a", "b").applyInArrow(_tile_links(percent), "u long, v long")
         more = stage(more.distinct(), "links")
         if not more.isEmpty():
-            found = stage(components(links.union(more)), "components")
+            # The components so far stand for their links.
+            stars = found.select("u", F.col("component").alias("v"))
+            found = stage(components(stars.union(more)), "components")
 
     place = classes.join(found.select(F.col("u").alias("rep"), "component"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component"))
     out = signed.join(place, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
