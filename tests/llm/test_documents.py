@@ -228,6 +228,30 @@ def test_leaks_are_found_and_clean_texts_left(documents, shipped):
     assert decontaminate.contaminated(documents(rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_a_large_group_are_found(documents, shipped):
+    rng = random.Random(4)
+    item = sentence(rng, 36, [f"item{k}" for k in range(40)])
+    words = [f"w{k}" for k in range(3000)]
+    rows = [(i, " ".join([sentence(rng, 20, words), *[item] * (i % 5 < 2), sentence(rng, 25, words)]), "s") for i in range(1500)]
+    assert (decontaminate.inverse_frequency(np.arange(3), np.array([1, 600, 1500]), 1500) > 0).all()
+    bench = shipped.createDataFrame([(1, item), (2, "zz")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(rows + [(2000, "a zz b", "s")]), bench).collect())
+    assert got == [(i, 1) for i in range(1500) if i % 5 < 2] + [(2000, 2)]
+
+
+def test_pairs_find_what_has_no_weight():
+    rng = random.Random(5)
+    text = [sentence(rng, n, [f"w{k}" for k in range(500)]) for n in (1, 2, 7, 15, 40, 120)]
+    items = decontaminate.Items([(k, t.encode()) for k, t in enumerate(text)], np.zeros((decontaminate.TERMS, 2), np.float32))
+    for k, t in enumerate(text):
+        ws = t.split()
+        # The last words stay, as an answer; every third one before them is another.
+        cut = [w if i % 3 or len(ws) < 8 or i >= len(ws) - 6 else "x" for i, w in enumerate(ws)]
+        doc = (" ".join(["a b c d"] * 30 + cut + ["e f g"] * 30)).encode()
+        h, row, _ = decontaminate.word_hashes(np.frombuffer(doc, np.uint8), np.array([0, len(doc)]))
+        assert k in items.places(h, row)[1]
+
+
 def test_lcs_matches_the_plain_table():
     rng = random.Random(1)
     for _ in range(50):
