@@ -239,6 +239,17 @@ def test_leaks_of_a_large_group_are_found(documents, shipped):
     assert got == [(i, 1) for i in range(1500) if i % 5 < 2] + [(2000, 2)]
 
 
+def test_leaks_of_many_more_items_than_directions(documents, shipped):
+    rng = random.Random(6)
+    words, noise = ([f"{c}{k}" for k in range(6000)] for c in "wx")
+    items = [(k, sentence(rng, 40, words)) for k in range(1500)]
+    # A foreign word after each leaves no pair.
+    rows = [(i, " ".join(f"{w} {rng.choice(noise)}" for w in items[i * 20][1].split()), "s") for i in range(75)]
+    bench = shipped.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(documents(rows), bench).collect())
+    assert got == [(i, i * 20) for i in range(75)]
+
+
 def test_pairs_find_what_has_no_weight():
     rng = random.Random(5)
     text = [sentence(rng, n, [f"w{k}" for k in range(500)]) for n in (1, 2, 7, 15, 40, 120)]
