@@ -4,35 +4,54 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 Defined results: stages handle nulls, empty texts and extra columns as their operators do; rows
-with a null ``doc_id`` pass the filters; no rows give no rows.
+with a null ``doc_id`` pass the filters; no rows give no rows. Rows are told apart by ``doc_id`` and
+text: other texts of a removed row's id stay, and one of the rows with an id and the same words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.llm import decontaminate, mixing, near_dup, slots, toxicity
+from roadpulse.llm.text import row_key
 from roadpulse.session import ship_package, stage
 
 
-def _decided(docs: DataFrame, decisions: DataFrame, column: str) -> DataFrame:
-    """Rows of ``docs`` without those whose ids are marked by the boolean ``column``."""
-    gone = decisions.where(F.col(column) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is not a ``doc_id`` of ``gone``."""
+    gone = gone.where("doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, key == F.col("_gone"), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=row_key())
     decisions = stage(scores.select("doc_id", (F.col("predicted") == 1).alias("toxic")), "toxic")
-    return _decided(docs, decisions, "toxic")
+    return _without(docs, decisions.where("toxic"), row_key())
+
+
+def _one_key_a_row(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_key``: the id, or for ids with several texts a number above them; one of identical rows."""
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.where(id_.isNotNull()).select(id_.alias("_id"), row_key().alias("_row")).groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    again = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("most")).where("texts > 1 or most > 1")
+    again = stage(again.select("_id", "texts"), "again")
+    if again.isEmpty():
+        return docs.withColumn("_key", id_)
+    above = F.shiftrightunsigned(row_key(), 2) + F.lit(1 << 62)
+    keyed = docs.join(again, id_ == F.col("_id"), "left").withColumn("_key", F.when(F.col("texts") > 1, above).otherwise(id_))
+    # Texts without words are copies of nothing.
+    repeated = F.col("_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    one = keyed.where(repeated).dropDuplicates(["_key"])
+    return stage(keyed.where(~repeated).unionByName(one).select(*docs.columns, "_key"), "one-key")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    decisions = near_dup.near_duplicates(docs)
-    return _decided(docs, decisions.select("doc_id", (~F.col("kept")).alias("copy")), "copy")
+    keyed = _one_key_a_row(docs)
+    decisions = near_dup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    return _without(keyed, decisions.where(~F.col("kept")), F.col("_key")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ from itertools import product
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.labels import fit_logistic, labelled_sample, probability
@@ -201,8 +201,8 @@ def _scores(lexicon: dict[str, float], weights: np.ndarray, folds: int, held: in
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Per row: doc_id, held_out, score, predicted, n_clauses (matched ones)."""
+def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = 0.3, max_rows: int = MAX_ROWS, key: Column | None = None) -> DataFrame:
+    """Per row: doc_id (or ``key`` in its place), held_out, score, predicted, n_clauses (matched ones)."""
     sample = stage(labelled_sample(docs, labels, "toxic", folds, held, max_rows), "toxic-sample")
     lexicon = learn_lexicon(sample.where("part < 7"))
     grammar = Grammar(lexicon)
@@ -214,5 +214,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 4, held: in
     x = np.array(rows.column("x").to_pylist(), float).reshape(-1, len(grammar.NAMES))
     y = rows.column("label").to_numpy().astype(float)
     weights = fit_logistic(x, y) if len(set(y)) == 2 else np.array([-30.0] + [0.0] * x.shape[1])
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "text")
+    shown = F.col("doc_id").cast("long") if key is None else key
+    df = docs.select(shown.alias("doc_id"), (fold_of(F.col("doc_id"), folds) == held).alias("held_out"), "text")
     return df.mapInArrow(_scores(lexicon, weights, folds, held, threshold), "doc_id long, held_out boolean, score double, predicted int, n_clauses long")

@@ -42,6 +42,24 @@ def test_stages_keep_the_columns(shipped, documents):
     assert "shard" in corpus_pipeline.STAGES[4][1](shipped, docs, SF).columns
 
 
+def test_rows_of_one_id_are_decided_each(shipped, documents, tmp_path):
+    rng = random.Random(3)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(60)) for _ in range(4))
+    item = shipped.read.parquet(f"{SF}/benchmark.parquet").first().text
+    texts = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"), (7, c, "s"), (7, c, "s"), (9, "", "s"), (9, "", "s")]
+    kept = corpus_pipeline.drop_near_duplicates(shipped, documents(rows), SF)
+    assert texts(kept) == sorted([(5, a), (3, b), (7, c), (9, ""), (9, "")])
+    kept = corpus_pipeline.drop_benchmark_leaks(shipped, documents([(8, d, "s"), (8, c + " " + item, "s")]), SF)
+    assert texts(kept) == [(8, d)]
+    bad = "You are a worthless idiot. "
+    given = [(i, (bad if i % 2 else "") + " ".join(rng.choices((a + " " + b).split(), k=60)), "s") for i in range(400)]
+    labels = shipped.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.drop_toxic(shipped, documents(given + [(1001, bad + a, "s"), (1001, b, "s")]), str(tmp_path))
+    assert [r for r in texts(kept) if r[0] == 1001] == [(1001, b)]
+
+
 def test_run(shipped):
     out = corpus_pipeline.run(shipped, SF)
     assert out.count() > 0 and "shard" in out.columns
