@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadpulse.llm import chat, compression, decontaminate, host_rules, html_blocks, mixing, near_dup, slots, suffix_tree, toxicity
+from roadpulse.llm import (
+    chat,
+    compression,
+    decontaminate,
+    host_rules,
+    html_blocks,
+    licenses,
+    merkle,
+    merkle_sql,
+    mixing,
+    near_dup,
+    slots,
+    suffix_tree,
+    toxicity,
+    whitening,
+)
 from roadpulse.session import ship_package
 
 #: A conversation that says nothing but the template's own control strings.
@@ -61,6 +76,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_rows(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_rows(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +101,9 @@ QUERIES = {
         op8_compression,
         op9_slots,
         op10_decontamination,
+        op11_whitening,
+        op12_licenses,
+        op13_merkle,
     )
 }
 
@@ -145,5 +175,8 @@ ORACLE_SQL = {
 }
 
 
+ORACLE_SQL["op13_merkle"] = merkle_sql.manifest_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)

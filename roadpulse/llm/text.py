@@ -88,12 +88,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of rows laid end to end: its hash (A-Z as a-z), its row, and its (start, end) bytes."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word of rows laid end to end: its hash (A-Z as a-z), its row, and its (start, end) bytes.
+
+    ``inside_of`` tells of each byte value whether it belongs to words; by default all but white space do.
+    """
     n = len(data)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~_SPACE[data] if inside_of is None else inside_of[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
