@@ -7,10 +7,12 @@ of 0.75 share a band but for 5 in a million cases, and with more similarity almo
 
 No bucket is expanded into pairs. Its members are first compared with one of them, drawn by a hash,
 and confirmed links are merged into components by alternating large-star and small-star. Most
-buckets are one component then and done. In the others all members in *different* components are
-compared, tile by tile: a bucket is cut into tiles of about ``TILE`` members, and each two tiles
-meet in a group of bounded size, where one matrix product of their sets gives all intersections
-and only links come out. So no link between components is left out and no bucket is capped.
+buckets are one component then and done. In the others only members outside the bucket's largest
+component can still give a link between components, so these outsiders are compared with all
+members: outsiders are cut into tiles and members into blocks, by number and by the size of their
+sets, and each tile meets each block in a group of bounded size, where one matrix product of the
+sets gives all intersections and only links come out. So no link between components is left out
+and no bucket is capped; the work grows with outsiders times members, not with members squared.
 
 Full sets are made again from the texts of candidates only. A bit array of fixed size tells the
 scan which rows these may be, so no text is shuffled and nothing that grows is broadcast.
@@ -37,8 +39,10 @@ from roadpulse.session import stage
 WIDTH, HASHES, BAND = 5, 128, 4
 #: Smallest share of equal minima that goes to the full comparison: 0.75 less 5.2 deviations.
 SURE_BELOW = 0.55
-#: Bits that mark candidates for the scan of the texts, and members of a tile of a large bucket.
-BITS, TILE = 1 << 23, 200
+#: Bits that mark candidates for the scan of the texts.
+BITS = 1 << 23
+#: Outsiders of a tile and members of a block of an open bucket, and shingles of either.
+TILE, BLOCK, WEIGHT = 400, 2000, 1 << 20
 
 _rng = np.random.default_rng(20240501)
 _STEP = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,34 +178,76 @@ def _full_sets(needed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame
     return stage(sets.join(reps.select("rep", "n_shingles"), "rep").where(F.size("shingles") == F.col("n_shingles")).drop("n_shingles"), "sets")
 
 
-def _tile_links(percent: int):
-    """Links (u, v) between members of different components of a group of (rep, component, shingles)."""
+def _outside_links(percent: int):
+    """Links (u, v) of outsiders with members of other components, from a group of (rep, component, outside, shingles)."""
 
     def links(group: pa.Table) -> pa.Table:
         rep, component = group.column("rep").to_numpy(), group.column("component").to_numpy()
+        outside = np.asarray(group.column("outside").combine_chunks())
         lists = group.column("shingles").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
+        # Rows of the matrices: outsiders, and members in their own order.
+        a, b = np.flatnonzero(outside), np.flatnonzero(~outside)
+        row = np.empty(len(rep), np.int64)
+        row[a], row[b] = np.arange(len(a)), np.arange(len(b))
         who = np.repeat(np.arange(len(rep)), size)
-        _, at, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        # Only shingles of two members and more can be common.
-        column = np.cumsum(n > 1) - 1
-        shared = n[at] > 1
+        distinct, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        # Only shingles of an outsider and a member can be common.
+        left, right = (np.bincount(at[side[who]], minlength=len(distinct)) > 0 for side in (outside, ~outside))
+        column = np.cumsum(left & right) - 1
+        shared = (left & right)[at]
         who, at = who[shared], column[at[shared]]
         order = np.argsort(at, kind="stable")
         who, at = who[order], at[order]
-        common = np.zeros((len(rep), len(rep)), np.float32)
+        common = np.zeros((len(a), len(b)), np.float32)
         for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
             lo, hi = np.searchsorted(at, [first, first + 4096])
-            has = np.zeros((len(rep), 4096), np.float32)
-            has[who[lo:hi], at[lo:hi] - first] = 1
-            common += has @ has.T
-        union = size[:, None] + size[None, :] - common
-        u, v = np.nonzero((common * 100 >= union * percent) & (component[:, None] != component[None, :]) & (rep[:, None] < rep[None, :]))
-        return pa.table({"u": rep[u], "v": rep[v]})
+            sides = []
+            for side, n in ((outside[who[lo:hi]], len(a)), (~outside[who[lo:hi]], len(b))):
+                has = np.zeros((n, 4096), np.float32)
+                has[row[who[lo:hi][side]], at[lo:hi][side] - first] = 1
+                sides.append(has)
+            common += sides[0] @ sides[1].T
+        union = size[a][:, None] + size[b][None, :] - common
+        u, v = np.nonzero((common * 100 >= union * percent) & (component[a][:, None] != component[b][None, :]))
+        return pa.table({"u": rep[a[u]], "v": rep[b[v]]})
 
     return links
 
 
+def _outsider_groups(members: DataFrame) -> DataFrame:
+    """Members (rep, key, component, n_shingles) of open buckets, dealt into groups of outsiders and members.
+
+    Rows (rep, component, outside, key, tile, block): a tile's outsiders and a block's members meet.
+    """
+    own = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    main = F.max_by("component", F.struct("n", "component"))
+    most = F.max(F.struct("n", "component", "w"))
+    buckets = own.groupBy("key").agg(main.alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), most.alias("most"), F.count(F.lit(1)).alias("kinds"))
+    buckets = buckets.where("kinds > 1")
+
+    def parts(n, w, limit: int):
+        return F.greatest(F.ceil(n / limit), F.ceil(w / WEIGHT), F.lit(1).cast("long"))
+
+    buckets = buckets.select(
+        "key",
+        "main",
+        parts(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"), TILE).alias("tiles"),
+        parts(F.col("n"), F.col("w"), BLOCK).alias("blocks"),
+    )
+    met = members.join(buckets, "key")
+
+    def dealt(count: str):
+        return F.pmod(F.xxhash64("rep"), F.col(count))
+
+    def each(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    one = met.where("component <> main").select("key", "rep", "component", F.lit(True).alias("outside"), dealt("tiles").alias("tile"), each("blocks").alias("block"))
+    other = met.select("key", "rep", "component", F.lit(False).alias("outside"), dealt("blocks").alias("block"), each("tiles").alias("tile"))
+    return one.unionByName(other)
+
+
 def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose signatures agree enough and whose full sets reach the similarity."""
     sig = reps.select("rep", "minima", "n_shingles")
@@ -241,15 +287,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # Buckets of three and more are open while their members are in more than one component.
     rest = members.where("n > 2").select("rep", "key").join(found.select(F.col("u").alias("rep"), "component"), "rep", "left")
     rest = stage(rest.withColumn("component", F.coalesce("component", "rep")), "open")
-    mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("a <> b").select("key", F.ceil(F.col("n") / TILE).alias("tiles"))
-    rest = stage(rest.join(mixed, "key"), "mixed")
+    mixed = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    rest = stage(rest.join(mixed, "key").join(reps.select("rep", "n_shingles"), "rep"), "mixed")
     if not rest.isEmpty():
         sets = _full_sets(rest.select("rep").distinct(), reps, docs)
-        tile = F.pmod(F.xxhash64("rep"), F.col("tiles"))
-        met = rest.withColumn("tile", tile).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other"))
-        met = met.select("key", "rep", "component", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
-        more = met.join(sets, "rep").groupBy("key", "a", "b").applyInArrow(_tile_links(percent), "u long, v long")
+        met = _outsider_groups(rest).join(sets, "rep")
+        more = met.groupBy("key", "tile", "block").applyInArrow(_outside_links(percent), "u long, v long")
         more = stage(more.distinct(), "links")
         if not more.isEmpty():
             # The components so far stand for their links.

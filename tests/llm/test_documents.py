@@ -77,8 +77,44 @@ def test_near_duplicates_match_brute_force(documents, corpus, monkeypatch):
 def test_open_buckets_are_compared_by_tiles(shipped):
     import pyarrow as pa
 
-    group = pa.table({"rep": [1, 2, 3], "component": [1, 1, 3], "shingles": pa.array([[1, 2, 3, 4], [1, 2, 3, 4], [2, 3, 4]], pa.list_(pa.int64()))})
-    assert near_dup._tile_links(75)(group).to_pylist() == [{"u": 1, "v": 3}, {"u": 2, "v": 3}]
+    sets = pa.array([[1, 2, 3, 4], [1, 2, 3, 4], [2, 3, 4], [2, 3, 4], [9]], pa.list_(pa.int64()))
+    group = pa.table({"rep": [1, 2, 3, 3, 5], "component": [1, 1, 3, 3, 5], "outside": [False, False, True, False, True], "shingles": sets})
+    assert sorted(map(tuple, (r.values() for r in near_dup._outside_links(75)(group).to_pylist()))) == [(3, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("limits", [(400, 2000, 1 << 20), (7, 60, 5000)])
+def test_an_open_bucket_of_many_components_loses_no_link(documents, monkeypatch, limits):
+    for name, value in zip(("TILE", "BLOCK", "WEIGHT"), limits, strict=True):
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(4000)]
+    base = [rng.choice(words) for _ in range(150)]
+
+    def edited(n):
+        text = list(base)
+        for k in rng.sample(range(len(text)), n):
+            text[k] = rng.choice(words)
+        return " ".join(text)
+
+    # Similarities around the limit: one large component, some small ones and many single texts.
+    rows = [(i, edited(rng.choice([1, 2, 3, 4, 5, 6])), "s") for i in range(1000)]
+    sets = sets_of(rows)
+    ids = sorted(sets)
+    column = {s: k for k, s in enumerate(sorted(set().union(*sets.values())))}
+    has = np.zeros((len(ids), len(column)), np.float32)
+    for i in ids:
+        has[i, [column[s] for s in sets[i]]] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    least = np.arange(len(ids))
+    while True:
+        near = np.where(linked, least[None, :], len(ids)).min(axis=1)
+        if (near == least).all():
+            break
+        least = near
+    assert 20 < len(set(least)) < 900
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(documents(rows)).collect()}
+    assert got == dict(enumerate(least.tolist()))
 
 
 def test_components_of_a_chain_and_a_hub(shipped):
