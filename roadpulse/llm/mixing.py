@@ -30,7 +30,7 @@ from roadpulse.llm.text import WORD, words
 from roadpulse.session import stage
 
 WEIGHTS = (3, 1, 2)
-BLOCK, SHARDS, BUCKETS, SLOTS_PER_ROW = 64, 64, 1024, 4096
+BLOCK, SHARDS, BUCKETS, SLOTS_PER_ROW, SLOTS_PER_TASK = 64, 64, 1024, 4096, 1 << 18
 
 
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
@@ -102,14 +102,17 @@ def drawn_slots(plan: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(place, shard, index, turn): every slot's output shard, block index and pass."""
     parts = plan.where("slots > 0").select("place", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SLOTS_PER_ROW))).alias("part"))
     last = F.least(F.col("slots"), (F.col("part") + 1) * SLOTS_PER_ROW) - 1
-    slots = parts.repartition("place", "part").select("place", "blocks", "part", F.explode(F.sequence(F.col("part") * SLOTS_PER_ROW, last)).alias("slot"))
+    # Parts are few and short before they are slots, so a number of tasks has to be asked for.
+    tasks = max(1, -(-(plan.agg(F.sum("slots")).first()[0] or 0) // SLOTS_PER_TASK))
+    slots = parts.repartition(tasks, "place", "part").select("place", "blocks", "part", F.explode(F.sequence(F.col("part") * SLOTS_PER_ROW, last)).alias("slot"))
     slots = slots.withColumn("shard", F.pmod(F.xxhash64(F.lit(11), "place", "slot"), F.lit(shards)).cast("int"))
     # Numbering by shard: counts per (source, part, shard) are the multinomial draw in pieces.
     counts = slots.groupBy("place", "shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("place").orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("place", "shard", "part").orderBy("slot")
-    numbered = slots.withColumn("k", F.row_number().over(inside) - 1).join(counts, ["place", "shard", "part"])
+    # Tables of slots grow with the corpus and shrink to little when compressed, which would pass for small.
+    numbered = slots.withColumn("k", F.row_number().over(inside) - 1).join(counts.hint("merge"), ["place", "shard", "part"])
     number = F.col("first") + F.col("k")
     turn = F.floor(number / F.col("blocks"))
     return numbered.select("place", "shard", _permuted(number % F.col("blocks"), F.col("blocks"), F.col("place"), turn).alias("index"), turn.alias("turn"))
@@ -128,10 +131,10 @@ def mix_sources(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, l
     """Per row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     placed, plan = _placed(docs, block, weights, share, limit)
     times = drawn_slots(plan, shards).groupBy("place", "index").agg(F.count(F.lit(1)).alias("times"))
-    taken = _pieces(placed, block).join(times, ["place", "index"])
+    taken = _pieces(placed, block).join(times.hint("merge"), ["place", "index"])
     taken = taken.groupBy("place", "begin").agg(F.sum((F.col("end") - F.col("start")) * F.col("times")).alias("taken"))
     # Documents without words share a place with the next one.
-    out = placed.join(taken, ["place", "begin"], "left")
+    out = placed.join(taken.hint("merge"), ["place", "begin"], "left")
     got = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long")
     return out.select("doc_id", "size", "source_size", "target", got.alias("taken"))
 
@@ -143,7 +146,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     by blanks, in order. ``n_chars``, where there is one, is that of the new text.
     """
     placed, plan = _placed(docs, block, weights, share, limit)
-    taken = _pieces(placed, block).join(drawn_slots(plan, shards).select("place", "index", "turn"), ["place", "index"])
+    taken = _pieces(placed, block).join(drawn_slots(plan, shards).select("place", "index", "turn").hint("merge"), ["place", "index"])
     runs = taken.groupBy("place", "begin", "turn").agg(
         F.first("doc_id").alias("_id"),
         F.first("text_id").alias("_text_id"),
@@ -157,7 +160,7 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     own = Window.partitionBy("_key_id", "_key_text").orderBy("_key_id")
     keyed = docs.withColumn("_key_id", F.col("doc_id").cast("long")).withColumn("_key_text", F.xxhash64("text"))
     keyed = keyed.withColumn("_nth", F.row_number().over(own))
-    out = keyed.join(runs, F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_text") == F.col("_text_id")) & (F.col("_nth") == F.col("_copy")))
+    out = keyed.join(runs.hint("merge"), F.col("_key_id").eqNullSafe(F.col("_id")) & (F.col("_key_text") == F.col("_text_id")) & (F.col("_nth") == F.col("_copy")))
     part = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), " ")
     text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(part)
     out = out.withColumn("_words", F.when(F.col("_taken") < F.col("_size"), words(F.col("text")))).withColumn("text", text)
