@@ -1,24 +1,28 @@
-"""A multiway decision tree grown level by level.
+"""A multiway decision tree grown level by level from counted tuples.
 
 At a node the candidates are the next unused closeness lag, the next period lag, the next
 trend lag and every external column not used on the path. The best gain wins, ties in that
-order. Only label counts per (node, candidate, value) leave the executors' partial aggregates;
-samples carry the id of their node and move down one level per round.
+order.
+
+Samples are read once and become distinct (attributes, label) tuples with their numbers, the only
+input of all levels. Nodes are known by a number, the hash of their parent, attribute and value; the
+path stands beside it for readers. Prediction routes distinct tuples through a table of value
+ranges per child, all levels in one plan, and joins the result back to the samples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.operators.information import majority_of_counts, value_entropy
-from roadpulse.session import cut_lineage, stage
+from roadpulse.session import stage
 
 ROOT = "root"
-# Samples are stored every so many levels; in between they follow a chain of node lookups.
-STORE_EVERY = 4
+ROOT_ID = 0
 
 
 def _attribute(names: Sequence[str], chosen: Column) -> Column:
@@ -29,12 +33,15 @@ def _attribute(names: Sequence[str], chosen: Column) -> Column:
     return value
 
 
-def _child(node: Column, attr: Column, value: Column) -> Column:
-    return F.concat(node, F.lit("/"), attr, F.lit("="), value.cast("string"))
+def counted_tuples(samples: DataFrame, attrs: Sequence[str], label: str) -> DataFrame:
+    """Distinct (attributes, label) with their number ``n``, stored."""
+    values = [F.col(a).cast("double").alias(a) for a in attrs]
+    rows = samples.select(*values, F.col(label).cast("int").alias("label"))
+    return stage(rows.groupBy(*attrs, "label").agg(F.count(F.lit(1)).alias("n")), "tree-tuples")
 
 
 def _candidates(families: Sequence[Sequence[str]], externals: Sequence[str]) -> Column:
-    """What a sample's node may split on, as (ord, attr, value).
+    """What a tuple's node may split on, as (ord, attr, value).
 
     The first entry belongs to no attribute: its counts are those of the node itself.
     """
@@ -68,127 +75,109 @@ def level_tree_fit(
     min_support: int = 10,
     min_confidence: float = 0.9,
 ) -> DataFrame:
-    """Node table: node, parent, attr and value of the branch, split_attr, label, support, level.
+    """Node table: id, parent_id, node, parent, attr and value of the branch, split_attr, label, support, level.
 
     A node becomes a leaf when its majority label exceeds ``min_confidence``, when it has no
     more than ``min_support`` samples, or when no candidate is left. A best gain of zero still
-    splits. Each level takes one pass over the samples.
+    splits. A missing attribute value is a value of its own.
     """
     families = [list(closeness)[:max_c], list(period)[:max_d], list(trend)[:max_w]]
     attrs = [*closeness, *period, *trend, *externals]
-    branch = ["node", "parent", "attr", "value"]
-    rows = samples.select(
-        *[F.col(a).cast("double").alias(a) for a in attrs],
-        F.col(label).cast("int").alias("label"),
+    used = [f"used_{i}" for i in range(3)]
+    rows = counted_tuples(samples, attrs, label).withColumns(
+        {
+            "id": F.lit(ROOT_ID).cast("long"),
+            **{name: F.lit(0) for name in used},
+            "used_externals": F.array().cast("array<string>"),
+        }
+    )
+    places = samples.sparkSession.range(1).select(
+        F.lit(ROOT_ID).cast("long").alias("id"),
+        F.lit(None).cast("long").alias("parent_id"),
         F.lit(ROOT).alias("node"),
         F.lit(None).cast("string").alias("parent"),
         F.lit(None).cast("string").alias("attr"),
         F.lit(None).cast("double").alias("value"),
-        *[F.lit(0).alias(f"used_{i}") for i in range(3)],
-        F.array().cast("array<string>").alias("used_externals"),
     )
 
     levels: list[DataFrame] = []
     while True:
         level = len(levels)
-        shown = rows.select(*branch, "label", F.explode(_candidates(families, externals)).alias("option"))
-        counts = shown.groupBy(*branch, "option", "label").agg(F.count(F.lit(1)).alias("n"))
-        counts = stage(counts, "tree-counts")
+        shown = rows.select("id", "label", "n", F.explode(_candidates(families, externals)).alias("option"))
+        counts = stage(shown.groupBy("id", "option", "label").agg(F.sum("n").alias("n")), "tree-counts")
 
-        nodes = majority_of_counts(counts.filter("option.ord < 0"), branch, "label").withColumn("level", F.lit(level))
+        nodes = majority_of_counts(counts.filter("option.ord < 0"), ["id"], "label").withColumn("level", F.lit(level))
         is_open = (F.col("confidence") <= min_confidence) & (F.col("support") > min_support)
         # Rounded, so that equal gains summed in another order stay equal.
         rest = F.round(F.sum(F.col("n") * F.col("entropy")) / F.sum("n"), 12).alias("rest")
-        gains = value_entropy(counts.filter("option.ord >= 0"), ["node", "option"]).groupBy(
-            "node", "option.ord", "option.attr"
-        ).agg(rest)
-        best = gains.groupBy("node").agg(F.min_by("attr", F.struct("rest", "ord")).alias("split_attr"))
-        nodes = nodes.join(best, "node", "left").withColumn("split_attr", F.when(is_open, F.col("split_attr")))
-        nodes = stage(nodes, "tree-nodes")
+        gains = value_entropy(counts.filter("option.ord >= 0"), ["id", "option"]).groupBy("id", "option.ord", "option.attr")
+        best = gains.agg(rest).groupBy("id").agg(F.min_by("attr", F.struct("rest", "ord")).alias("split_attr"))
+        nodes = places.join(nodes, "id").join(best, "id", "left")
+        nodes = stage(nodes.withColumn("split_attr", F.when(is_open, F.col("split_attr"))), "tree-nodes")
         levels.append(nodes)
 
-        splits = nodes.filter(F.col("split_attr").isNotNull()).select("node", "split_attr")
-        open_nodes = splits.count()
-        if open_nodes == 0:
+        splits = nodes.filter(F.col("split_attr").isNotNull()).select(F.col("id").alias("parent_id"), F.col("node").alias("parent"), F.col("split_attr").alias("attr"))
+        if splits.isEmpty():
             break
-        chosen = F.col("split_attr")
-        value = _attribute(attrs, chosen)
-        used = [
-            (F.col(f"used_{i}") + chosen.isin(list(family)).cast("int")).alias(f"used_{i}")
-            for i, family in enumerate((closeness, period, trend))
-        ]
-        used_externals = F.when(
-            chosen.isin(list(externals)), F.array_append("used_externals", chosen)
-        ).otherwise(F.col("used_externals"))
-        rows = rows.drop("parent", "attr", "value").join(splits, "node").select(
-            *attrs,
-            "label",
-            _child(F.col("node"), chosen, value).alias("node"),
-            F.col("node").alias("parent"),
-            chosen.alias("attr"),
-            value.alias("value"),
-            *used,
-            used_externals.alias("used_externals"),
-        )
-        if (level + 1) % STORE_EVERY == 0:
-            rows = cut_lineage(rows)
-
-    tree = levels[0]
-    for other in levels[1:]:
-        tree = tree.unionByName(other)
-    return tree
-
-
-def _nearest_children(asked: DataFrame, children: DataFrame) -> DataFrame:
-    """(node, value, child): the child with the value nearest to each asked one.
-
-    Asked values and children are ordered together per node, so each asked value meets only
-    its two neighbours. Of two equally near children the one with the smaller value is taken.
+        chosen = F.col("attr")
+        child = F.xxhash64("parent_id", "attr", "value").alias("id")
+        left = [(F.col(u) + chosen.isin(list(f)).cast("int")).alias(u) for u, f in zip(used, (closeness, period, trend), strict=True)]
+        external = F.when(chosen.isin(list(externals)), F.array_append("used_externals", chosen)).otherwise(F.col("used_externals"))
+        moved = rows.withColumnRenamed("id", "parent_id").join(splits.drop("parent"), "parent_id")
+        moved = moved.withColumn("value", _attribute(attrs, chosen))
+        rows = moved.select(*attrs, "label", "n", child, *left, external.alias("used_externals"))
+        # The children are what the split attribute's counts tell.
+        split = counts.filter("option.ord >= 0").select(F.col("id").alias("parent_id"), F.col("option.attr").alias("attr"), F.col("option.value").alias("value")).distinct()
+        path = F.concat("parent", F.lit("/"), "attr", F.lit("="), F.coalesce(F.col("value").cast("string"), F.lit("none")))
+        places = split.join(splits, ["parent_id", "attr"]).select(child, "parent_id", path.alias("node"), "parent", "attr", "value")
+    return reduce(DataFrame.unionByName, levels)
+
+
+def child_ranges(nodes: DataFrame) -> DataFrame:
+    """(parent_id, level, low, high, child, split_attr, label): a child takes values above ``low`` up to ``high``.
+
+    Limits lie half way between sorted children, so a value goes to the nearest child and of two
+    equally near ones to the smaller. Missing values have no range.
     """
-    child = F.struct(F.col("value").alias("v"), F.col("node").alias("child")).alias("_c")
-    both = children.select(F.col("parent").alias("node"), "value", child).unionByName(
-        asked.withColumn("_c", F.lit(None).cast("struct<v:double,child:string>"))
+    # As many rows as an attribute has values among a node's samples.
+    own = Window.partitionBy("parent_id").orderBy("value")
+    half = lambda other: (F.col("value") + other) / 2
+    children = nodes.filter(F.col("parent_id").isNotNull() & F.col("value").isNotNull())
+    return children.select(
+        "parent_id",
+        "level",
+        half(F.lag("value").over(own)).alias("low"),
+        half(F.lead("value").over(own)).alias("high"),
+        F.col("id").alias("child"),
+        F.col("split_attr").alias("_split"),
+        F.col("label").alias("_label"),
     )
-    start = Window.unboundedPreceding, Window.currentRow
-    up = Window.partitionBy("node").orderBy("value", F.col("_c").isNull()).rowsBetween(*start)
-    down = Window.partitionBy("node").orderBy(F.col("value").desc(), F.col("_c").isNull()).rowsBetween(*start)
-    both = both.withColumn("_below", F.last("_c", ignorenulls=True).over(up))
-    both = both.withColumn("_above", F.last("_c", ignorenulls=True).over(down))
-    below, above = F.col("_below"), F.col("_above")
-    lower_is_nearer = above.isNull() | (F.col("value") - below["v"] <= above["v"] - F.col("value"))
-    nearest = F.when(below.isNotNull() & lower_is_nearer, below["child"]).otherwise(above["child"])
-    return both.filter(F.col("_c").isNull()).select("node", "value", nearest.alias("child"))
 
 
 def level_tree_predict(samples: DataFrame, nodes: DataFrame, attrs: Sequence[str]) -> DataFrame:
     """Add ``predict``: walk from the root to a leaf, at each split to the nearest child.
 
-    Per level the distinct (node, value) pairs find their child once, and samples look it up.
-    A sample carries its node's split column (null at a leaf).
+    Distinct attribute tuples walk; samples look their tuple up. A missing value ends the walk.
     """
-    root = nodes.filter(F.col("node") == ROOT).select("label", "split_attr").first()
+    root = nodes.filter(F.col("id") == ROOT_ID).select("label", "split_attr").first()
     depth = nodes.agg(F.max("level")).first()[0]
-    rows = samples.withColumns(
-        {"node": F.lit(ROOT), "split_attr": F.lit(root["split_attr"]).cast("string"), "predict": F.lit(root["label"])}
+    ranges = stage(child_ranges(nodes), "tree-ranges")
+    values = [F.col(a).cast("double").alias(f"_{a}") for a in attrs]
+    tuples = stage(samples.select(*values).distinct(), "tree-asked")
+    rows = tuples.withColumns(
+        {"id": F.lit(ROOT_ID).cast("long"), "split_attr": F.lit(root["split_attr"]).cast("string"), "predict": F.lit(root["label"])}
     )
-    for level in range(depth):
-        rows = rows.withColumn("_value", _attribute(attrs, F.col("split_attr")).cast("double"))
-        asked = rows.filter(F.col("split_attr").isNotNull()).select("node", F.col("_value").alias("value")).distinct()
-        children = nodes.filter(F.col("level") == level + 1)
-        below = children.select(
-            F.col("node").alias("child"), F.col("split_attr").alias("_split"), F.col("label").alias("_label")
-        )
-        steps = _nearest_children(asked, children).join(below, "child").withColumnRenamed("value", "_value")
-        steps = stage(steps, "tree-steps")
-        rows = rows.join(steps, ["node", "_value"], "left")
-        moved = F.col("child").isNotNull()
+    for level in range(1, depth + 1):
+        asked = F.lit(None).cast("double")
+        for a in attrs:
+            asked = F.when(F.col("split_attr") == a, F.col(f"_{a}")).otherwise(asked)
+        rows = rows.withColumn("_asked", asked)
+        step = ranges.filter(F.col("level") == level).drop("level")
+        fits = (F.col("low").isNull() | (F.col("_asked") > F.col("low"))) & (F.col("high").isNull() | (F.col("_asked") <= F.col("high")))
+        rows = rows.join(step, (F.col("id") == F.col("parent_id")) & F.col("_asked").isNotNull() & fits, "left")
         rows = rows.withColumns(
-            {
-                "node": F.coalesce("child", "node"),
-                "predict": F.when(moved, F.col("_label")).otherwise(F.col("predict")),
-                "split_attr": F.col("_split"),
-            }
-        ).drop("child", "_value", "_split", "_label")
-        if (level + 1) % STORE_EVERY == 0:
-            rows = cut_lineage(rows)
-    return rows.drop("node", "split_attr")
+            {"id": F.coalesce("child", "id"), "predict": F.coalesce("_label", "predict"), "split_attr": F.col("_split")}
+        ).drop("parent_id", "low", "high", "child", "_split", "_label", "_asked")
+    rows = rows.drop("id", "split_attr")
+    same = reduce(lambda a, b: a & b, [F.col(a).cast("double").eqNullSafe(F.col(f"_{a}")) for a in attrs])
+    return samples.join(rows, same, "left").drop(*[f"_{a}" for a in attrs])

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
-from roadpulse.plans.queries import CHOSEN, LEN_TEST
-from roadpulse.plans.tables import FINE, GRID, MIN_LENGTH, MINUTES
+from roadpulse.plans import oracle_trees
+from roadpulse.plans.queries import CHOSEN, FOREST, GRID_CHOICES, LABELS, LEN_TEST, SPEED_BIN
+from roadpulse.plans.tables import FINE, GRID, MIN_LENGTH, MINUTES, TREE_EXTERNALS
 from roadpulse.spec import ROAD_CLASS_CODES, windows_per_day
 
 DAY = windows_per_day(MINUTES)
@@ -94,8 +95,9 @@ def _shift(w: str, n: int | str) -> str:
 def _lagged(source: str, keys: str, value: str, lags: dict[str, int]) -> str:
     joins, columns = [], []
     for name, n in lags.items():
-        on = " and ".join(f"a.{k} = {name}.{k}" for k in keys.split(", "))
-        joins.append(f"join {source} {name} on {on} and {name}.w = {_shift('a.w', -n)}")
+        # One key per lag: equal columns of two lags would invite a join between them.
+        a, own = (", ".join(f"{t}.{k}" for k in keys.split(", ")) for t in ("a", name))
+        joins.append(f"join {source} {name} on row({own}, {name}.w) = row({a}, {_shift('a.w', -n)})")
         columns.append(f"{name}.{value} as {name}")
     return f"select a.*, {', '.join(columns)} from {source} a {' '.join(joins)}"
 
@@ -235,7 +237,9 @@ CTES: dict[str, str] = {
     "whole_days": f"""
         select * from complete where w::date in
             (select w::date from complete group by 1 having count(distinct w) = {DAY})""",
-    "vals": "select w, x, y, speed as value from whole_days",
+    "vals": f"""
+        select w, x, y, speed as value from cleaned
+        where w::date in (select w::date from cleaned group by 1 having count(distinct w) = {DAY})""",
     "ranked_vals": "select w, row_number() over (order by w) - 1 as pos from (select distinct w from vals)",
     "features": f"""
         select f.* from ({_lagged('vals', 'x, y', 'value', CPT_LAGS)}) f join ranked_vals r on r.w = f.w
@@ -613,6 +617,33 @@ CTES["halves"] = """
     select source_id, w, g.x, g.y, coalesce(p.speed, 0) as speed
     from (select *, case when w < timestamp '2024-01-16' then 0 else 1 end as source_id from times) t
     cross join grid g left join panel p using (w, x, y)"""
+CTES["lab_complete"] = f"""
+    select s.w, g.x, g.y,
+           case when t.w is not null then coalesce({_label('p.speed')}, 0)
+                when (g.x, g.y) in (select (x, y) from silent) then 0 else 4 end::double as value
+    from span s cross join grid g left join times t on t.w = s.w
+    left join panel p on p.w = s.w and p.x = g.x and p.y = g.y"""
+CTES["lab_vals"] = f"""
+    select * from lab_complete where w::date in
+        (select w::date from lab_complete group by 1 having count(distinct w) = {DAY})"""
+CTES["ranked_lab"] = "select w, row_number() over (order by w) - 1 as pos from (select distinct w from lab_vals)"
+CTES["lab_features"] = f"""
+    select f.* from ({_lagged('lab_vals', 'x, y', 'value', CPT_LAGS)}) f join ranked_lab r on r.w = f.w
+    where r.pos >= {7 * DAY}"""
+CTES["external_lab"] = CTES["external"].replace("from features", "from lab_features")
+for _name, _rows, _external in (("tree", "lab_features", "external_lab"), ("speed", "features", "external")):
+    _columns = ", ".join(f"e.{c}" for c in TREE_EXTERNALS)
+    CTES[f"{_name}_rows"] = f"""
+        select f.*, {_columns} from {_rows} f join {_external} e on e.w = f.w where (f.x, f.y) not in (select (x, y) from silent)"""
+    CTES[f"{_name}_tail"] = f"select distinct w from {_name}_rows order by w desc limit {LEN_TEST}"
+    CTES[f"{_name}_train"] = f"select * from {_name}_rows where w not in (select w from {_name}_tail)"
+    CTES[f"{_name}_test"] = f"select * from {_name}_rows where w in (select w from {_name}_tail)"
+oracle_trees.add(
+    W, list(CPT_LAGS), TREE_EXTERNALS, LABELS, FOREST, GRID_CHOICES,
+    key=f"({_fmt('w')} || '/' || x || '/' || y)", bin_of=lambda c: f"floor({c} / {SPEED_BIN}) * {SPEED_BIN}",
+)
+CTES |= oracle_trees.CTES
+SQL |= oracle_trees.SQL
 CTES["external_all"] = CTES["external"].replace("from features", "from vals")
 
 
@@ -638,8 +669,8 @@ def _needed(sql: str) -> list[str]:
     order: list[str] = []
 
     def visit(text: str) -> None:
-        for name in CTES:
-            if name not in order and re.search(rf"\b(from|join)\s+{name}\b", text):
+        for name in re.findall(r"(?:\b(?:from|join)|,)\s+(\w+)\b", text):
+            if name in CTES and name not in order:
                 visit(CTES[name])
                 order.append(name)
 

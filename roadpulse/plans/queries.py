@@ -7,9 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +16,7 @@ from roadpulse.operators import (
     evaluate,
     features,
     gaps,
+    histogram_trees,
     information,
     links,
     marks,
@@ -28,7 +27,7 @@ from roadpulse.operators import (
     trajectories,
     trees,
 )
-from roadpulse.plans.tables import CPT, GRID, MINUTES, Tables
+from roadpulse.plans.tables import CPT, GRID, MINUTES, TREE_EXTERNALS, Tables
 from roadpulse.session import stage, stage_path
 from roadpulse.sources import network as network_files
 from roadpulse.sources import statistics as stat_files
@@ -836,8 +835,9 @@ def cells_to_frame(k: Tables) -> DataFrame:
 
 def _dataset(k: Tables, scaled=True):
     return features.load_dataset(
-        [k.panel], GRID, MINUTES, k.silent, LEN_TEST, holiday=k.holiday, weather=k.weather, scaled=scaled, calendar=True
-    )
+        [k.clean.drop("label")], GRID, MINUTES, k.silent, LEN_TEST,
+        holiday=k.holiday, weather=k.weather, scaled=scaled, complete=False, calendar=True,
+    )
 
 
 def _both(ds: features.Dataset) -> DataFrame:
@@ -866,60 +866,82 @@ def test_on_change(k: Tables) -> DataFrame:
     return _shown(chosen.drop("source_id"))
 
 
-def _tree_rows(k: Tables) -> DataFrame:
-    rows = k.labelled
-    train, test = features.train_test_split_tail(rows, LEN_TEST)
-    return train, test
+def _tree_rows(k: Tables) -> tuple[DataFrame, DataFrame]:
+    return features.train_test_split_tail(k.tree_samples, LEN_TEST)
+
+
+def _level_tree(k: Tables, train: DataFrame) -> DataFrame:
+    return trees.level_tree_fit(train, CPT[:3], CPT[3:4], CPT[4:], TREE_EXTERNALS, label="value")
 
 
 @_query("level_tree_fit")
 def level_tree_fit(k: Tables) -> DataFrame:
     train, _ = _tree_rows(k)
-    return _shown(trees.level_tree_fit(train, CPT[:3], CPT[3:4], CPT[4:], label="value"))
+    return _shown(_level_tree(k, train).drop("id", "parent_id"))
 
 
 @_query("level_tree_predict")
 def level_tree_predict(k: Tables) -> DataFrame:
     train, test = _tree_rows(k)
-    nodes = trees.level_tree_fit(train, CPT[:3], CPT[3:4], CPT[4:], label="value")
-    return _shown(trees.level_tree_predict(test, nodes, CPT).select("w", "x", "y", "value", "predict"))
+    nodes = _level_tree(k, train)
+    return _shown(trees.level_tree_predict(test, nodes, [*CPT, *TREE_EXTERNALS]).select("w", "x", "y", "value", "predict"))
 
 
-def _scored(k: Tables, pipeline, labelled=True):
-    rows = k.labelled if labelled else k.features
-    train, test = features.train_test_split_tail(rows, LEN_TEST)
-    return models.predict(pipeline.fit(train), test)
+TREE_FEATURES = [*CPT, *TREE_EXTERNALS]
+LABELS = [0.0, 1.0, 2.0, 3.0, 4.0]
+FOREST = 20
+GRID_CHOICES = (["gini", "entropy"], [None, 5, 10, 15], [2, 4, 6], [1, 2, 3], 3)
+#: Width of the bins of speeds, metres a second.
+SPEED_BIN = 1.0
+
+
+def _predicted(test: DataFrame, nodes: DataFrame) -> DataFrame:
+    rows = histogram_trees.predict(test, nodes, TREE_FEATURES)
+    return _shown(rows.select("w", "x", "y", "predict", F.col("value").alias("real")))
 
 
 @_query("dt_classifier")
 def dt_classifier(k: Tables) -> DataFrame:
-    return _shown(_scored(k, models.dt_classifier(CPT)).select("w", "x", "y", "predict", "real"))
+    train, test = _tree_rows(k)
+    tree = histogram_trees.Tree("gini", 10, min_split=4, min_leaf=1)
+    return _predicted(test, histogram_trees.fit_tree(train, TREE_FEATURES, "value", tree, LABELS))
+
+
+def _speed_rows(k: Tables) -> tuple[DataFrame, DataFrame]:
+    """Samples of speeds: lags in bins, the target also in whole millimetres a second."""
+    rows = k.with_externals(k.features)
+    rows = rows.withColumns({c: histogram_trees.binned(F.col(c), SPEED_BIN) for c in CPT})
+    rows = stage(rows.withColumn("target", F.round(F.col("value") * 1000).cast("long")), "samples")
+    return features.train_test_split_tail(rows, LEN_TEST)
 
 
 @_query("dt_regressor")
 def dt_regressor(k: Tables) -> DataFrame:
-    return _shown(_scored(k, models.dt_regressor(CPT), labelled=False).select("w", "x", "y", "predict", "real"))
+    train, test = _speed_rows(k)
+    tree = histogram_trees.Tree("squared", 10, min_split=4, min_leaf=1)
+    nodes = histogram_trees.fit_tree(train, TREE_FEATURES, "target", tree)
+    return _predicted(test, nodes.withColumn("predict", F.col("predict") / 1000))
+
+
+def _row_name() -> Column:
+    """A sample's own text."""
+    return F.concat_ws("/", timing.format_time(F.col("w")), F.col("x").cast("string"), F.col("y").cast("string"))
 
 
 @_query("rf_classifier")
 def rf_classifier(k: Tables) -> DataFrame:
-    return _shown(_scored(k, models.rf_classifier(CPT)).select("w", "x", "y", "predict", "real"))
+    train, test = _tree_rows(k)
+    tree = histogram_trees.Tree("entropy", 10, min_split=2, min_leaf=2)
+    return _predicted(test, histogram_trees.fit_forest(train, TREE_FEATURES, "value", _row_name(), FOREST, tree, LABELS))
 
 
 @_query("grid_search")
 def grid_search(k: Tables) -> DataFrame:
-    """Accuracy of each parameter choice."""
-    pipeline = models.dt_classifier(CPT)
-    tree = pipeline.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(tree.maxDepth, [3, 6]).addGrid(tree.impurity, ["gini", "entropy"]).build()
-    evaluator = MulticlassClassificationEvaluator(labelCol="value", metricName="accuracy")
+    """Accuracy of each parameter choice over blocks of time."""
     train, _ = _tree_rows(k)
-    found = models.grid_search(pipeline, grid, evaluator, train, folds=2)
-    rows = [
-        (*[str(v) for _, v in sorted((p.name, v) for p, v in params.items())], float(m))
-        for params, m in zip(grid, found.avgMetrics, strict=True)
-    ]
-    return _shown(k.spark.createDataFrame(rows, "impurity string, max_depth string, accuracy double"))
+    criteria, depths, splits, leaves, folds = GRID_CHOICES
+    found = histogram_trees.grid_search(train, TREE_FEATURES, "value", criteria, depths, splits, leaves, folds, LABELS)
+    return _shown(found.withColumnRenamed("score", "accuracy"))
 
 
 @_query("model_report")

@@ -16,6 +16,8 @@ GRID, MINUTES = b.GRID, b.MINUTES
 FINE = 5
 MIN_LENGTH = 500.0
 CPT = features.lag_columns(3, 1, 1)
+#: External columns of the tree queries.
+TREE_EXTERNALS = ["is_weekday", "holiday", "rain_small"]
 
 
 class Tables:
@@ -119,10 +121,16 @@ class Tables:
         """The completed panel's whole days."""
         return panel.keep_days(self.complete, panel.complete_days(panel.complete_times(self.panel, MINUTES), MINUTES))
 
+    @cached_property
+    def clean(self) -> DataFrame:
+        """The cleaned panel: usual days, their missing windows and gaps interpolated."""
+        return stage(panel.preprocess_panel(self.panel, GRID, MINUTES), "clean")
+
     @cached_property
     def values(self) -> DataFrame:
-        """(w, x, y, value) of the whole days."""
-        return stage(self.whole_days.select("w", "x", "y", F.col("speed").alias("value")), "values")
+        """(w, x, y, value): speeds of the cleaned panel's whole days."""
+        whole = panel.complete_days(panel.panel_times(self.clean), MINUTES)
+        return stage(panel.keep_days(self.clean, whole).select("w", "x", "y", F.col("speed").alias("value")), "values")
 
     @cached_property
     def features(self) -> DataFrame:
@@ -141,6 +149,16 @@ class Tables:
         days = stage(days.select("w", "x", "y", F.col("speed").alias("value")), "labels")
         return stage(features.cpt_features(days, MINUTES), "features")
 
+    def with_externals(self, rows: DataFrame) -> DataFrame:
+        """Samples of the cells with signal, with calendar, holiday and weather columns."""
+        external = features.external_features(panel.panel_times(rows), self.holiday, self.weather)
+        return features.cell_samples(rows, external, self.silent)
+
+    @cached_property
+    def tree_samples(self) -> DataFrame:
+        """Label samples of the cells with signal, with their external columns."""
+        return stage(self.with_externals(self.labelled), "samples")
+
     def scored(self, predict: str, rows: DataFrame) -> DataFrame:
         """Predictions of the column ``predict``, rounded to whole numbers."""
         return rows.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -19,6 +20,9 @@ TABLES = (
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
+    con.execute(f"set temp_directory = '{tempfile.mkdtemp(prefix='duckdb-')}'")
+    con.execute("set max_temp_directory_size = '4GB'")
+    con.execute("set memory_limit = '12GB'")
     for name in TABLES:
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     return con
@@ -82,7 +86,9 @@ def main() -> None:
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:900]}"
         failed += problem is not None
-        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - started:.2f}s {problem or ''}", flush=True)
+        took = time.time() - started
+        n = df.count() if problem is None else "-"
+        print(f"{'ok  ' if problem is None else 'FAIL'} {name} {took:.2f}s {n} rows {problem or ''}", flush=True)
     print(f"{len(names) - failed} of {len(names)} ok")
 
 
