@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roadpulse.functions.calendar import WEATHER_COLUMNS, WEEKDAY_COLUMNS, calendar_features, weather_flags
-from roadpulse.functions.scaling import minmax_fit, minmax_scale
+from roadpulse.functions.scaling import minmax_fit, minmax_fit_by, minmax_scale, minmax_scale_by
 from roadpulse.operators.marks import exclude_no_signal
 from roadpulse.operators.panel import (
     complete_days,
@@ -29,7 +29,7 @@ from roadpulse.operators.panel import (
     rank_windows,
 )
 from roadpulse.session import stage
-from roadpulse.spec import LABEL_CLEAR, GridSpec, windows_per_day
+from roadpulse.spec import GridSpec, windows_per_day
 
 WEATHER_SCALED = ["wind_scaled", "max_t_scaled", "min_t_scaled"]
 EXTERNAL_COLUMNS = [*WEEKDAY_COLUMNS, "is_weekday", "holiday", *WEATHER_COLUMNS, *WEATHER_SCALED]
@@ -150,8 +150,8 @@ def external_features(
     """Columns per window of what is asked for: 8 calendar, 1 holiday, 10 weather flags and 3 scaled readings.
 
     Weather is that of the previous weather row and is scaled over the windows asked for.
-    Windows whose date has no weather are dropped; the first weather date has no row before it
-    and counts as without flags and with the lowest readings.
+    Windows whose date has no weather are dropped; the first weather date has no row before it,
+    so its flags and readings are null.
     """
     slots = times.select("w").distinct().withColumn("date", day_of())
     columns = calendar_features(F.col("date")) if calendar else []
@@ -161,8 +161,7 @@ def external_features(
     if weather is not None:
         slots = weather_minmax(slots.join(weather_prev_row(weather), "date"))
         flags = zip(weather_flags(F.col("weather")), WEATHER_COLUMNS, strict=True)
-        columns = [*columns, *[F.coalesce(flag, F.lit(0)).alias(name) for flag, name in flags]]
-        columns = [*columns, *[F.coalesce(F.col(name), F.lit(0.0)).alias(name) for name in WEATHER_SCALED]]
+        columns = [*columns, *[flag.alias(name) for flag, name in flags], *WEATHER_SCALED]
     return slots.select("w", *columns)
 
 
@@ -213,9 +212,15 @@ def sliding_sequences(
     return framed.filter(F.size("_s") == step).select(*by, "w", *keys, *[F.col(f"_s.{c}").alias(f"{c}_seq") for c in cols])
 
 
+def flow_values(panel: DataFrame, flows: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by.., w, x, y, flow, value): the columns ``flows`` of a panel as rows, numbered in order."""
+    rows = F.array(*[F.struct(F.lit(i).alias("flow"), F.col(f).cast("double").alias("value")) for i, f in enumerate(flows)])
+    return panel.select(*by, "w", "x", "y", F.inline(rows))
+
+
 @dataclass(frozen=True)
 class Dataset:
-    """Train and test samples, and the one-row scaling limits (None when unscaled)."""
+    """Train and test samples, and the scaling limits (one row, or one per flow; None when unscaled)."""
 
     train: DataFrame
     test: DataFrame
@@ -234,22 +239,24 @@ def load_dataset(
     holiday: DataFrame | None = None,
     weather: DataFrame | None = None,
     scaled: bool = False,
-    complete: bool = True,
-    complete_value: float = LABEL_CLEAR,
+    complete_value: float | None = None,
     trend_days: int = 7,
     compat: bool = False,
     period_days: int = 1,
     calendar: bool = False,
+    flows: Sequence[str] = ("speed",),
 ) -> Dataset:
     """Panels (w, x, y, speed, num) to train and test samples.
 
-    Complete the calendar, keep whole days, scale (limits from all but the last ``len_test``
+    Complete the calendar with ``complete_value`` (a label panel's "clear"; None leaves missing
+    windows out, as a panel of speeds needs it). Several ``flows`` become samples of their own,
+    told apart by the column ``flow``, with limits and lags per flow. Keep whole days, scale (limits from all but the last ``len_test``
     windows), build lags within each panel, join external columns (each of ``calendar``,
     ``holiday`` and ``weather`` on its own), split off the last ``len_test`` sample windows. Tables read more than once are stored in between.
     """
     by = ["source_id"]
     union = panel_union(panels)
-    if complete:
+    if complete_value is not None:
         times = complete_times(union, minutes, by)
         dense = complete_panel(union, grid, minutes, no_signal, complete_value, by=by)
     else:
@@ -257,15 +264,18 @@ def load_dataset(
         dense = densify(union, grid, by=by)
     # Whole days are found on the windows alone, before any cell is built.
     kept = keep_days(dense, complete_days(times, minutes, compat, by), by)
-    values = stage(kept.select(*by, "w", "x", "y", F.col("speed").cast("double").alias("value")), "values")
+    several = len(flows) > 1
+    keys = [*by, "flow"] if several else by
+    values = flow_values(kept, flows, by)
+    values = stage(values if several else values.drop("flow"), "values")
 
     scale = None
     if scaled:
         fitted, _ = train_test_split_tail(values, len_test, by)
-        scale = minmax_fit(fitted, "value")
-        values = minmax_scale(values, "value", scale)
+        scale = minmax_fit_by(fitted, "value", ["flow"]) if several else minmax_fit(fitted, "value")
+        values = minmax_scale_by(values, "value", scale, ["flow"]) if several else minmax_scale(values, "value", scale)
 
-    features = cpt_features(values, minutes, closeness, period, trend, period_days, trend_days, by)
+    features = cpt_features(values, minutes, closeness, period, trend, period_days, trend_days, keys)
     features = stage(features, "features")
     external = None
     if calendar or holiday is not None or weather is not None:

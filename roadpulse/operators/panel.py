@@ -272,10 +272,6 @@ def panel_union(panels: Sequence[DataFrame]) -> DataFrame:
     return union
 
 
-def with_cell_id(panel: DataFrame, grid: GridSpec) -> DataFrame:
-    return panel.withColumn("cell", cell_id(F.col("x"), F.col("y"), grid))
-
-
 def preprocess_panel(
     panel: DataFrame, grid: GridSpec, minutes: int, method: str = "interpolate", compat: bool = False
 ) -> DataFrame:
@@ -299,8 +295,3 @@ def preprocess_panel(
         raise ValueError(f"unknown method {method!r}")
     cleaned = drop_flagged_days(filled, flagged)
     return cleaned.withColumn("label", congestion_label(F.col("speed")))
-
-
-def floor_panel(panel: DataFrame, minutes: int) -> DataFrame:
-    """Windows of the panel brought onto a coarser raster."""
-    return panel.withColumn("w", window_floor(F.col("w"), minutes))

@@ -56,7 +56,7 @@ def _label(v: str) -> str:
     )
 
 
-def _flags(text: str) -> str:
+def _flags(text: str, missing: str = "false") -> str:
     def has(word: str) -> str:
         return f"contains({text}, '{word}')"
 
@@ -73,7 +73,7 @@ def _flags(text: str) -> str:
         "snow": has("雪"),
         "haze": has("霾"),
     }
-    return ", ".join(f"cast(coalesce({test}, false) as integer) as {name}" for name, test in named.items())
+    return ", ".join(f"cast(coalesce({test}, {missing}) as integer) as {name}" for name, test in named.items())
 
 
 def _calendar(w: str) -> str:
@@ -258,8 +258,10 @@ CTES: dict[str, str] = {
                lag(weather) over o as weather
         from weather window o as (order by date)""",
     "external": f"""
-        select s.w, {_calendar('s.w')}, cast(h.date is not null as integer) as holiday, {_flags('weather')},
-               {_unit('wind')} as wind_scaled, {_unit('max_t')} as max_t_scaled, {_unit('min_t')} as min_t_scaled
+        select s.w, {_calendar('s.w')}, cast(h.date is not null as integer) as holiday, {_flags('weather', 'null')},
+               case when wind is not null then {_unit('wind')} end as wind_scaled,
+               case when max_t is not null then {_unit('max_t')} end as max_t_scaled,
+               case when min_t is not null then {_unit('min_t')} end as min_t_scaled
         from (select distinct w from features) s join weather_before b on b.date = s.w::date
         left join holiday h on h.date = s.w::date""",
     "wind_text": """
@@ -378,7 +380,7 @@ SQL: dict[str, str] = {
                round(max(last_lon), 6) as end_lon, round(max(last_lat), 6) as end_lat,
                cast(max(first_len) as integer) as first_len, cast(max(last_len) as integer) as last_len
         from trav16 group by traj_id""",
-    "month_scan": "select edge_id as first_edge, count(*) as trips from trav16 where seq = 0 group by 1",
+    "month_scan": "select edge_id as first_edge, count(*) as trips from trav16 where seq = 0 and edge_id % 2 = 0 group by 1",
     "read_link_stats": f"select edge_id, {W}, travel_time, num from link_stat",
     "write_link_stats": f"""select edge_id || '|' || string_agg('(' || {_fmt('w')} || ',' || travel_time || ',' || num || ')', '|' order by w) as line
         from link_stat20 group by edge_id""",
@@ -428,7 +430,8 @@ SQL: dict[str, str] = {
     "time_shift": f"select {W}, {_fmt(_shift('w', 2))} as later, {_fmt(_shift('w', -1))} as earlier from times",
     "display_time": f"select {W}, strftime(w, '%Y/%m/%d %H:%M') as shown from times",
     "parse_time": f"select {_fmt('w')} as text, epoch(w)::bigint as epoch from times",
-    "cell_count": f"""select count(distinct w) as samples, count(distinct w) * {GRID.cells - 3} as cells,
+    "cell_count": f"""select count(distinct w) as samples,
+        cast(count(distinct w) * ({GRID.cells} - (select count(*) from silent)) as bigint) as cells,
         count(distinct w) as back from dense""",
     # Joins.
     "edge_lookup": "select traj_id, seq, edge_id, round(length, 6) as length from traversal join road_edge using (edge_id)",
@@ -644,6 +647,19 @@ oracle_trees.add(
 )
 CTES |= oracle_trees.CTES
 SQL |= oracle_trees.SQL
+CTES["flow_vals"] = """
+    select cast(flow as integer) as flow, w, x, y, case flow when 0 then speed else cast(num as double) end as value
+    from interpolated_filled, range(2) flows(flow) where w in (select w from vals)"""
+CTES["flow_scaled"] = f"""
+    select v.flow, w, x, y, case when hi = lo then -1.0::double else (value - lo) / (hi - lo) * 2 - 1 end as value
+    from flow_vals v join (select flow, min(value) as lo, max(value) as hi from flow_vals
+        where w not in (select distinct w from flow_vals order by w desc limit {LEN_TEST}) group by flow) l on l.flow = v.flow"""
+CTES["flow_features"] = f"""
+    select f.* from ({_lagged('flow_scaled', 'flow, x, y', 'value', CPT_LAGS)}) f join ranked_vals r on r.w = f.w
+    where r.pos >= {7 * DAY} and (f.x, f.y) not in (select (x, y) from silent)"""
+SQL["load_dataset_flows"] = f"""select flow, {FEATURE_COLUMNS}, case when w in
+    (select distinct w from flow_features order by w desc limit {LEN_TEST}) then 'test' else 'train' end as part from flow_features"""
+SQL["change_ranking_store"] = SQL["compare_after_change"]
 CTES["external_all"] = CTES["external"].replace("from features", "from vals")
 
 

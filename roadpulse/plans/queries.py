@@ -151,13 +151,14 @@ def read_trajectories_2016(k: Tables) -> DataFrame:
 
 @_query("month_scan")
 def month_scan(k: Tables) -> DataFrame:
-    """2016 trips stored in month and day folders, one month read back."""
+    """2016 trips stored in two month folders, by the parity of their first road, one month read back."""
     base = stage_path(k.spark, "months")
     lines = traj_files.trajectory_lines_2016(k.trajectory_2016)
     first_time = F.split(F.split("value", ",")[8], r"\|")[0].cast("bigint")
     day = F.date_format(timing.epoch_to_timestamp(first_time), "dd")
-    lines.withColumn("day", day).write.partitionBy("day").text(f"{base}/01")
-    good, _ = traj_files.read_trajectories_2016(k.spark, base, month=1, by_month=True)
+    first_edge = F.split(F.split("value", ",")[4], r"\|")[0].cast("bigint")
+    traj_files.write_months(lines.withColumns({"month": (first_edge % 2 + 1).cast("int"), "day": day}), base)
+    good, _ = traj_files.read_months_2016(k.spark, base, [1])
     return good.select(F.col("edges")[0].alias("first_edge")).groupBy("first_edge").agg(F.count(F.lit(1)).alias("trips"))
 
 
@@ -399,7 +400,7 @@ def parse_time(k: Tables) -> DataFrame:
 
 @_query("cell_count")
 def cell_count(k: Tables) -> DataFrame:
-    excluded = 3
+    excluded = k.silent.agg(F.count(F.lit(1))).scalar()
     n = k.dense.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("w").alias("samples"))
     count = labels.cell_count(F.col("samples"), 1, GRID.cells, excluded)
     return n.select("samples", count.alias("cells"), labels.sample_count(count, 1, GRID.cells, excluded).alias("back"))
@@ -836,7 +837,7 @@ def cells_to_frame(k: Tables) -> DataFrame:
 def _dataset(k: Tables, scaled=True):
     return features.load_dataset(
         [k.clean.drop("label")], GRID, MINUTES, k.silent, LEN_TEST,
-        holiday=k.holiday, weather=k.weather, scaled=scaled, complete=False, calendar=True,
+        holiday=k.holiday, weather=k.weather, scaled=scaled, calendar=True,
     )
 
 
@@ -849,6 +850,23 @@ def load_dataset(k: Tables) -> DataFrame:
     return _shown(_both(_dataset(k)).drop("source_id"))
 
 
+@_query("load_dataset_flows")
+def load_dataset_flows(k: Tables) -> DataFrame:
+    """Speed and number of runs as two flows, scaled each by its own limits."""
+    ds = features.load_dataset([k.clean.drop("label")], GRID, MINUTES, k.silent, LEN_TEST, scaled=True, flows=("speed", "num"))
+    return _shown(_both(ds).drop("source_id"))
+
+
+@_query("change_ranking_store")
+def change_ranking_store(k: Tables) -> DataFrame:
+    """Changes stored in order, the first 300 read back, and the models compared after them."""
+    path = stage_path(k.spark, "changes")
+    stat_files.save_changes(k.change, path)
+    top = stat_files.load_top_changes(k.spark, path, 300)
+    preds = {"mean": k.pred, "latest": k.pred_latest}
+    return _shown(evaluate.compare_after_change(top, preds, k.silent, top=300, minutes=MINUTES))
+
+
 @_query("multi_file_union")
 def multi_file_union(k: Tables) -> DataFrame:
     """Two halves of the month as two sources; lags stay within each."""

@@ -13,6 +13,9 @@ from roadpulse.spec import GridSpec
 
 # Roads per line of the link speed text form.
 ROADS_PER_LINE = 4096
+#: Rows of a panel file at most, and ranges of a stored change ranking.
+ROWS_PER_FILE, CHANGE_PARTS = 4_000_000, 32
+_RANKS = "w timestamp, diff double, part int"
 
 
 def _tuples(spark: SparkSession, path: str, parts_only: bool = True) -> DataFrame:
@@ -99,9 +102,9 @@ def write_panel(panel: DataFrame, path: str, text: bool = False, drop_zero: bool
     """
     kept = panel.filter(F.col("speed") != 0) if drop_zero else panel
     if not text:
-        # A day holds at most its windows times the grid's cells: one task and one file per day.
-        days = kept.withColumn("day", F.to_date("w")).repartition("day")
-        days.write.mode("overwrite").partitionBy("day").parquet(path)
+        # Days come together, and those beyond the advisory partition size are dealt to several tasks.
+        days = kept.withColumn("day", F.to_date("w")).hint("rebalance", F.col("day"))
+        days.write.mode("overwrite").option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy("day").parquet(path)
         return
     cells = F.array_sort(F.collect_list(F.struct("x", "y", "speed", "num")))
     lines = kept.groupBy("w").agg(cells.alias("cells"))
@@ -162,6 +165,31 @@ def load_partitioned(spark: SparkSession, path: str, **params: str | int | float
     return df
 
 
+def save_changes(change: DataFrame, path: str, parts: int = CHANGE_PARTS) -> None:
+    """Changes (w, diff) ranked by size, of equal ones the earlier first, in folders ``part=..`` in that order.
+
+    A small table beside them has the number of rows of each part.
+    """
+    order = [F.col("diff").desc(), F.col("w")]
+    ranked = change.select("w", "diff").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranked.withColumn("part", F.spark_partition_id()).write.mode("overwrite").partitionBy("part").parquet(f"{path}/ranks")
+    stored = change.sparkSession.read.schema(_RANKS).parquet(f"{path}/ranks")
+    stored.groupBy("part").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/sizes")
+
+
+def load_top_changes(spark: SparkSession, path: str, top: int) -> DataFrame:
+    """The ``top`` first of stored changes; parts after the one that completes them are not read."""
+    stored = spark.read.schema(_RANKS).parquet(f"{path}/ranks")
+    # One row per part.
+    sizes = spark.read.schema("part int, n long").parquet(f"{path}/sizes").orderBy("part").collect()
+    last, seen = -1, 0
+    for part, n in sizes:
+        if seen >= top:
+            break
+        last, seen = part, seen + n
+    return stored.filter(F.col("part") <= last).orderBy(F.col("diff").desc(), "w").limit(top).select("w", "diff")
+
+
 def save_result(pred: DataFrame, path: str) -> None:
     """Predictions (w, flow, x, y, predict, real)."""
     pred.select("w", "flow", "x", "y", "predict", "real").write.mode("overwrite").parquet(path)

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from roadpulse.functions import scaling
 from roadpulse.operators import evaluate, features, models
 from roadpulse.spec import GridSpec
 
@@ -67,10 +68,10 @@ def test_external_features_use_the_row_before(spark):
     rows = features.external_features(times, holiday, weather).orderBy("w").collect()
     assert [len(r) - 1 for r in rows] == [22] * 4
     assert [r["holiday"] for r in rows] == [0, 0, 1, 0]
-    assert [(r["clear"], r["rain_small"], r["haze"]) for r in rows] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
     # The first date has no row before it; a constant reading is 0.
-    assert [r["max_t_scaled"] for r in rows] == [0.0, 0.0, 0.5, 1.0]
-    assert {r["min_t_scaled"] for r in rows} == {0.0}
+    assert [(r["clear"], r["rain_small"], r["haze"]) for r in rows] == [(None, None, None), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    assert [r["max_t_scaled"] for r in rows] == [None, 0.0, 0.5, 1.0]
+    assert [r["min_t_scaled"] for r in rows] == [None, 0.0, 0.0, 0.0]
 
 
 def test_frame_change_counts_absent_cells_as_zero(spark):
@@ -140,6 +141,40 @@ def test_dataset_of_two_panels_keeps_lags_apart(spark):
     assert tuple(ds.scale.first()) == (1.0, 1230.0)
 
 
+def test_flows_have_limits_and_lags_of_their_own(spark):
+    rows = [(START + h * HOUR, 0, 0, float(h + 1), 1000 - h) for h in range(24 * 10)]
+    panel = spark.createDataFrame(rows, "w timestamp, x int, y int, speed double, num long")
+    grid, silent = GridSpec(0.0, 0.0, 1.0, 1.0, 1, 1), spark.createDataFrame([], "x int, y int")
+    ds = features.load_dataset([panel], grid, 60, silent, 10, scaled=True, flows=("speed", "num"))
+    assert sorted(tuple(r) for r in ds.scale.collect()) == [(0, 1.0, 230.0), (1, 771.0, 1000.0)]
+    got = {(r["flow"], r["w"]): r for r in ds.train.unionByName(ds.test).collect()}
+    assert len(got) == 2 * (240 - 168) and ds.test.count() == 20
+
+    def scaled(v, lo, hi):
+        return pytest.approx((v - lo) / (hi - lo) * 2 - 1)
+
+    for h in (168, 200, 239):
+        speed, num = got[0, START + h * HOUR], got[1, START + h * HOUR]
+        assert (speed["value"], speed["c2"], speed["t1"]) == tuple(scaled(h + 1 - n, 1, 230) for n in (0, 2, 168))
+        assert (num["value"], num["c2"], num["t1"]) == tuple(scaled(1000 - h + n, 771, 1000) for n in (0, 2, 168))
+    one = features.load_dataset([panel], grid, 60, silent, 10, scaled=True)
+    assert "flow" not in one.train.columns
+    back = scaling.minmax_inverse_by(ds.test, "value", ds.scale, ["flow"])
+    assert {r["flow"]: round(r["value"], 6) for r in back.where(F.col("w") == START + 239 * HOUR).collect()} == {0: 240.0, 1: 761.0}
+
+
+def test_missing_windows_of_speeds_are_not_filled(spark):
+    rows = [(START + h * HOUR, 0, 0, 30.0, 1) for h in range(24 * 10) if h != 230]
+    panel = spark.createDataFrame(rows, "w timestamp, x int, y int, speed double, num long")
+    grid, silent = GridSpec(0.0, 0.0, 1.0, 1.0, 1, 1), spark.createDataFrame([], "x int, y int")
+    ds = features.load_dataset([panel], grid, 60, silent, 10)
+    both = ds.train.unionByName(ds.test)
+    assert {v for r in both.select("value", "c1", "p1", "t1").collect() for v in r} == {30.0}
+    assert START + 230 * HOUR not in {r["w"] for r in both.collect()}
+    labels = features.load_dataset([panel], grid, 60, silent, 10, complete_value=4)
+    assert {r["value"] for r in labels.train.unionByName(labels.test).collect()} == {30.0, 4.0}
+
+
 def test_lags_share_one_shuffle(spark):
     plan = features.cpt_features(hourly(spark, range(24 * 8)), 60)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1

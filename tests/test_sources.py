@@ -75,7 +75,7 @@ def test_trajectories_2016(spark, tmp_path):
         ([1, 2, 3], [100, 110, 130, 150], 5, 7),
         ([1, 2, 3], [100, 110, 130, 150], 5, 5),
     ]
-    assert corrupt.count() == 3
+    assert sorted(r["line"] for r in corrupt.collect()) == [1, 2, 4]
     steps = traversals_2016(good).filter(F.col("first_len") == 5).orderBy("traj_id", "seq").collect()
     assert [s["seconds"] for s in steps[:3]] == [10, 20, 20]
     again = tmp_path / "again"
@@ -100,6 +100,75 @@ def test_month_folders(spark, tmp_path, month, n):
     assert good.count() == n
 
 
+def _with(spark, **settings):
+    """Sets session settings; gives back what undoes it."""
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    return lambda: [spark.conf.set(k, v) for k, v in before.items()]
+
+
+def test_trip_ids_do_not_depend_on_splits(spark, tmp_path):
+    lines = [fields(f4=f"{i}|2|3") if i % 9 else ",".join([""] * 20) + "\n" for i in range(400)]
+    for name, part in (("a", lines[:250]), ("b", lines[250:])):
+        (tmp_path / name).write_text("".join(part))
+    found = []
+    for size in ("134217728b", "3000b", "700b"):
+        back = _with(spark, **{"spark.sql.files.maxPartitionBytes": size, "spark.sql.files.openCostInBytes": "1b"})
+        good, corrupt = trajectories.read_trajectories_2016(spark, str(tmp_path))
+        found.append((sorted((r["traj_id"], r["edges"][0]) for r in good.collect()), sorted((r["file"], r["line"]) for r in corrupt.collect()), good.rdd.getNumPartitions()))
+        back()
+    assert found[0][:2] == found[1][:2] == found[2][:2] and found[2][2] > found[1][2] > found[0][2]
+    assert len({i for i, _ in found[0][0]}) == len(found[0][0]) == sum(i % 9 > 0 for i in range(400))
+    assert [n for _, n in found[0][1]][:3] == [0, 9, 18]
+
+
+def test_a_month_reads_only_its_folders(spark, tmp_path):
+    rows = [(fields(f4=f"{i}|2|3").strip(), 1 + i % 2, f"{1 + i % 3:02d}") for i in range(60)]
+    path = str(tmp_path / "store")
+    trajectories.write_months(spark.createDataFrame(rows, "value string, month int, day string"), path)
+    good, _ = trajectories.read_months_2016(spark, path, [2])
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "(month#" in plan
+    kept = spark.read.text(path).where("month = 2").select("_metadata.file_path").distinct().count()
+    # Files of the other month can go and nothing is missed.
+    for part in (tmp_path / "store" / "month=1").rglob("part-*"):
+        part.write_text("not a trip\n")
+    good, corrupt = trajectories.read_months_2016(spark, path, [2])
+    assert sorted(r["edges"][0] for r in good.collect()) == list(range(1, 60, 2)) and corrupt.count() == 0 and kept >= 3
+
+
+def test_a_heavy_day_has_several_files(spark, tmp_path):
+    heavy = spark.range(400_000).select(
+        F.when(F.col("id") < 390_000, F.lit("2016-03-01 00:00:00")).otherwise(F.lit("2016-03-02 00:20:00")).cast("timestamp").alias("w"),
+        F.col("id").cast("int").alias("x"), F.lit(0).alias("y"), F.rand(1).alias("speed"), F.lit(1).cast("long").alias("num"),
+    )
+    back = _with(spark, **{"spark.sql.adaptive.advisoryPartitionSizeInBytes": "512kb"})
+    statistics.write_panel(heavy.repartition(8), str(tmp_path / "panel"))
+    back()
+    files = {d: len(list((tmp_path / "panel" / f"day=2016-03-0{d}").glob("part-*"))) for d in (1, 2)}
+    assert files[1] > 3 and files[2] <= 2
+    assert statistics.load_panel(spark, str(tmp_path / "panel")).count() == 400_000
+
+
+def test_change_ranking_reads_its_first_parts(spark, tmp_path):
+    change = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 1200).alias("w"), (F.col("id") * 37 % 500).cast("double").alias("diff"))
+    path = str(tmp_path / "changes")
+    statistics.save_changes(change, path, parts=10)
+    top = statistics.load_top_changes(spark, path, 42)
+    want = change.orderBy(F.col("diff").desc(), "w").limit(42).collect()
+    assert top.collect() == want
+    # Only the first parts are opened: the others can be anything.
+    for part in (tmp_path / "changes" / "ranks").glob("part=[1-9]/part-*"):
+        part.write_bytes(b"nothing")
+    assert statistics.load_top_changes(spark, path, 42).collect() == want
+    path = str(tmp_path / "again")
+    statistics.save_changes(change, path, parts=10)
+    assert statistics.load_top_changes(spark, path, 5000).count() == 1000
+    statistics.save_changes(change.limit(0), str(tmp_path / "none"))
+    assert statistics.load_top_changes(spark, str(tmp_path / "none"), 3).count() == 0
+
+
 def test_link_stats_read_part_files_only(spark, tmp_path):
     path = file(tmp_path, "9|(201603011220,30,2)|(201603011240,5,1)\n8\n")
     file(tmp_path, "1|(201603011220,1,1)\n", name="other")
