@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,9 +20,48 @@ PAGES = [
     ('<article><p>Kept</p><section id="comments"><article><p>reader</p></article></section></article>', "Kept"),
     ("<article><p>open <b>bold <!-- <p>no</p> --> text", "open bold text"),
     ("<article><p>1 < 2 &unknown; &#233;</p></article>", "1 < 2 &unknown; é"),
+    ("<article><p>First</p><p>See <a href=/it's>this</a> one</p><p>Last, isn't it</p></article>", "First\n\nSee this one\n\nLast, isn't it"),
+    ("<article><p title=it's>Hello</p></article>", "Hello"),
+    ('<body class="no-sidebar"><article><p>Body</p></article></body>', "Body"),
+    ('<div class="share-page"><article><p>Body</p></article></div>', "Body"),
+    ('<div class="share"><article><p>Body</p></article></div><div class="main-menu">no</div>', "Body"),
+    ('<section class="comments"><article><p>I like it a lot</p></article></section>', ""),
+    ("<article><p>A</p><img alt='x > y'><p data-x=\"a>b\">B</p></article>", "A\n\nB"),
+    ("<article><p>A</p><p class=\"open>B</p></article>", "A"),
 ]
 
 
+def test_the_tree_asks_for_the_neighbours():
+    asked = set()
+
+    def walk(node):
+        if isinstance(node, tuple):
+            asked.add(html_blocks.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(TREE)
+    assert asked & {"words_before", "words_after"} and asked & {"links_before", "links_after"}
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_an_article_without_marks_is_found_by_its_blocks(seed):
+    rng = random.Random(seed)
+    word = lambda n: " ".join("".join(rng.choice("abdeionrst") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    links = lambda n: "".join(f'<p><a href="/{k}">{word(rng.randint(1, 3))}</a></p>' for k in range(n))
+    paragraphs = [word(rng.randint(25, 90)) for _ in range(12)]
+    # A short line between two long paragraphs, the same length as a line between links.
+    paragraphs[4] = word(3)
+    page = f"<div>{links(5)}<p>{word(3)}</p>{links(4)}</div><div>{''.join(f'<p>{p}</p>' for p in paragraphs)}</div><div>{links(6)}</div>"
+    assert html_blocks.main_text(page, TREE)[0].split("\n\n") == paragraphs
+
+
+def test_a_very_long_page_is_read_whole():
+    page = "<article>" + "<p>one two three</p>" * 200_000 + "<p " + "x=1 " * 100_000 + ">end</p></article>"
+    text = html_blocks.main_text(page, TREE)[0]
+    assert text.count("one two three") == 200_000 and text.endswith("end")
+
+
 @pytest.mark.parametrize(("page", "text"), PAGES)
 def test_main_text(page, text):
     assert html_blocks.main_text(page, TREE)[0] == text
