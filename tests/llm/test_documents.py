@@ -214,6 +214,25 @@ def test_sharding_is_even_gapless_and_grows_into_the_new_shard(documents, corpus
     assert slots.sharded_documents(docs).columns == docs.columns
 
 
+def test_rows_that_repeat_are_spread_and_the_map_grows(documents):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, 30), "s") for i in range(3000)] + [(7777, "the same row " * 20, "s")] * 6000
+    got = slots.shard_rows(documents(rows), shards=8, slots=2048).collect()
+    fill, after, places = Counter(), Counter(), {}
+    for r in got:
+        fill[r.shard] += r.size
+        after[r.next_shard] += r.size
+        places.setdefault(r.shard, []).append(r.slot)
+        assert r.next_shard in (r.shard, 8)
+    assert len(got) == len(rows) and all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(fill.values()) < 1.1 * min(fill.values())
+    assert len(after) == 9 and max(after.values()) < 1.2 * min(after.values())
+    whole = Counter()
+    for r in slots.sharded_documents(documents(rows), shards=8, slots=2048).collect():
+        whole[r.shard] += len(r.text) + 16
+    assert max(whole.values()) < 1.1 * min(whole.values())
+
+
 def test_slot_map_versions(shipped, tmp_path):
     path = str(tmp_path / "map")
     slots.store_map(shipped, path, [0, 1, 0], 1)
