@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.functions.scaling import minmax_inverse
+from roadpulse.operators import histogram_trees
 from roadpulse.operators.evaluate import mean_predictor, rmse
 from roadpulse.operators.features import cpt_features, train_test_split_tail
 from roadpulse.operators.marks import exclude_no_signal
@@ -127,7 +128,14 @@ def mean_method(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> Da
 
 
 def tree_method(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return predict(dt_regressor(columns).fit(train), test)
+    """A regression tree over lags in bins of one metre a second; targets in whole millimetres a second."""
+    def lags(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: histogram_trees.binned(F.col(c), 1.0) for c in columns})
+
+    whole = lags(train).withColumn("_target", F.round(F.col("value") * 1000).cast("long"))
+    nodes = histogram_trees.fit_tree(whole, columns, "_target", histogram_trees.Tree("squared", 10, min_split=4, min_leaf=1))
+    nodes = nodes.withColumn("predict", F.col("predict") / 1000)
+    return histogram_trees.predict(lags(test), nodes, columns).withColumn("real", F.col("value"))
 
 
 def sweep_report(

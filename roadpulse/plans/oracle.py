@@ -641,9 +641,15 @@ for _name, _rows, _external in (("tree", "lab_features", "external_lab"), ("spee
     CTES[f"{_name}_tail"] = f"select distinct w from {_name}_rows order by w desc limit {LEN_TEST}"
     CTES[f"{_name}_train"] = f"select * from {_name}_rows where w not in (select w from {_name}_tail)"
     CTES[f"{_name}_test"] = f"select * from {_name}_rows where w in (select w from {_name}_tail)"
+
+
+def _bin(column: str) -> str:
+    return f"floor({column} / {SPEED_BIN}) * {SPEED_BIN}"
+
+
 oracle_trees.add(
     W, list(CPT_LAGS), TREE_EXTERNALS, LABELS, FOREST, GRID_CHOICES,
-    key=f"({_fmt('w')} || '/' || x || '/' || y)", bin_of=lambda c: f"floor({c} / {SPEED_BIN}) * {SPEED_BIN}",
+    key=f"({_fmt('w')} || '/' || x || '/' || y)", bin_of=_bin, label_of=_label,
 )
 CTES |= oracle_trees.CTES
 SQL |= oracle_trees.SQL
@@ -663,21 +669,26 @@ SQL["change_ranking_store"] = SQL["compare_after_change"]
 CTES["external_all"] = CTES["external"].replace("from features", "from vals")
 
 
-def _sweep(lengths: list[int], name: str, step: int, kind: str) -> str:
+def _sweep(lengths: list[int], name: str, step: int, kind: str, silent: bool = True, tree: bool = False) -> str:
     parts = []
     for length in lengths:
         lags = {f"{name}{k}": k * step for k in range(1, length + 1)}
         mean = "(" + " + ".join(lags) + f") / {length}"
+        source = f"""
+            select f.* from ({_lagged('vals', 'x, y', 'value', lags)}) f join ranked_vals r on r.w = f.w
+            where r.pos >= {max(lags.values())}"""
+        heard = "and (x, y) not in (select (x, y) from silent)" if silent else ""
         parts.append(f"""
             select '{kind}' as kind, {length} as length, 'mean' as method, round(sqrt(avg(pow({mean} - value, 2))), 6) as rmse
-            from (select f.*, dense_rank() over (order by f.w desc) as late
-                  from ({_lagged('vals', 'x, y', 'value', lags)}) f join ranked_vals r on r.w = f.w
-                  where r.pos >= {max(lags.values())})
-            where late <= {LEN_TEST} and (x, y) not in (select (x, y) from silent)""")
+            from (select *, dense_rank() over (order by w desc) as late from ({source})) where late <= {LEN_TEST} {heard}""")
+        if tree:
+            parts.append(oracle_trees.add_sweep(f"sw{length}", kind, source, list(lags), LEN_TEST, _bin))
     return " union all ".join(parts)
 
 
 SQL["sweep_report"] = _sweep([1, 2, 3], "c", 1, "closeness")
+SQL["sweep_report_tree"] = _sweep([1, 2], "p", DAY, "period", silent=False, tree=True)
+CTES |= oracle_trees.CTES
 
 
 def _needed(sql: str) -> list[str]:

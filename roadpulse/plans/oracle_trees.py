@@ -150,8 +150,8 @@ def _counts(classes: Sequence[float], weight: str = "1") -> str:
     return ", ".join(f"cast(sum(case when value = {float(c)!r} then {weight} else 0 end) as bigint) as k{i}" for i, c in enumerate(classes))
 
 
-def add(w: str, cpt: Sequence[str], externals: Sequence[str], classes: Sequence[float], forest: int, grid: tuple, key: str, bin_of) -> None:
-    """All expressions and queries. ``w``: the window as text; ``bin_of``: a speed column's bin."""
+def add(w: str, cpt: Sequence[str], externals: Sequence[str], classes: Sequence[float], forest: int, grid: tuple, key: str, bin_of, label_of) -> None:
+    """All expressions and queries. ``w``: the window as text; ``bin_of``: a speed column's bin; ``label_of``: its label."""
     _multiway([cpt[:3], cpt[3:4], cpt[4:]], externals, "tree_train")
     SQL["level_tree_fit"] = """select node, parent, attr, round(value, 6) as value, label, round(confidence, 6) as confidence, support, level,
         split_attr from lt_tree"""
@@ -181,6 +181,11 @@ def add(w: str, cpt: Sequence[str], externals: Sequence[str], classes: Sequence[
     SQL["dt_regressor"] = f"""select {w}, x, y, round(p.predict / 1000, 6) as predict, round(value, 6) as real from speed_test t
         join (select vals, arg_max(predict, level) as predict from rg_visits group by vals) p on p.vals = {speeds}"""
 
+    SQL["trips_to_score_tree"] = f"""
+        select round(sqrt(avg(pow(p.predict / 1000 - value, 2))), 6) as rmse, count(*) as "values",
+               round(avg(cast({label_of('round(p.predict / 1000, 6)')} = {label_of('round(value, 6)')} as integer)), 6) as label_accuracy
+        from speed_test t join (select vals, arg_max(predict, level) as predict from rg_visits group by vals) p on p.vals = {speeds}"""
+
     # A forest.
     below = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(8)]
     bag = " + ".join(f"cast(u >= cast('{b!r}' as double) as bigint)" for b in below)
@@ -223,3 +228,20 @@ def add(w: str, cpt: Sequence[str], externals: Sequence[str], classes: Sequence[
               join gs_trees t on t.g = p.g join gs_counts c on c.fold = t.fold and c.vals = p.vals
               group by p.g, p.max_depth, p.min_split, t.criterion, t.min_leaf)
         group by criterion, max_depth, min_split, min_leaf"""
+
+
+def add_sweep(p: str, kind: str, source: str, lags: Sequence[str], tail: int, bin_of) -> str:
+    """One row of a sweep: the error of a tree over binned lags of ``source`` on its last windows."""
+    vals = "[" + ", ".join(bin_of(c) for c in lags) + "]"
+    y = "cast(round(value * 1000) as bigint)"
+    CTES[f"{p}_source"] = source
+    CTES[f"{p}_late"] = f"select *, dense_rank() over (order by w desc) as late from {p}_source"
+    CTES[f"{p}_rows"] = f"""select 0 as g, {vals} as vals, count(*) as n, cast(sum({y}) as bigint) as s, cast(sum({y} * {y}) as bigint) as q
+        from {p}_late where late > {tail} group by all"""
+    spec = f"select 0 as g, 'squared' as criterion, 10 as max_depth, 4 as min_split, 1 as min_leaf, {len(lags)} as tried"
+    binary_trees(p, f"{p}_rows", spec, len(lags), ["n", "s", "q"], ["squared"], (), 10)
+    CTES[f"{p}_asked"] = f"select distinct 0 as g, {vals} as vals from {p}_late where late <= {tail}"
+    walked(p, f"{p}_asked", 10)
+    return f"""select '{kind}' as kind, {len(lags)} as length, 'tree' as method, round(sqrt(avg(pow(p.predict / 1000 - value, 2))), 6) as rmse
+        from {p}_late t join (select vals, arg_max(predict, level) as predict from {p}_visits group by vals) p on p.vals = {vals}
+        where late <= {tail}"""

@@ -994,6 +994,20 @@ def trips_to_score(k: Tables) -> DataFrame:
     return _shown(evaluate.rmse(speeds).withColumn("label_accuracy", share))
 
 
+@_query("trips_to_score_tree")
+def trips_to_score_tree(k: Tables) -> DataFrame:
+    """Trips to the cleaned panel, samples with externals, a fitted tree, frames and their scores in metres a second and labels."""
+    train, test = _speed_rows(k)
+    tree = histogram_trees.Tree("squared", 10, min_split=4, min_leaf=1)
+    nodes = histogram_trees.fit_tree(train, TREE_FEATURES, "target", tree).withColumn("predict", F.col("predict") / 1000)
+    pred = histogram_trees.predict(test, nodes, TREE_FEATURES)
+    frame = features.cells_to_frame(pred, GRID, default=-1.0)
+    met = frame.join(test.select("w", "x", "y", F.col("value").alias("real")), ["w", "x", "y"])
+    named = [labels.congestion_label(F.round(c, 6)).cast("double").alias(c) for c in ("predict", "real")]
+    share = evaluate.accuracy(met.select(*named)).select(F.col("accuracy").alias("label_accuracy")).scalar()
+    return _shown(evaluate.rmse(met).withColumn("label_accuracy", share))
+
+
 @_query("sweep_report")
 def sweep_report(k: Tables) -> DataFrame:
     methods = {"mean": models.mean_method}
