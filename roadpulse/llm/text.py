@@ -31,8 +31,8 @@ def fold_of(doc_id: Column, parts: int) -> Column:
 
 
 def row_key() -> Column:
-    """Hash of a row's ``doc_id`` and ``text``; null for a null id."""
-    return F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    """Hash of a row's ``doc_id`` and ``text``; of the text alone for a null id."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
 
 
 def words(text: Column) -> Column:

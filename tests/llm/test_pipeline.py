@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables
 
 def test_queries_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 14))
 
 
 def test_stages_keep_the_columns(shipped, documents):
@@ -50,14 +50,20 @@ def test_rows_of_one_id_are_decided_each(shipped, documents, tmp_path):
     rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"), (7, c, "s"), (7, c, "s"), (9, "", "s"), (9, "", "s")]
     kept = corpus_pipeline.drop_near_duplicates(shipped, documents(rows), SF)
     assert texts(kept) == sorted([(5, a), (3, b), (7, c), (9, ""), (9, "")])
+    # Rows without an id are decided by their text.
+    kept = corpus_pipeline.drop_near_duplicates(shipped, documents([(None, a, "s"), (5, a, "s"), (None, c, "s"), (None, c, "t"), (None, None, "s")]), SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, a), (0, c), (0, "")])
+    kept = corpus_pipeline.drop_benchmark_leaks(shipped, documents([(None, d + " " + item, "s"), (None, d, "s")]), SF)
+    assert [r.text for r in kept.collect()] == [d]
     kept = corpus_pipeline.drop_benchmark_leaks(shipped, documents([(8, d, "s"), (8, c + " " + item, "s")]), SF)
     assert texts(kept) == [(8, d)]
     bad = "You are a worthless idiot. "
     given = [(i, (bad if i % 2 else "") + " ".join(rng.choices((a + " " + b).split(), k=60)), "s") for i in range(400)]
     labels = shipped.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    kept = corpus_pipeline.drop_toxic(shipped, documents(given + [(1001, bad + a, "s"), (1001, b, "s")]), str(tmp_path))
-    assert [r for r in texts(kept) if r[0] == 1001] == [(1001, b)]
+    kept = corpus_pipeline.drop_toxic(shipped, documents(given + [(1001, bad + a, "s"), (1001, b, "s"), (None, bad + c, "s"), (None, d, "s")]), str(tmp_path))
+    assert [r.text for r in kept.collect() if r.doc_id is None] == [d]
+    assert [r.text for r in kept.collect() if r.doc_id == 1001] == [b]
 
 
 def test_run(shipped):
