@@ -3,9 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
 the next stage's ``docs``. All but the last return the columns of ``documents``.
 
-Defined results: stages handle nulls, empty texts and extra columns as their operators do; rows
-with a null ``doc_id`` pass the filters; no rows give no rows. Rows are told apart by ``doc_id`` and
-text: other texts of a removed row's id stay, and one of the rows with an id and the same words.
+Defined results: stages handle nulls, empty texts and extra columns as their operators do; no rows
+give no rows. Rows are told apart by ``doc_id`` and text, those with a null ``doc_id`` by their text;
+of copies with and without an id one with an id stays: other texts of a removed row's id stay, and one of the rows with an id and the same words.
 """
 
 from __future__ import annotations
@@ -32,17 +32,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _one_key_a_row(docs: DataFrame) -> DataFrame:
-    """``docs`` and ``_key``: the id, or for ids with several texts a number above them; one of identical rows."""
+    """``docs`` and ``_key``: the id, or for null ids and ids with several texts a number above them; one of identical rows."""
     id_ = F.col("doc_id").cast("long")
-    rows = docs.where(id_.isNotNull()).select(id_.alias("_id"), row_key().alias("_row")).groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("n"))
-    again = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("texts"), F.max("n").alias("most")).where("texts > 1 or most > 1")
-    again = stage(again.select("_id", "texts"), "again")
+    rows = docs.select(id_.alias("_id"), row_key().alias("_row")).groupBy("_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    again = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_texts"), F.max("n").alias("_most")).where("_texts > 1 or _most > 1 or _id is null")
+    again = stage(again.select("_id", F.when(F.col("_id").isNull(), 2).otherwise(F.col("_texts")).alias("_texts")), "again")
     if again.isEmpty():
         return docs.withColumn("_key", id_)
     above = F.shiftrightunsigned(row_key(), 2) + F.lit(1 << 62)
-    keyed = docs.join(again, id_ == F.col("_id"), "left").withColumn("_key", F.when(F.col("texts") > 1, above).otherwise(id_))
+    keyed = docs.join(again, id_.eqNullSafe(F.col("_id")), "left").withColumn("_key", F.when(F.col("_texts") > 1, above).otherwise(id_))
     # Texts without words are copies of nothing.
-    repeated = F.col("_id").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    repeated = F.col("_texts").isNotNull() & F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     one = keyed.where(repeated).dropDuplicates(["_key"])
     return stage(keyed.where(~repeated).unionByName(one).select(*docs.columns, "_key"), "one-key")
 
