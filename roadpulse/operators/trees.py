@@ -163,10 +163,9 @@ def level_tree_predict(samples: DataFrame, nodes: DataFrame, attrs: Sequence[str
     depth = nodes.agg(F.max("level")).first()[0]
     ranges = stage(child_ranges(nodes), "tree-ranges")
     values = [F.col(a).cast("double").alias(f"_{a}") for a in attrs]
-    tuples = stage(samples.select(*values).distinct(), "tree-asked")
-    rows = tuples.withColumns(
-        {"id": F.lit(ROOT_ID).cast("long"), "split_attr": F.lit(root["split_attr"]).cast("string"), "predict": F.lit(root["label"])}
-    )
+    # Stored with its node, so that the first step joins by a column and not by a constant.
+    tuples = stage(samples.select(*values).distinct().withColumn("id", F.lit(ROOT_ID).cast("long")), "tree-asked")
+    rows = tuples.withColumns({"split_attr": F.lit(root["split_attr"]).cast("string"), "predict": F.lit(root["label"])})
     for level in range(1, depth + 1):
         asked = F.lit(None).cast("double")
         for a in attrs:
