@@ -1,27 +1,29 @@
-"""Language-model scores of texts from a probabilistic suffix tree.
+"""Language-model scores of texts from a probabilistic suffix tree over words.
 
 Tokens of a text are its words (A-Z as a-z) and one end. As in the base score, the symbols are the
 V distinct training tokens and one more that stands for every unknown one, so both scores are
 probabilities over the same symbols and can be compared.
 
-States are the last bytes before a token, one to four of them: the end of the word before it with
-a mark where that word starts, or the end mark at a text's start. The tree keeps a context if it
-occurs ``MIN_COUNT`` times and its next-symbol counts differ from those of the context one byte
-shorter by more than chance (likelihood ratio against the chi-square limit of its degrees of
-freedom): at most ``max_states`` of them and ``max_pairs`` of their counts, those of most gain. A kept context's distribution is
-smoothed by that of the next shorter kept one (Witten-Bell), down to the root. A token is scored
-by the longest kept suffix of what stands before it.
-
-In the states the ``classes`` most frequent tokens are symbols of their own and the rest are one
-class, whose members share its probability as they do without context: (c - d) / N for a token
-seen c times, d * V / N for the unknown symbol, with the discount d = n1 / (n1 + 2 n2) from the
-numbers of tokens seen once and twice. The text's score is the sum over its tokens.
-
-Counting: texts are dealt into chunks of about ``CHUNK`` bytes by a hash; each chunk sends every
-distinct word once, with its count among training texts. One shuffle by word adds these up and
-notes the total at each chunk's word, one by chunk brings the totals to the texts. Context counts
-of all training texts are added up per task before their shuffle. Only the kept states and the
-frequent tokens, both bounded by parameters, are broadcast.
+States are the last words before a token, one to ``depth`` of them, a mark at the text's start
+included; any word may be part of a state or follow it. A context is kept if its next-symbol
+distribution diverges from that of the context one word shorter by more than it costs to write
+down: the log-likelihood that it gains in training must exceed log N for naming the context (N
+training tokens) and half of log t for each of its distinct next symbols (t: how often it occurs).
+So no number of states, symbols or counts is fixed, and the tree grows with the input. A kept
+context's distribution is smoothed by that of the next shorter kept one (Witten-Bell), down to the
+root, where a token seen c times has (c - d) / N and the unknown symbol d * V / N, with the
+discount d = n1 / (n1 + 2 n2) from the numbers of tokens seen once and twice. A token is scored by
+the longest kept suffix of what stands before it; the text's score is the sum over its tokens.
+
+Counting: texts are packed into chunks of about ``CHUNK`` bytes and stored. Words and runs of words
+are 64-bit hashes. A chunk asks for the totals of its distinct keys: it sends them once with its
+own counts, sorted and cut into ranges of the hash; a range adds up what all chunks sent and gives
+each its totals in the order asked, so that neither words nor keys travel back. What a context
+gains and how many symbols follow it are sums over training tokens, log(p / p shorter) and 1 / n,
+so they are added up in the same way, and a frequent context is as light as any other: a chunk
+sends it once. Runs after a context that occurs less than twice are not asked for: such a context
+gains log N at most and is never kept. The tree is nowhere collected; each chunk holds the states
+that its own texts meet.
 
 Defined results: null and empty texts have the end token only; a null ``doc_id`` counts as the
 empty text in the split; repeated rows are scored each and counted each; with no training rows
@@ -31,220 +33,289 @@ no rows.
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.text import fold_of
+from roadpulse.llm.text import column_bytes, fold_of, mix, word_hashes
 from roadpulse.session import stage
 
-DEPTH, BITS = 4, 16
-CHUNK = 16 << 20
-CLASSES, MIN_COUNT, MAX_STATES, MAX_PAIRS = 1000, 50, 20_000, 2_000_000
-#: Bytes that no word contains: one marks a word's start, one is the end token.
-START, END = b"\n", b"\r"
-
-
-def chunk_words(table: pa.Table) -> pa.Table:
-    """Distinct tokens of a chunk with their counts in training texts."""
-    seen, trained = Counter(), Counter()
-    for text, held in zip(table.column("text").to_pylist(), table.column("held_out").to_pylist(), strict=True):
-        words = (text or b"").lower().split()
-        words.append(END)
-        (seen if held else trained).update(words)
-    seen.update(trained.keys())
-    seen[END] += 1
-    words = list(seen)
-    chunk = table.column("chunk")[0].as_py()
-    counts = np.fromiter((trained[w] for w in words), np.int64, len(words))
-    return pa.table({"word": pa.array(words, pa.binary()), "chunk": pa.array(np.full(len(words), chunk, np.int32)), "n": pa.array(counts)})
-
-
-def suffixes(words: list[bytes]) -> np.ndarray:
-    """The last four bytes of each word as one number, its start mark included if it is that short."""
-    return np.fromiter((int.from_bytes((START + w)[-DEPTH:]) if w != END else END[0] for w in words), np.int64, len(words))
+DEPTH = 2
+CHUNK, SLICE, PARTS = 16 << 20, 1 << 19, 64
+#: The end token, which also marks a text's start; and what a run of words is hashed with.
+END, STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
+#: Sums over tokens travel as whole numbers of these units, so that their order does not matter.
+GAIN_UNIT, KIND_UNIT = 1 << 16, 1 << 24
+
+CHUNKS = "chunk string, ids array<long>, held array<boolean>, sizes array<long>, data binary"
+ASKED = "chunk string, context boolean, words int, part int, keys binary, a binary, b binary"
+ANSWERS = "chunk string, context boolean, words int, part int, a binary, stats array<long>"
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Compressed bytes of numbers, all first bytes before all second ones."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def packed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of (doc_id, held_out, text) in rows of about ``CHUNK`` bytes; a longer text is a row of its own."""
+    ids, held, texts, size = [], [], [], 0
+
+    def chunk() -> pa.RecordBatch:
+        data = zstandard.ZstdCompressor(level=1).compress(b"\n".join(texts))
+        sizes = [len(t) for t in texts]
+        columns = [[uuid.uuid4().hex], [ids], [held], [sizes], [data]]
+        kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["chunk", "ids", "held", "sizes", "data"])
+
+    for batch in batches:
+        data, offsets = column_bytes(batch.column(2))
+        for i, (doc_id, out) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            if texts and size + len(text) > CHUNK:
+                yield chunk()
+                ids, held, texts, size = [], [], [], 0
+            ids.append(doc_id)
+            held.append(out)
+            texts.append(text)
+            size += len(text) + 1
+    if texts:
+        yield chunk()
+
+
+class Stream:
+    """The tokens of a chunk, each text begun and ended by ``END``, and what is known of their runs."""
+
+    def __init__(self, held: list[bool], sizes: list[int], data: bytes):
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+        starts = np.cumsum([0] + [n + 1 for n in sizes])
+        hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        first = 0
+        space = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        while first < len(raw):
+            # Cut at white space, wherever texts end.
+            at = np.searchsorted(space, first + SLICE)
+            last = int(space[at]) if at < len(space) else len(raw)
+            h, _, ends = word_hashes(raw[first:last], np.array([0, last - first]))
+            hashes.append(h)
+            rows.append(np.searchsorted(starts, ends[:, 0] + first, side="right") - 1)
+            first = last + 1
+        word, row = np.concatenate(hashes), np.concatenate(rows)
+        n = np.bincount(row, minlength=len(sizes)) + 2
+        self.begin = np.cumsum(n) - n
+        self.token = np.full(int(n.sum()), END)
+        self.token[np.arange(len(word)) + 2 * row + 1] = word
+        self.place = np.arange(len(self.token)) - np.repeat(self.begin, n)
+        self.train = np.repeat(~np.array(held, bool), n)
+        self.n_tokens = n - 1
+        self._run, self.count, self.kinds = {1: self.token}, {}, {}
+
+    def run(self, words: int) -> np.ndarray:
+        """Hash of the run of so many words that ends at each token."""
+        if words not in self._run:
+            out = self.run(words - 1).copy()
+            out[1:] = mix(out[:-1] * STEP + self.token[1:] + np.uint64(words))
+            self._run[words] = out
+        return self._run[words]
+
+    def before(self, words: int) -> np.ndarray:
+        """Per token, how often the run of so many words before it is in training."""
+        return np.concatenate([[0], self.count[words][:-1]])
+
+    def asked(self, context: bool, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens, and the keys at them: runs that end there, or the contexts of ``words`` before them."""
+        if context:
+            at = np.flatnonzero((self.place >= words) & (self.before(words) >= 2))
+            return at, self.run(words)[at - 1]
+        there = self.place >= max(words - 1, 1)
+        if words > 2:
+            there &= self.before(words - 1) >= 2
+        at = np.flatnonzero(there)
+        return at, self.run(words)[at]
+
+    def values(self, context: bool, words: int, at: np.ndarray) -> list[np.ndarray]:
+        """What the tokens add to their keys: a count, or what their context gains and their part of its symbols."""
+        if not context:
+            return [self.train[at].astype(np.float64)]
+        n, total = np.maximum(self.count[words + 1][at], 1), self.before(words)[at]
+        shorter = np.maximum(self.count[words][at], 1) / (np.maximum(self.before(words - 1)[at], 1) if words > 1 else self.total)
+        gain = np.log(n / total / shorter) - np.log(total) / (2 * n)
+        return [gain * self.train[at] * GAIN_UNIT, self.train[at] / n * KIND_UNIT]
+
+    def learn(self, context: bool, words: int, totals: np.ndarray) -> None:
+        """Take the totals of the keys asked for, in their order."""
+        at, key = self.asked(context, words)
+        known = np.zeros(len(self.token), np.int64)
+        known[at] = totals[np.unique(key, return_inverse=True)[1]]
+        if context:
+            self.kinds[words] = known
+            return
+        if words == 1:
+            # A text starts as often as it ends.
+            known[self.begin] = known[self.begin + self.n_tokens]
+        self.count[words] = known
+
+    def question(self, chunk: str, context: bool, words: int, parts: int) -> Iterator[tuple]:
+        at, key = self.asked(context, words)
+        keys, back = np.unique(key, return_inverse=True)
+        sums = [np.rint(np.bincount(back, v, len(keys))).astype(np.int64) for v in self.values(context, words, at)]
+        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            packed = [pack(v[a:b]) for v in sums]
+            yield chunk, context, words, int(part[a]), pack(np.diff(keys[a:b], prepend=np.uint64(0))), packed[0], packed[1] if context else None
+
+    def scores(self, total: int, distinct: int, discount: float) -> list[np.ndarray]:
+        """Known tokens, base score and score of each text."""
+        at = np.flatnonzero(self.place > 0)
+        c = self.count[1][at]
+        p = np.where(c > 0, c - discount, discount * distinct) / total if total else np.ones(len(at))
+        for words in sorted(self.kinds):
+            kinds = self.kinds[words][at]
+            longer = (self.count[words + 1][at] + kinds * p) / np.maximum(self.before(words)[at] + kinds, 1)
+            p = np.where(kinds > 0, longer, p)
+        base = np.log10(c + 1) - np.log10(total + distinct + 1)
+        texts = np.cumsum(self.n_tokens) - self.n_tokens
+        return [np.add.reduceat(x, texts) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "context", "words", "part", "keys", "a", "b"])
+
+
+def _first_questions(parts: int):
+    """Single words and pairs, for which nothing must be known."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                stream = Stream(row["held"], row["sizes"], row["data"])
+                for words in (1, 2):
+                    yield from _table(list(stream.question(row["chunk"], False, words, parts))).to_batches()
+
+    return ask
+
+
+def _known(chunk: pa.Table, answers: pa.Table, total: int) -> tuple[dict, Stream]:
+    """The chunk's row and its stream with all answers given so far."""
+    row = chunk.to_pylist()[0]
+    stream = Stream(row["held"], row["sizes"], row["data"])
+    stream.total = total
+    given: dict[tuple, list] = {}
+    for a in answers.to_pylist():
+        given.setdefault((a["words"] + a["context"], a["context"], a["words"]), []).append((a["part"], a["a"]))
+    # A context's answer needs the counts of runs one word longer.
+    for _, context, words in sorted(given):
+        blobs = sorted(given[words + context, context, words])
+        stream.learn(context, words, np.concatenate([unpack(b, np.int64) for _, b in blobs]))
+    return row, stream
+
+
+def _further_questions(words: int, depth: int, parts: int, total: int):
+    """Contexts of ``words`` words, and the runs that one word more before them makes."""
+
+    def ask(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, stream = _known(chunk, answers, total)
+        # A chunk may have asked for no run of this length.
+        stream.count.setdefault(words + 1, np.zeros(len(stream.token), np.int64))
+        rows = list(stream.question(row["chunk"], True, words, parts))
+        if words < depth:
+            rows += stream.question(row["chunk"], False, words + 2, parts)
+        return _table(rows)
+
+    return ask
+
+
+def _answered(total: int):
+    """Totals of a range of keys, given back to each chunk in its order."""
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        context, words, part = rows[0]["context"], rows[0]["words"], rows[0]["part"]
+        asked = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
+        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        sums = np.bincount(back, np.concatenate([unpack(r["a"], np.int64) for r in rows]), len(keys))
+        if context:
+            kinds = np.bincount(back, np.concatenate([unpack(r["b"], np.int64) for r in rows]), len(keys))
+            sums = np.where(sums > np.log(total) * GAIN_UNIT, np.rint(kinds / KIND_UNIT), 0)
+        sums = sums.astype(np.int64)
+        ends = np.cumsum([0] + [len(k) for k in asked])
+        out = [pack(sums[back[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        # One row more tells tokens, distinct ones, those seen once and twice (or states kept).
+        stats = [int(sums.sum()), int((sums > 0).sum()), int((sums == 1).sum()), int((sums == 2).sum())]
+        n = len(rows) + 1
+        return pa.table(
+            {
+                "chunk": pa.array([r["chunk"] for r in rows] + [None], pa.string()),
+                "context": pa.array([context] * n, pa.bool_()),
+                "words": pa.array([words] * n, pa.int32()),
+                "part": pa.array([part] * n, pa.int32()),
+                "a": pa.array(out + [None], pa.binary()),
+                "stats": pa.array([None] * len(rows) + [stats], pa.list_(pa.int64())),
+            }
+        )
 
+    return add
 
-def _contexts(classes: dict[bytes, int]):
-    """Counts of (last bytes before a token, class of the token) in a task's training texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
-        for batch in batches:
-            index: dict[bytes, int] = {END: 0}
-            for first in range(0, batch.num_rows, 512):
-                tokens = [END]
-                for text in batch.column(0).slice(first, 512).to_pylist():
-                    tokens += (text or b"").lower().split()
-                    tokens.append(END)
-                for w in set(tokens):
-                    index.setdefault(w, len(index))
-                at = np.fromiter(map(index.__getitem__, tokens), np.int64, len(tokens))
-                before = suffixes(list(index))
-                symbol = np.fromiter((classes.get(w, len(classes)) for w in index), np.int64, len(index))
-                key, n = np.unique(before[at[:-1]] << BITS | symbol[at[1:]], return_counts=True)
-                keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-                index = {END: 0}
-                if len(keys) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-                    keys, counts = keys[:0], counts[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
-
-    return count
-
-
-def tree_nodes(counts: DataFrame, max_states: int = MAX_STATES, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """Kept (d, ctx, next, n) with total and distinct symbols of the context, from (key, n)."""
-    symbol, context = F.col("key").bitwiseAND((1 << BITS) - 1), F.shiftright("key", BITS)
-
-    def low(c, d: int):
-        return c.bitwiseAND((1 << 8 * d) - 1)
-
-    every = F.array(*[F.struct(F.lit(d).alias("d"), low(context, d).alias("ctx")) for d in range(DEPTH + 1)])
-    # A context is as deep as it says only if its farthest byte is one.
-    deep = (F.col("d") == 0) | F.expr("shiftright(ctx, 8 * (d - 1)) > 0")
-    nodes = counts.select("n", symbol.alias("next"), F.explode(every).alias("x")).select("x.*", "next", "n").where(deep)
-    nodes = nodes.groupBy("d", "ctx", "next").agg(F.sum("n").alias("n"))
-    # A context has at most as many rows as there are classes.
-    own = Window.partitionBy("d", "ctx")
-    nodes = nodes.withColumn("total", F.sum("n").over(own)).withColumn("kinds", F.count(F.lit(1)).over(own))
-    nodes = stage(nodes.where((F.col("d") == 0) | (F.col("total") >= MIN_COUNT)), "lm-nodes")
-    shorter = nodes.select((F.col("d") + 1).alias("d"), F.col("ctx").alias("suffix"), "next", F.col("n").alias("m"), F.col("total").alias("mtotal"))
-    cut = F.coalesce(*[F.when(F.col("d") == d, low(F.col("ctx"), d - 1)) for d in range(1, DEPTH + 1)], F.lit(0).cast("long"))
-    gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("m") / F.col("mtotal")))
-    tested = nodes.where("d > 0").withColumn("suffix", cut).join(shorter, ["d", "suffix", "next"])
-    tested = tested.groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("kinds").alias("kinds"))
-    # About the 0.999 point of chi-square with as many degrees of freedom as symbols.
-    free = F.col("kinds").cast("double")
-    kept = tested.where(2 * F.col("gain") > free + 3.1 * F.sqrt(2 * free) + 6).orderBy(F.desc("gain"), "d", "ctx").limit(max_states)
-    # At most ``max_states`` rows, so one task may add them up.
-    best = Window.orderBy(F.desc("gain"), "d", "ctx").rowsBetween(Window.unboundedPreceding, 0)
-    kept = kept.withColumn("pairs", F.sum("kinds").over(best)).where(F.col("pairs") <= max_pairs)
-    return nodes.join(kept.select("d", "ctx"), ["d", "ctx"], "left_semi").unionByName(nodes.where("d = 0"))
-
-
-class Tree:
-    """Kept states as sorted arrays."""
-
-    def __init__(self, nodes: dict[str, np.ndarray], symbols: int):
-        self.symbols = symbols
-        d, ctx = nodes["d"].astype(np.int64), nodes["ctx"].astype(np.int64)
-        state, pair = d << 48 | ctx, d << 51 | ctx << BITS | nodes["next"].astype(np.int64)
-        order = np.argsort(pair)
-        self.pair, self.n = pair[order], nodes["n"][order].astype(np.float64)
-        self.state, at = np.unique(state, return_index=True)
-        self.total, self.kinds = nodes["total"][at].astype(np.float64), nodes["kinds"][at].astype(np.float64)
-
-    @staticmethod
-    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(sorted_keys, keys), max(len(sorted_keys) - 1, 0))
-        return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), bool)
-
-    def log10_p(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of the class of each (last bytes, class) key."""
-        keys, back = np.unique(key, return_inverse=True)
-        symbol, context = keys & ((1 << BITS) - 1), keys >> BITS
-        p = np.full(len(keys), 1 / self.symbols)
-        for d in range(DEPTH + 1):
-            ctx = context & ((1 << 8 * d) - 1)
-            at, known = self._find(self.state, d << 48 | ctx)
-            if d:
-                known &= ctx >> 8 * (d - 1) > 0
-            if not known.any():
-                continue
-            at = at[known]
-            where, there = self._find(self.pair, (d << 51 | ctx << BITS | symbol)[known])
-            n = np.where(there, self.n[where], 0)
-            p[known] = (n + self.kinds[at] * p[known]) / (self.total[at] + self.kinds[at])
-        return np.log10(p)[back]
-
-
-def _scored(tree: Tree, classes: dict[bytes, int], total: int, distinct: int, discount: float, frequent: int):
-    """``frequent``: how many training tokens belong to ``classes``."""
-    spread, rest = np.log10(total + distinct + 1), len(classes)
-    # What the class of all other tokens has without context.
-    other = (total - frequent + discount * len(classes)) / total if total else 1.0
-
-    def score(docs: pa.Table, words: pa.Table) -> pa.Table:
-        tokens = words.column("word").to_pylist()
-        count = words.column("c").to_numpy()
-        base, known = np.log10(count + 1) - spread, count > 0
-        before = suffixes(tokens) << BITS
-        symbol = np.fromiter((classes.get(w, rest) for w in tokens), np.int64, len(tokens))
-        alone = np.where(known, count - discount, discount * distinct) / total if total else np.ones(len(tokens))
-        within = np.where(symbol == rest, np.log10(np.maximum(alone, 1e-300) / other), 0.0)
-        index = {w: i for i, w in enumerate(tokens)}
-        flat: list[bytes] = []
-        sizes: list[int] = []
-        out: list[np.ndarray] = []
-
-        def flush() -> None:
-            at = np.fromiter(map(index.__getitem__, flat), np.int64, len(flat))
-            starts = np.cumsum([0] + sizes[:-1])
-            past = np.roll(at, 1)
-            past[starts] = index[END]
-            model = within[at] + (tree.log10_p(before[past] | symbol[at]) if total else 0.0)
-            out.append(np.stack([np.add.reduceat(x, starts) for x in (known[at].astype(float), base[at], model)]))
-            flat.clear()
-
-        done: list[int] = []
-        for text in docs.column("text").to_pylist():
-            ws = (text or b"").lower().split()
-            ws.append(END)
-            flat.extend(ws)
-            sizes.append(len(ws))
-            if len(flat) > 1 << 20:
-                flush()
-                done += sizes
-                sizes.clear()
-        if sizes:
-            flush()
-            done += sizes
-        n_known, base_score, model_score = np.concatenate(out, axis=1) if out else np.empty((3, 0))
+def _scored(depth: int, total: int, distinct: int, discount: float):
+    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row, stream = _known(chunk, answers, total)
+        n_known, base, model = stream.scores(total, distinct, discount)
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
-                "n_tokens": pa.array(done, pa.int64()),
-                "n_known": pa.array(n_known.astype(np.int64)),
-                "train_tokens": pa.array([total] * len(done), pa.int64()),
-                "base_score": pa.array(base_score),
-                "score": pa.array(model_score),
+                "doc_id": pa.array(row["ids"], pa.int64()),
+                "held_out": pa.array(row["held"], pa.bool_()),
+                "n_tokens": pa.array(stream.n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array([total] * len(base), pa.int64()),
+                "base_score": pa.array(base),
+                "score": pa.array(model),
             }
         )
 
     return score
 
 
-def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, n_classes: int = CLASSES, max_states: int = MAX_STATES) -> DataFrame:
+def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    text = F.col("text").cast("binary")
-    size = docs.agg(F.sum(F.octet_length(F.coalesce(F.col("text"), F.lit(""))))).first()[0] or 0
-    chunks = max(1, -(-size // CHUNK))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold_of(F.col("doc_id"), folds) == held).alias("held_out"),
-        F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(chunks)).cast("int").alias("chunk"),
-        text.alias("text"),
+        F.col("text").cast("binary").alias("text"),
     )
-    counted = rows.select("chunk", "held_out", "text").groupBy("chunk").applyInArrow(chunk_words, "word binary, chunk int, n long")
-    by_word = Window.partitionBy("word")
-    words = stage(counted.select("word", "chunk", F.sum("n").over(by_word).alias("c"), (F.min("chunk").over(by_word) == F.col("chunk")).alias("first")), "lm-words")
-    trained = words.where("first and c > 0")
-    total, distinct, once, twice = trained.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
-    ).first()
-    top = trained.select("word", "c").orderBy(F.desc("c"), "word").limit(n_classes).collect()
-    classes = {bytes(r.word): i for i, r in enumerate(top)}
+    chunks = stage(rows.mapInArrow(packed_chunks, CHUNKS), "lm-chunks")
+    # A range gets about as many keys as a chunk has.
+    parts = max(PARTS, chunks.count())
+
+    def answered(asked: DataFrame, total: int) -> DataFrame:
+        return stage(asked.groupBy("context", "words", "part").applyInArrow(_answered(total), ANSWERS), "lm-answers")
+
+    answers = answered(chunks.mapInArrow(_first_questions(parts), ASKED), 0)
+    sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4)]
+    total, distinct, once, twice = answers.where("chunk is null and words = 1").agg(*sums).first()
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    seen = rows.where(~F.col("held_out")).select("text").mapInArrow(_contexts(classes), "key long, n long")
-    nodes = tree_nodes(seen.groupBy("key").agg(F.sum("n").alias("n")), max_states).toArrow()
-    tree = Tree({c: nodes.column(c).to_numpy() for c in nodes.column_names}, len(classes) + 1)
-    score = _scored(tree, classes, total, distinct, discount, sum(r.c for r in top))
+    given = answers.where("chunk is not null")
+
+    def by_chunk():
+        return chunks.groupBy("chunk").cogroup(given.drop("stats").groupBy("chunk"))
+
+    for words in range(1, depth + 1) if total else ():
+        asked = by_chunk().applyInArrow(_further_questions(words, depth, parts, total), ASKED)
+        given = given.unionByName(answered(asked, total).where("chunk is not null"))
     result = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(words.select("chunk", "word", "c").groupBy("chunk")).applyInArrow(score, result)
+    return by_chunk().applyInArrow(_scored(depth, total, distinct, discount), result)

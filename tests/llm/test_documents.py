@@ -241,28 +241,85 @@ def test_slot_map_versions(shipped, tmp_path):
     assert {r.slot: r.shard for r in slots.read_map(shipped, path, 1).collect()} == {0: 0, 1: 1, 2: 0}
 
 
-def test_language_model_base_and_probabilities(documents, corpus, monkeypatch):
-    monkeypatch.setattr(suffix_tree, "MIN_COUNT", 2)
-    got = suffix_tree.language_model_scores(documents(corpus).withColumn("chunk", F.lit("clash"))).collect()
-    assert len(got) == len(corpus)
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    count = Counter(w for i, t, _ in corpus if not held(i) for w in [*tokens(t), b"\r"])
+def held_out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+
+
+def suffix_tree_of(rows, depth):
+    """Plain loops over the training texts: counts of tokens, kept contexts with their next tokens, and probabilities."""
+    end = b"\r"
+    alone, after = Counter(), {}
+    for _, t, _ in (r for r in rows if not held_out(r[0])):
+        ws = [end, *tokens(t), end]
+        for i in range(1, len(ws)):
+            alone[ws[i]] += 1
+            for d in range(1, min(depth, i) + 1):
+                after.setdefault(tuple(ws[i - d : i]), Counter())[ws[i]] += 1
+    total, distinct = sum(alone.values()), len(alone)
+    once, twice = (sum(c == k for c in alone.values()) for k in (1, 2))
+    less = once / (once + 2 * twice) if once and twice else 0.5
+    kept = {}
+    for ctx, nexts in after.items():
+        t, short = sum(nexts.values()), after.get(ctx[1:], alone)
+        gain = sum(n * math.log(n / t / (short[w] / sum(short.values()))) for w, n in nexts.items())
+        if gain > math.log(total) + len(nexts) * math.log(t) / 2:
+            kept[ctx] = nexts
+
+    def p(before, w):
+        out = (alone[w] - less) / total if alone[w] else less * distinct / total
+        for d in range(1, min(depth, len(before)) + 1):
+            nexts = kept.get(tuple(before[-d:]))
+            if nexts:
+                out = (nexts[w] + len(nexts) * out) / (sum(nexts.values()) + len(nexts))
+        return out
+
+    return alone, kept, p
+
+
+def phrases(rng, n):
+    """Texts of fixed phrases, so that words tell the next ones; some only by the third word before."""
+    known = [sentence(rng, rng.randint(3, 6), "abcde") for _ in range(12)] + [f"first{i} same words last{i}" for i in range(6)]
+    return [(1000 + i, " ".join(rng.choices(known, k=rng.randint(1, 30))) + " " + sentence(rng, 2, "xyz"), "p") for i in range(n)]
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_language_model_matches_plain_loops(documents, corpus, monkeypatch, depth):
+    # Small chunks, so that totals come from many.
+    monkeypatch.setattr(suffix_tree, "CHUNK", 2000)
+    rows = corpus + phrases(random.Random(11), 120)
+    got = suffix_tree.language_model_scores(documents(rows).withColumn("chunk", F.lit("clash")).repartition(3), depth=depth).collect()
+    count, kept, p = suffix_tree_of(rows, depth)
+    assert {len(c) for c in kept} == set(range(1, depth + 1))
     total, distinct = sum(count.values()), len(count)
     want = Counter()
-    for i, t, _ in corpus:
-        ws = [*tokens(t), b"\r"]
-        base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in ws)
-        want[i, held(i), len(ws), sum(count[w] > 0 for w in ws), total, round(base, 4)] += 1
-    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 for r in got)
+    for i, t, _ in rows:
+        ws = [b"\r", *tokens(t), b"\r"]
+        base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in ws[1:])
+        score = sum(math.log10(p(ws[:k], ws[k])) for k in range(1, len(ws)))
+        want[i, held_out(i), len(ws) - 1, sum(count[w] > 0 for w in ws[1:]), total, round(base, 4), round(score, 4)] += 1
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    for before in ([], [b"\r"], tokens(phrases(random.Random(11), 1)[0][1])[:3], [b"never", b"seen"]):
+        assert sum(p(before, w) for w in [*count, b"unknown"]) == pytest.approx(1)
+
 
+def test_language_model_without_training_rows(documents):
+    ids = [i for i in range(200) if held_out(i)][:4]
+    got = suffix_tree.language_model_scores(documents([(i, t, "s") for i, t in zip(ids, ["a b", "", None, "a a"], strict=True)])).collect()
+    assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got} == {(i, n, 0, 0, 0.0, 0.0) for i, n in zip(ids, [3, 1, 1, 3], strict=True)}
 
-def test_tree_distributions_add_up_to_one():
-    n = {"d": [0, 0, 0, 1, 1], "ctx": [0, 0, 0, 97, 97], "next": [0, 1, 2, 0, 1], "n": [5, 3, 2, 4, 1], "total": [10, 10, 10, 5, 5], "kinds": [3, 3, 3, 2, 2]}
-    tree = suffix_tree.Tree({k: np.array(v, np.int64) for k, v in n.items()}, 4)
-    for ctx in (97, 98, 0, 97 << 8 | 97):
-        assert (10 ** tree.log10_p(np.array([ctx << suffix_tree.BITS | s for s in range(4)]))).sum() == pytest.approx(1)
+
+def test_language_model_grows_with_the_input(documents):
+    rng = random.Random(5)
+    rows = phrases(rng, 300)
+    kept = [len(suffix_tree_of(r, 2)[1]) for r in (rows[:30], rows)]
+    assert kept[1] > kept[0]
+    # Held-out texts of known phrases only.
+    asked = [(i, " ".join(t.split()[:-2]), "q") for i, t, _ in rows if held_out(i)][:5]
+    small, large = (
+        {r.doc_id: r.score for r in suffix_tree.language_model_scores(documents([x for x in learnt if not held_out(x[0])] + asked)).collect()} for learnt in (rows[:30], rows)
+    )
+    assert sum(large[i] for i, _, _ in asked) > sum(small[i] for i, _, _ in asked)
 
 
 def test_leaks_are_found_and_clean_texts_left(documents, shipped):
