@@ -119,7 +119,7 @@ class Stream:
         self.place = np.arange(len(self.token)) - np.repeat(self.begin, n)
         self.train = np.repeat(~np.array(held, bool), n)
         self.n_tokens = n - 1
-        self._run, self.count, self.kinds = {1: self.token}, {}, {}
+        self._run, self._asked, self.count, self.kinds = {1: self.token}, {}, {}, {}
 
     def run(self, words: int) -> np.ndarray:
         """Hash of the run of so many words that ends at each token."""
@@ -133,16 +133,27 @@ class Stream:
         """Per token, how often the run of so many words before it is in training."""
         return np.concatenate([[0], self.count[words][:-1]])
 
-    def asked(self, context: bool, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens, and the keys at them: runs that end there, or the contexts of ``words`` before them."""
+    def asked(self, context: bool, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens, the keys asked for, and which of them is at each token: of runs that end there, or of the context before."""
         if context:
+            # The contexts are among the runs asked for before, so nothing is sorted again.
             at = np.flatnonzero((self.place >= words) & (self.before(words) >= 2))
-            return at, self.run(words)[at - 1]
+            keys, which = self._asked[words]
+            which = which[at - 1]
+            used = np.zeros(len(keys), bool)
+            used[which] = True
+            return at, keys[used], (np.cumsum(used) - 1)[which]
         there = self.place >= max(words - 1, 1)
         if words > 2:
             there &= self.before(words - 1) >= 2
         at = np.flatnonzero(there)
-        return at, self.run(words)[at]
+        keys, back = np.unique(self.run(words)[at], return_inverse=True)
+        which = np.zeros(len(self.token), np.int32)
+        which[at] = back
+        if words == 1:
+            which[self.begin] = which[self.begin + self.n_tokens]
+        self._asked[words] = keys, which
+        return at, keys, back
 
     def values(self, context: bool, words: int, at: np.ndarray) -> list[np.ndarray]:
         """What the tokens add to their keys: a count, or what their context gains and their part of its symbols."""
@@ -155,9 +166,9 @@ class Stream:
 
     def learn(self, context: bool, words: int, totals: np.ndarray) -> None:
         """Take the totals of the keys asked for, in their order."""
-        at, key = self.asked(context, words)
+        at, _, back = self.asked(context, words)
         known = np.zeros(len(self.token), np.int64)
-        known[at] = totals[np.unique(key, return_inverse=True)[1]]
+        known[at] = totals[back]
         if context:
             self.kinds[words] = known
             return
@@ -167,8 +178,7 @@ class Stream:
         self.count[words] = known
 
     def question(self, chunk: str, context: bool, words: int, parts: int) -> Iterator[tuple]:
-        at, key = self.asked(context, words)
-        keys, back = np.unique(key, return_inverse=True)
+        at, keys, back = self.asked(context, words)
         sums = [np.rint(np.bincount(back, v, len(keys))).astype(np.int64) for v in self.values(context, words, at)]
         part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
