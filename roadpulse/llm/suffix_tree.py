@@ -46,7 +46,7 @@ from roadpulse.llm.text import column_bytes, fold_of, mix, word_hashes
 from roadpulse.session import stage
 
 DEPTH = 2
-CHUNK, SLICE, PARTS = 16 << 20, 1 << 19, 64
+CHUNK, SLICE, PARTS = 12 << 20, 1 << 19, 64
 #: The end token, which also marks a text's start; and what a run of words is hashed with.
 END, STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 #: Sums over tokens travel as whole numbers of these units, so that their order does not matter.
@@ -124,9 +124,11 @@ class Stream:
     def run(self, words: int) -> np.ndarray:
         """Hash of the run of so many words that ends at each token."""
         if words not in self._run:
-            out = self.run(words - 1).copy()
-            out[1:] = mix(out[:-1] * STEP + self.token[1:] + np.uint64(words))
-            self._run[words] = out
+            shorter = self.run(words - 1)
+            out = shorter.copy()
+            out[1:] = mix(shorter[:-1] * STEP + self.token[1:] + np.uint64(words))
+            # Runs are asked for by length, so the shorter ones have been used.
+            self._run = {1: self.token, words: out}
         return self._run[words]
 
     def before(self, words: int) -> np.ndarray:
@@ -142,12 +144,13 @@ class Stream:
             which = which[at - 1]
             used = np.zeros(len(keys), bool)
             used[which] = True
-            return at, keys[used], (np.cumsum(used) - 1)[which]
+            return at, keys[used], (np.cumsum(used, dtype=np.int32) - 1)[which]
         there = self.place >= max(words - 1, 1)
         if words > 2:
             there &= self.before(words - 1) >= 2
         at = np.flatnonzero(there)
         keys, back = np.unique(self.run(words)[at], return_inverse=True)
+        back = back.astype(np.int32)
         which = np.zeros(len(self.token), np.int32)
         which[at] = back
         if words == 1:
