@@ -2,21 +2,24 @@
 
 Five transducers read the tokens of a clause and each writes its own mark on a tape:
 
-* insult and threat: acceptors of word beginnings with learned weights (see below);
+* insult: open for a few tokens after an addressee or an insulting word; an insulting word read
+  while open is an insult aimed at somebody or one of several;
+* threat: open for a few tokens after a word of intent; a violent or insulting word read while
+  open is a threat;
 * target: whether the clause names an addressee or a person;
 * negation: open for a few tokens after a negating word;
 * reported speech: open from a quotation mark or reporting word to the clause's end.
 
 Their composition is one automaton over token classes whose states are tuples of theirs; a clause
-is scored by its path: every insult or threat counts into the cell (negated, reported, targeted) of
-the state it is read in. A document's features are sums over its matched clauses, never over loose
-words, and the weights of the cells are learned, so that negation or quoting lowers a score as far
+is scored by its path: every violent or insulting word counts with its weight, marked as the state
+it is read in says (negated, reported, targeted, insult, threat). A document's features are sums over its matched clauses, never over loose
+words, and the weights of the marks are learned, so that negation or quoting lowers a score as far
 as labels say so.
 
-The lexicon is learned from a bounded sample of labelled rows: beginnings of words (3 letters to
-whole words) whose documents are labelled toxic more often than chance allows among all beginnings
+The lexicon is learned from a bounded sample of labelled rows: beginnings of words (3 to 12
+letters, then each a third longer than the one before, and whole words) whose documents are labelled toxic more often than chance allows among all beginnings
 seen (likelihood ratio with a Bonferroni bound). Inflected forms are thus found by their stem, in
-any language. A second part of the sample calibrates the score.
+any language. All that pass are kept: only the sample bounds them. A second part of the sample calibrates the score.
 
 Texts are searched by one multi-pattern automaton; only clauses around a hit are tokenised.
 
@@ -43,18 +46,20 @@ from roadpulse.llm.labels import fit_logistic, labelled_sample, probability
 from roadpulse.llm.text import fold_of
 from roadpulse.session import stage
 
-MAX_ROWS, MAX_LEXICON = 16_000, 4_000
-LEAST, LONGEST = 3, 12
+MAX_ROWS = 16_000
+LEAST, DENSE = 3, 12
 
 # Common function words of English, German, French and Spanish.
 TARGETS = "you your yours yourself u he she they them him her du dich dir dein deine ihr euch tu toi te ton ta vous votre tú tu ti usted ustedes vosotros".split()
 NEGATIONS = "not no never neither nor without don't isn't aren't wasn't nicht kein keine nie niemals pas jamais aucun aucune sans nunca jamás ningún ninguna sin".split()
 REPORTS = "said says say told wrote writes called quoted according sagte sagt schrieb laut dit disait écrit selon dijo dice escribió según".split()
 THREATS = "kill hurt destroy punch beat burn shoot stab töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
+INTENTS = "will shall gonna going want i'll we'll they'll werde werden will wollen vais allons veux voulons voy vamos quiero".split()
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?|[\"“”«»„]")
+_VIOLENT = frozenset(THREATS)
 _CLAUSE = re.compile(r"[.!?;:\n]+")
-_CLASSES = {w: c for c, ws in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws} | dict.fromkeys('"“”«»„', "report")
+_CLASSES = {w: c for c, ws in (("intent", INTENTS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in ws} | dict.fromkeys('"“”«»„', "report")
 SCOPE = 3
 
 
@@ -74,17 +79,37 @@ class Transducer:
 NEGATION = Transducer(SCOPE + 1, lambda s, c: SCOPE if c == "negation" else max(s - 1, 0))
 REPORT = Transducer(2, lambda s, c: 1 if c == "report" else s)
 TARGET = Transducer(2, lambda s, c: 1 if c == "target" else s)
-TOKEN_CLASSES = ("word", "target", "negation", "report", "hit")
-_all = NEGATION.compose(REPORT).compose(TARGET)
-#: The composed automaton as a table, and what its states say: (negated, reported, targeted).
+
+
+def _matcher(openers: tuple[str, ...], closers: tuple[str, ...]) -> Transducer:
+    """In its last state after a closer that is read at most SCOPE tokens after an opener or a match."""
+
+    def step(state: int, token: str) -> int:
+        if state and token in closers:
+            return SCOPE + 1
+        return SCOPE if token in openers else max(state - 1, 0)
+
+    return Transducer(SCOPE + 2, step)
+
+
+INSULT = _matcher(("target", "insult"), ("insult",))
+THREAT = _matcher(("intent",), ("violent", "insult"))
+TOKEN_CLASSES = ("word", "target", "negation", "report", "intent", "violent", "insult")
+_all = NEGATION.compose(REPORT).compose(TARGET).compose(INSULT).compose(THREAT)
+#: The composed automaton as a table, and what its states say: (negated, reported, targeted, insult, threat).
 MOVES = [{c: _all.step(s, c) for c in TOKEN_CLASSES} for s in range(_all.states)]
-SAYS = [(n > 0, bool(r), bool(t)) for n, r, t in product(range(SCOPE + 1), range(2), range(2))]
+SAYS = [
+    (n > 0, bool(r), bool(t), i > SCOPE, h > SCOPE)
+    for n, r, t, i, h in product(range(NEGATION.states), range(REPORT.states), range(TARGET.states), range(INSULT.states), range(THREAT.states))
+]
 
 
 def beginnings(word: str) -> Iterator[str]:
     """Beginnings of a word as patterns: ``^abc`` any word so begun, ``^abc$`` the whole word."""
-    for k in range(LEAST, min(len(word), LONGEST) + 1):
+    k = LEAST
+    while k <= len(word):
         yield "^" + word[:k]
+        k += 1 if k < DENSE else k // 3
     yield "^" + word + "$"
 
 
@@ -103,7 +128,7 @@ def _lexicon_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     )
 
 
-def learn_lexicon(sample: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict[str, float]:
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     """Weights of word beginnings from (text, label) rows."""
     counts = stage(
         sample.select("text", "label").mapInArrow(_lexicon_counts, "part string, bad long, good long").groupBy("part").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")),
@@ -119,14 +144,13 @@ def learn_lexicon(sample: DataFrame, max_lexicon: int = MAX_LEXICON) -> dict[str
     ratio = F.col("bad") * F.log(p / F.lit(rate)) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - p) / F.lit(1 - rate))).otherwise(0.0)
     found = counts.where((F.col("part") != "") & (F.col("bad") > 0) & (p > F.lit((1 + rate) / 2)) & (ratio > F.lit(float(np.log(tested)))))
     weight = F.log((F.col("bad") + 0.5) / (F.col("good") + 0.5)) - F.lit(float(np.log(rate / (1 - rate))))
-    rows = found.select("part", weight.alias("weight"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "part").limit(max_lexicon).collect()
-    return {r.part: r.weight for r in rows}
+    return {r.part: r.weight for r in found.select("part", weight.alias("weight")).collect()}
 
 
 class Grammar:
     """The lexicon as a multi-pattern automaton, and the composed clause automaton."""
 
-    NAMES = ("any", "clauses", "heaviest", "plain", "negated", "reported", "targeted", "dense")
+    NAMES = ("any", "clauses", "heaviest", "plain", "negated", "reported", "targeted", "insults", "threats", "dense")
 
     def __init__(self, lexicon: dict[str, float]):
         self.find = ahocorasick.Automaton()
@@ -141,19 +165,25 @@ class Grammar:
     def weight(self, word: str) -> float:
         return max((self.lexicon.get(p, 0.0) for p in beginnings(word)), default=0.0)
 
-    def clause(self, text: str) -> dict[tuple, float]:
-        """Weights of the clause's hits by (negated, reported, targeted)."""
-        state, hits = 0, []
+    def matches(self, text: str) -> list[tuple[tuple, float]]:
+        """Marks and weight of each violent or insulting word of a clause; a target counts for the whole clause."""
+        state, found = 0, []
         for word in _WORD.findall(text):
             weight = self.weight(word)
-            state = MOVES[state]["hit" if weight else _CLASSES.get(word, "word")]
+            kind = _CLASSES.get(word, "word")
             if weight:
-                hits.append((state, weight))
-        cells: dict[tuple, float] = {}
+                kind = "violent" if word in _VIOLENT else "insult"
+            state = MOVES[state][kind]
+            if weight:
+                found.append((state, weight))
         targeted = SAYS[state][2]
-        for at, weight in hits:
-            key = (*SAYS[at][:2], targeted)
-            cells[key] = cells.get(key, 0.0) + weight
+        return [((*SAYS[at][:2], targeted, *SAYS[at][3:]), weight) for at, weight in found]
+
+    def clause(self, text: str) -> dict[tuple, float]:
+        """Weights of the clause's violent and insulting words by (negated, reported, targeted)."""
+        cells: dict[tuple, float] = {}
+        for marks, weight in self.matches(text):
+            cells[marks[:3]] = cells.get(marks[:3], 0.0) + weight
         return cells
 
     def features(self, text: str) -> list[float]:
@@ -163,18 +193,21 @@ class Grammar:
             return [0.0] * len(self.NAMES)
         bounds = [m.end() for m in _CLAUSE.finditer(low)]
         at = np.searchsorted(bounds, ends, side="right")
-        plain = negated = reported = targeted = heaviest = 0.0
+        plain = negated = reported = targeted = insults = threats = heaviest = 0.0
         clauses = 0
         for k in np.unique(at):
-            cells = self.clause(low[bounds[k - 1] if k else 0 : bounds[k] if k < len(bounds) else len(low)])
-            clauses += bool(cells)
-            for (neg, rep, tgt), w in cells.items():
-                heaviest = max(heaviest, w)
-                plain += w * (not neg and not rep)
+            cells: dict[tuple, float] = {}
+            for marks, w in self.matches(low[bounds[k - 1] if k else 0 : bounds[k] if k < len(bounds) else len(low)]):
+                cells[marks[:3]] = cells.get(marks[:3], 0.0) + w
+                neg, rep, tgt, insult, threat = marks
+                open_ = not neg and not rep
+                plain, insults, threats = plain + w * open_, insults + w * (open_ and insult), threats + w * (open_ and threat)
                 negated, reported, targeted = negated + w * neg, reported + w * rep, targeted + w * tgt
+            clauses += bool(cells)
+            heaviest = max(heaviest, *cells.values(), 0.0)
         if not clauses:
             return [0.0] * len(self.NAMES)
-        logs = [float(np.log1p(v)) for v in (plain, negated, reported, targeted)]
+        logs = [float(np.log1p(v)) for v in (plain, negated, reported, targeted, insults, threats)]
         return [1.0, float(np.log1p(clauses)), heaviest, *logs, clauses / (len(bounds) + 1)]
 
 

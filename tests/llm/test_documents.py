@@ -419,6 +419,41 @@ def test_negation_and_report_marks():
     assert grammar.features("no match here") == [0.0] * len(grammar.NAMES)
 
 
+def test_insult_and_threat_marks():
+    grammar = toxicity.Grammar({"^fool": 2.0, "^kill$": 1.0})
+    marks = lambda text: [m for m, _ in grammar.matches(text)]
+    # (negated, reported, targeted, insult, threat)
+    assert marks("you fool") == [(False, False, True, True, False)]
+    assert marks("a fool came") == [(False, False, False, False, False)]
+    assert marks("foolish fools") == [(False, False, False, False, False), (False, False, False, True, False)]
+    assert marks("you a b c fool") == [(False, False, True, False, False)]
+    assert marks("i will kill you") == [(False, False, True, False, True)]
+    assert marks("i will not kill you") == [(True, False, True, False, True)]
+    assert marks("he said i will kill you") == [(False, True, True, False, True)]
+    assert marks("to kill a process") == [(False, False, False, False, False)]
+    assert marks("i will a b c kill") == [(False, False, False, False, False)]
+    names = dict(zip(toxicity.Grammar.NAMES, grammar.features("you fool. i will kill you. to kill a process."), strict=True))
+    assert names["insults"] == np.log1p(2.0) and names["threats"] == np.log1p(1.0) and names["plain"] == np.log1p(4.0)
+
+
+def test_composed_automaton_is_its_parts():
+    rng = random.Random(9)
+    parts = [toxicity.NEGATION, toxicity.REPORT, toxicity.TARGET, toxicity.INSULT, toxicity.THREAT]
+    state, own = 0, [0] * len(parts)
+    for _ in range(5_000):
+        token = rng.choice(toxicity.TOKEN_CLASSES)
+        state = toxicity.MOVES[state][token]
+        own = [t.step(s, token) for t, s in zip(parts, own, strict=True)]
+        assert toxicity.SAYS[state] == (own[0] > 0, own[1] == 1, own[2] == 1, own[3] > toxicity.SCOPE, own[4] > toxicity.SCOPE)
+
+
+def test_beginnings_of_long_words():
+    assert list(toxicity.beginnings("ab")) == ["^ab$"]
+    assert list(toxicity.beginnings("abcd")) == ["^abc", "^abcd", "^abcd$"]
+    long = list(toxicity.beginnings("x" * 100_000))
+    assert [len(p) - 1 for p in long[:12]] == [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 16, 21] and len(long) < 60
+
+
 @pytest.mark.parametrize("operator", [near_dup.near_duplicates, host_rules.host_quality, mixing.mix_sources, mixing.mixed_documents, slots.shard_rows, slots.sharded_documents, suffix_tree.language_model_scores])
 def test_no_rows_give_no_rows(documents, operator):
     assert operator(documents(ODD).limit(0)).count() == 0
