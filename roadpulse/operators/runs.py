@@ -134,8 +134,13 @@ def speed_range(df: DataFrame, low: float = MIN_SPEED, high: float = MAX_SPEED)
 
 
 def cell_speed(runs: DataFrame) -> DataFrame:
-    """Mean run speed per cell and window; every run counts the same."""
-    return runs.groupBy("w", "x", "y").agg(F.avg("speed").alias("speed"), F.count(F.lit(1)).alias("num"))
+    """Mean run speed per cell and window; every run counts the same.
+
+    Run speeds are added as decimals, so the mean doesn't depend on the order of the rows: one
+    that is a whole number comes out as that number and falls into its bin.
+    """
+    speed = F.col("length").cast("decimal(24,9)") / F.col("seconds").cast("decimal(20,0)")
+    return runs.groupBy("w", "x", "y").agg(F.avg(speed).cast("double").alias("speed"), F.count(F.lit(1)).alias("num"))
 
 
 def cell_speed_from_runs(
