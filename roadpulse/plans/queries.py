@@ -151,14 +151,15 @@ def read_trajectories_2016(k: Tables) -> DataFrame:
 
 @_query("month_scan")
 def month_scan(k: Tables) -> DataFrame:
-    """2016 trips stored in two month folders, by the parity of their first road, one month read back."""
+    """2016 trips stored in two month folders, by the parity of their first road, each month read back alone."""
     base = stage_path(k.spark, "months")
     lines = traj_files.trajectory_lines_2016(k.trajectory_2016)
     first_time = F.split(F.split("value", ",")[8], r"\|")[0].cast("bigint")
     day = F.date_format(timing.epoch_to_timestamp(first_time), "dd")
     first_edge = F.split(F.split("value", ",")[4], r"\|")[0].cast("bigint")
     traj_files.write_months(lines.withColumns({"month": (first_edge % 2 + 1).cast("int"), "day": day}), base)
-    good, _ = traj_files.read_months_2016(k.spark, base, [1])
+    months = [traj_files.read_months_2016(k.spark, base, [month])[0] for month in (1, 2)]
+    good = months[0].unionByName(months[1])
     return good.select(F.col("edges")[0].alias("first_edge")).groupBy("first_edge").agg(F.count(F.lit(1)).alias("trips"))
 
 
