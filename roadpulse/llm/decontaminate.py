@@ -1,10 +1,12 @@
 """Benchmark passages in documents, by latent semantic retrieval and confirmed by word order.
 
 1. Words are hashed into ``TERMS`` terms; one pass over all documents counts in how many each term
-   occurs and keeps one passage of a bounded sample of documents.
-2. A randomised SVD finds the ``RANK`` main directions of the sample's and the benchmark's TF-IDF
-   passages (benchmark rows weigh more). Products with the matrix and its transpose are summed per
-   partition, so its rows stay on the executors; the driver has thin factors of fixed size only.
+   occurs and stores every whole text as terms.
+2. A randomised SVD finds the ``RANK`` main directions of the TF-IDF passages of all documents and
+   of the benchmark. Every document counts the same and its passages share its weight; together
+   documents weigh as much as ``CORPUS_ROWS`` passages at most, and benchmark passages weigh more.
+   Products with the matrix and its transpose are summed per partition and then by blocks of
+   terms, so its rows stay on the executors; the driver has thin factors of fixed size only.
 3. A second pass over all documents cuts every whole text into passages of three steps of ``STEP``
    words, one step apart, folds them into the latent space and takes those whose cosine with a
    benchmark passage reaches ``MIN_COSINE``. The cosine is that of the passage itself with the
@@ -19,8 +21,8 @@
    words must occur as they are.
 
 Benchmark items go to the tasks in groups of at most ``GROUP``, each with a latent space fitted on
-all its passages; a larger benchmark takes more passes, so what is broadcast is bounded. Nothing of
-the documents is.
+all its passages and all documents; a larger benchmark takes more passes, so what is broadcast is
+bounded. Nothing of the documents is.
 
 Defined results: null and empty texts, and items without words, match nothing; a null ``doc_id`` or
 ``item_id`` is kept as null; repeated rows are found each; equal items are found each. Other
@@ -33,6 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,9 +46,13 @@ from roadpulse.session import stage
 TERM_BITS = 15
 TERMS, RANK, EXTRA, POWER = 1 << TERM_BITS, 128, 8, 2
 STEP, STEPS = 16, 3
-SAMPLE_DOCS, BENCH_WEIGHT = 2_000, 4.0
+CORPUS_ROWS, BENCH_WEIGHT = 2_000, 4.0
 MIN_COSINE, SHARE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.18, 0.6, 0.8, 0.6, 6, 0.8
-GROUP, TERM_BLOCK = 2_048, 2_048
+GROUP, TERM_BLOCK, SUM_TASKS = 2_048, 256, 4
+#: Passages of a task; every task passes on a matrix of terms, so there are no more tasks than that needs or cores.
+TASK_PASSAGES = 2_000_000
+#: Rows of a run that are added one after the other; longer runs are added in pieces.
+PIECE, PIECES = 32, 256
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -71,41 +79,59 @@ def steps_of(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, owner, np.flatnonzero((left >= STEPS) | (nth == 0))
 
 
+def run_sums(values: np.ndarray, index: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of ``values[index]`` over runs that begin at ``start``, none of them empty."""
+    size = np.diff(np.append(start, len(index)))
+    pieces = -(-size // PIECE)
+    end = np.cumsum(pieces)
+    nth = np.arange(end[-1]) - np.repeat(end - pieces, pieces)
+    first = np.repeat(start, pieces) + nth * PIECE
+    length = np.minimum(np.repeat(size, pieces) - nth * PIECE, PIECE)
+    # The longest pieces first: those with a row left are the first ones. Few at a time stay in the cache.
+    order = np.argsort(-length, kind="stable")
+    sums = np.empty((len(order), values.shape[1]), values.dtype)
+    row = np.empty((min(len(order), PIECES), values.shape[1]), values.dtype)
+    for lo in range(0, len(order), PIECES):
+        own = order[lo : lo + PIECES]
+        begin, size = first[own], -length[own]
+        added = values[index[begin]]
+        for k in range(1, -int(size[0])):
+            left = int(np.searchsorted(size, -k, side="left"))
+            np.take(values, index[begin[:left] + k], axis=0, out=row[:left], mode="clip")
+            added[:left] += row[:left]
+        sums[own] = added
+    return sums if len(sums) == len(start) else run_sums(sums, np.arange(len(sums)), end - pieces)
+
+
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (term, documents with it, none) and of (-1, 1, terms of a sampled passage)."""
+    """Rows of (-1, passages of a text, its words' terms) and of (term, documents with it, none)."""
     seen = np.zeros(TERMS, np.int64)
     for batch in batches:
-        sampled = batch.column(1).to_pylist()
         data, offsets = column_bytes(batch.column(0))
-        passages = []
+        passages, texts = [], []
         for a, b in slices(offsets):
             h, row, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             t = terms(h)
             seen += np.bincount(np.unique(row * TERMS + t) % TERMS, minlength=TERMS)
             bounds = np.searchsorted(row, np.arange(b - a + 1))
-            for i in range(b - a):
-                if sampled[a + i] is not None and bounds[i + 1] > bounds[i]:
-                    # Any passage of the text, by the row's hash.
-                    lo = bounds[i] + sampled[a + i] % max(1, (bounds[i + 1] - bounds[i]) // STEP) * STEP
-                    passages.append(t[lo : min(lo + STEP * STEPS, bounds[i + 1])].tolist())
+            t = t.astype(np.uint16)
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if hi > lo:
+                    passages.append(-(-(hi - lo) // (STEP * STEPS)))
+                    texts.append(t[lo:hi].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([-1] * len(passages), pa.int32()), pa.array([1] * len(passages), pa.int64()), pa.array(passages, pa.list_(pa.int32()))], ["term", "n", "terms"]
+            [pa.array([-1] * len(texts), pa.int32()), pa.array(passages, pa.int64()), pa.array(texts, pa.binary())], ["term", "n", "terms"]
         )
     term = np.flatnonzero(seen).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term]), pa.nulls(len(term), pa.list_(pa.int32()))], ["term", "n", "terms"])
+    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(seen[term]), pa.nulls(len(term), pa.binary())], ["term", "n", "terms"])
 
 
-def _rows_of(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, term and value of the TF-IDF matrix of a batch of (terms, weight), rows of length ``weight``."""
-    lists = batch.column(0)
-    sizes = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    term = lists.flatten().to_numpy()
-    key, n = np.unique(row.astype(np.int64) * TERMS + term, return_counts=True)
-    row, term = key // TERMS, key % TERMS
-    value = n * idf[term]
-    norm = np.sqrt(np.bincount(row, value * value, len(sizes)))
-    return row, term, value / np.maximum(norm, 1e-12)[row] * batch.column(1).to_numpy()[row]
+def _lengths(passage: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of the TF-IDF rows of ``n`` passages."""
+    key = np.sort(passage * TERMS + term)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    value = np.diff(np.append(first, len(key))) * idf[key[first] % TERMS]
+    return np.sqrt(np.bincount(key[first] // TERMS, value * value, n))
 
 
 def _thin(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,30 +147,61 @@ def _whole(used: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _times_transposed(idf: np.ndarray, thin: tuple[np.ndarray, np.ndarray]):
-    """A partition's part of A' (A right), as terms and bytes of their rows."""
+    """A partition's part of A' (A right), as blocks of terms and bytes of their rows.
+
+    A has a row of unit length times ``weight`` for each passage of the texts (terms, weight).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        right = _whole(*thin)
+        factor = idf[:, None].astype(np.float32)
+        right = _whole(*thin) * factor
         out = np.zeros((TERMS, right.shape[1]), np.float32)
         for batch in batches:
-            row, term, value = _rows_of(batch, idf)
-            if not len(row):
-                continue
-            product = np.zeros((batch.num_rows, right.shape[1]), np.float32)
-            scaled = value[:, None].astype(np.float32)
-            np.add.at(product, row, right[term] * scaled)
-            np.add.at(out, term, product[row] * scaled)
-        used, rows = _thin(out)
-        # In rows of about a megabyte, so that no copy on the way to the driver is large.
-        for first in range(0, len(used), TERM_BLOCK):
-            part = [x[first : first + TERM_BLOCK].tobytes() for x in (used, rows)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in part], ["used", "part"])
+            data, offsets = column_bytes(batch.column(0))
+            weight = batch.column(1).to_numpy()
+            for a, b in slices(offsets):
+                term = data[offsets[a] : offsets[b]].view(np.uint16).astype(np.int64)
+                if not len(term):
+                    continue
+                begin = (offsets[a : b + 1] - offsets[a]) // 2
+                size = np.diff(begin)
+                place = np.arange(len(term)) - np.repeat(begin[:-1], size)
+                start = np.flatnonzero(place % (STEP * STEPS) == 0)
+                passage = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(term))))
+                own = np.repeat(weight[a:b], size)[start] / np.maximum(_lengths(passage, term, idf, len(start)), 1e-12)
+                product = run_sums(right, term, start) * (own * own).astype(np.float32)[:, None]
+                order = np.argsort(term.astype(np.uint16), kind="stable")
+                term = term[order]
+                first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+                out[term[first]] += run_sums(product, passage[order], first)
+        used, rows = _thin(out * factor)
+        task = TaskContext.get().partitionId()
+        for block in np.unique(used // TERM_BLOCK).tolist():
+            lo, hi = np.searchsorted(used, [block * TERM_BLOCK, (block + 1) * TERM_BLOCK])
+            columns = [pa.array([block], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x[lo:hi].tobytes()], pa.binary()) for x in (used, rows)]]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "task", "used", "part"])
+
+    return run
+
+
+def _added(width: int):
+    """Sums of the parts of each block of terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, block in enumerate(batch.column(0).to_pylist()):
+                used, part = (np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((2, np.int32), (3, np.float32)))
+                # A task has a term once.
+                sums.setdefault(block, np.zeros((TERM_BLOCK, width), np.float32))[used % TERM_BLOCK] += part.reshape(-1, width)
+        for block, rows in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["block", "rows"])
 
     return run
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
-    """Main directions (terms x rank) of the TF-IDF rows of (terms, weight), by randomised SVD.
+    """Main directions (terms x rank) of the TF-IDF passages of (terms, weight), by randomised SVD.
 
     Every round multiplies by A'A on the executors and orthonormalises the thin result. The last
     round's small core gives the singular directions.
@@ -152,11 +209,12 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     basis = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA), dtype=np.float32)
     core = basis
     for turn in range(POWER + 1):
-        parts = passages.mapInArrow(_times_transposed(idf, _thin(basis)), "used binary, part binary")
+        parts = passages.mapInArrow(_times_transposed(idf, _thin(basis)), "block int, task int, used binary, part binary")
+        # Parts are added in one order, so that reruns agree.
+        parts = parts.repartition(SUM_TASKS, "block").sortWithinPartitions("block", "task")
         core = np.zeros(basis.shape, np.float32)
-        for used, part in parts.toLocalIterator():
-            # A task has a term once.
-            core[np.frombuffer(used, np.int32)] += np.frombuffer(part, np.float32).reshape(-1, basis.shape[1])
+        for block, rows in parts.mapInArrow(_added(basis.shape[1]), "block int, rows binary").toLocalIterator():
+            core[block * TERM_BLOCK : (block + 1) * TERM_BLOCK] = np.frombuffer(rows, np.float32).reshape(TERM_BLOCK, -1)
         if turn < POWER:
             basis = np.linalg.qr(core)[0]
     # basis' A'A basis = core in the small: its eigenvectors rotate the basis to singular directions.
@@ -277,8 +335,7 @@ class Items:
 def _search(thin: tuple[np.ndarray, np.ndarray], idf: np.ndarray, rows: list[tuple[int | None, bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.append(idf * idf, 0).astype(np.float32)
-        padded = np.vstack([_whole(*thin), np.zeros((1, thin[1].shape[1]), np.float32)])
-        fold = padded[:-1]
+        fold = _whole(*thin)
         items = Items(rows, fold, idf)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -293,12 +350,12 @@ def _search(thin: tuple[np.ndarray, np.ndarray], idf: np.ndarray, rows: list[tup
                 # A term counts once in a step, so that repeated words don't make a passage.
                 nth = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
                 key = np.unique(nth * TERMS + terms(h))
-                # The zero row closes the last step.
+                # The weight 0 closes the last step.
                 t = np.append(key % TERMS, TERMS)
                 at = np.append(np.searchsorted(key, np.arange(len(first)) * TERMS), len(key))
-                for s in range(0, len(first), 256):
-                    e = min(s + 256, len(first))
-                    step[s:e, :rank] = np.add.reduceat(padded[t[at[s] : at[e] + 1]], at[s:e] - at[s], axis=0)
+                for s in range(0, len(first), 1024):
+                    e = min(s + 1024, len(first))
+                    step[s:e, :rank] = run_sums(fold, t[at[s] : at[e]], at[s:e] - at[s])
                 squares = np.add.reduceat(weight[t], at[:-1])
                 if items.low:
                     step[:, rank:] = items.products(key // TERMS, key % TERMS, len(first))
@@ -357,21 +414,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_items, n_docs = items.count(), docs.count()
     if not n_items or not n_docs:
         return spark.createDataFrame([], result)
-    # A sampled document carries a number that picks its passage; about SAMPLE_DOCS have one.
-    number = F.xxhash64("doc_id", "text")
-    sampled = F.when(F.pmod(number, F.lit(n_docs)) < SAMPLE_DOCS, F.pmod(F.xxhash64(number), F.lit(1 << 30)))
-    statistics = docs.select(F.col("text").cast("binary").alias("text"), sampled.alias("sampled")).mapInArrow(_statistics, "term int, n long, terms array<int>")
+    statistics = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_statistics, "term int, n long, terms binary")
     statistics = stage(statistics, "terms")
-    counts = statistics.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = statistics.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    n_passages = sum(counts.filter(pc.field("term") < 0).column("n").to_pylist())
+    counts = counts.filter(pc.field("term") >= 0)
     idf = inverse_frequency(counts.column("term").to_numpy(), counts.column("n").to_numpy(), n_docs)
-    sample = statistics.where("term = -1").select("terms", F.lit(1.0).alias("weight"))
+    share = float(np.sqrt(min(1.0, CORPUS_ROWS / n_docs)))
+    corpus = statistics.where("term = -1").select("terms", (F.lit(share) / F.sqrt("n")).alias("weight"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     found = None
     for first in range(0, n_items, GROUP):
         group = items.where(F.col("nth").between(first + 1, first + GROUP))
-        bench = group.select("text").mapInArrow(_bench_terms, "terms array<int>").select("terms", F.lit(BENCH_WEIGHT).alias("weight"))
-        passages = stage(sample.union(bench).coalesce(4), "passages")
-        fold = _thin((latent_space(passages, idf) * idf[:, None]).astype(np.float32))
+        bench = group.select("text").mapInArrow(_bench_terms, "terms binary").select("terms", F.lit(BENCH_WEIGHT).alias("weight"))
+        passages = stage(bench, "passages")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-n_passages // TASK_PASSAGES))
+        fold = _thin((latent_space(corpus.union(passages).coalesce(tasks), idf) * idf[:, None]).astype(np.float32))
         rows = [(r.item_id, bytes(r.text)) for r in group.select("item_id", "text").collect()]
         part = texts.mapInArrow(_search(fold, idf, rows), result)
         found = part if found is None else found.union(part)
@@ -391,8 +449,8 @@ def _bench_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             h, row, _ = word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
             first, _, passage = steps_of(row)
-            out += [terms(h[first[p] : first[p] + STEP * STEPS]).tolist() for p in passage]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32()))], ["terms"])
+            out += [terms(h[first[p] : first[p] + STEP * STEPS]).astype(np.uint16).tobytes() for p in passage]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["terms"])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
