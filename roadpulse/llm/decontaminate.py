@@ -45,10 +45,12 @@ from roadpulse.session import stage
 
 TERM_BITS = 15
 TERMS, RANK, EXTRA, POWER = 1 << TERM_BITS, 128, 8, 2
+#: Eigenvalues below this share of the largest are rounding.
+NEGLIGIBLE = 1e-6
 STEP, STEPS = 16, 3
 CORPUS_ROWS, BENCH_WEIGHT = 2_000, 4.0
 MIN_COSINE, SHARE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.18, 0.6, 0.8, 0.6, 6, 0.8
-GROUP, TERM_BLOCK, SUM_TASKS = 2_048, 256, 4
+GROUP, TERM_BLOCK, SUM_TASKS, PAIR_BITS = 2_048, 256, 4, 20
 #: Passages of a task; every task passes on a matrix of terms, so there are no more tasks than that needs or cores.
 TASK_PASSAGES = 2_000_000
 #: Rows of a run that are added one after the other; longer runs are added in pieces.
@@ -59,6 +61,12 @@ def terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TERM_BITS)).astype(np.int64)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Sorted distinct keys; sorting them is faster than the hashing of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
 def inverse_frequency(term: np.ndarray, n: np.ndarray, docs: int) -> np.ndarray:
     """Weights of terms; small, but never 0, for those of most documents."""
     idf = np.full(TERMS, np.log(docs + 1.0))
@@ -112,7 +120,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(offsets):
             h, row, _ = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             t = terms(h)
-            seen += np.bincount(np.unique(row * TERMS + t) % TERMS, minlength=TERMS)
+            seen += np.bincount(distinct(row * TERMS + t) % TERMS, minlength=TERMS)
             bounds = np.searchsorted(row, np.arange(b - a + 1))
             t = t.astype(np.uint16)
             for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -203,23 +211,24 @@ def _added(width: int):
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 7) -> np.ndarray:
     """Main directions (terms x rank) of the TF-IDF passages of (terms, weight), by randomised SVD.
 
-    Every round multiplies by A'A on the executors and orthonormalises the thin result. The last
-    round's small core gives the singular directions.
+    Every round multiplies by A'A on the executors; the next one starts from the orthonormalised
+    thin result. The last product, with what it was taken of, also gives the singular directions in
+    its span, so no round is spent on them.
     """
-    basis = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA), dtype=np.float32)
-    core = basis
-    for turn in range(POWER + 1):
+    core = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA), dtype=np.float32)
+    for turn in range(POWER):
+        basis = core if turn == 0 else np.linalg.qr(core)[0]
         parts = passages.mapInArrow(_times_transposed(idf, _thin(basis)), "block int, task int, used binary, part binary")
         # Parts are added in one order, so that reruns agree.
         parts = parts.repartition(SUM_TASKS, "block").sortWithinPartitions("block", "task")
         core = np.zeros(basis.shape, np.float32)
         for block, rows in parts.mapInArrow(_added(basis.shape[1]), "block int, rows binary").toLocalIterator():
             core[block * TERM_BLOCK : (block + 1) * TERM_BLOCK] = np.frombuffer(rows, np.float32).reshape(TERM_BLOCK, -1)
-        if turn < POWER:
-            basis = np.linalg.qr(core)[0]
-    # basis' A'A basis = core in the small: its eigenvectors rotate the basis to singular directions.
-    value, vector = np.linalg.eigh((basis.T @ core + core.T @ basis) / 2)
-    return np.ascontiguousarray((basis @ vector[:, np.argsort(-value)][:, :rank]).astype(np.float32))
+    # A'A is near core (basis' core)^-1 core' (Nystrom): eigenvectors of its small part rotate core's span to singular directions.
+    span, small = np.linalg.qr(core)
+    inner = (basis.T @ core + core.T @ basis).astype(np.float64) / 2
+    value, vector = np.linalg.eigh(small @ np.linalg.pinv(inner, NEGLIGIBLE, hermitian=True) @ small.T)
+    return np.ascontiguousarray((span @ vector[:, np.argsort(-value)][:, :rank]).astype(np.float32))
 
 
 def lcs(a: list, b: list) -> int:
@@ -240,6 +249,10 @@ def pairs_of(h: np.ndarray) -> np.ndarray:
     return mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
+def begin_of(pairs: np.ndarray) -> np.ndarray:
+    return (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+
+
 class Items:
     """A bounded group of benchmark items: their words, latent passages and word pairs."""
 
@@ -281,6 +294,9 @@ class Items:
         order = np.argsort(pair, kind="stable")
         self.pair, at, self.holders = *np.unique(pair[order], return_index=True), holder[order]
         self.pair_at = np.append(at, len(pair))
+        # Which beginnings of pair hashes occur, so that few pairs of a text are looked up.
+        self.begins = np.zeros(1 << PAIR_BITS, bool)
+        self.begins[begin_of(self.pair)] = True
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.single = bool((self.size == 1).any())
         # A word dropped or replaced takes at most two pairs with it; a short item keeps all.
@@ -298,10 +314,11 @@ class Items:
     def places(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, item, first word) of places with an item's needed number of pairs, sorted."""
         own = np.empty(0, np.uint64) if len(h) < 2 else pairs_of(h)
-        word = np.flatnonzero(row[1:] == row[:-1])
+        word = np.flatnonzero((row[1:] == row[:-1]) & self.begins[begin_of(own)])
         own = own[word]
         if self.single:
-            own, word = np.concatenate([own, h]), np.concatenate([word, np.arange(len(h))])
+            alone = np.flatnonzero(self.begins[begin_of(h)])
+            own, word = np.concatenate([own, h[alone]]), np.concatenate([word, alone])
         at = np.minimum(np.searchsorted(self.pair, own), len(self.pair) - 1)
         same = self.pair[at] == own
         at, word = at[same], word[same]
@@ -319,7 +336,7 @@ class Items:
         """Share of the item's words in order, whether its answer is there, and the verdict."""
         words, there = self.words[item], set(near)
         # No more words can be in order than are there.
-        if sum(w in there for w in words) < LIKELY * len(words):
+        if sum(map(there.__contains__, words)) < LIKELY * len(words):
             return 0.0, False, False
         share = lcs(words, near) / len(words)
         if share < LIKELY:
@@ -346,32 +363,35 @@ def _search(thin: tuple[np.ndarray, np.ndarray], idf: np.ndarray, rows: list[tup
                     continue
                 first, owner, passage = steps_of(row)
                 rank = fold.shape[1]
-                step = np.empty((len(first), rank + len(items.low)), np.float32)
+                # The last row, of zeros, stands for steps that a passage lacks.
+                step = np.zeros((len(first) + 1, rank + len(items.low)), np.float32)
                 # A term counts once in a step, so that repeated words don't make a passage.
                 nth = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-                key = np.unique(nth * TERMS + terms(h))
+                key = distinct(nth * TERMS + terms(h))
                 # The weight 0 closes the last step.
                 t = np.append(key % TERMS, TERMS)
                 at = np.append(np.searchsorted(key, np.arange(len(first)) * TERMS), len(key))
                 for s in range(0, len(first), 1024):
                     e = min(s + 1024, len(first))
                     step[s:e, :rank] = run_sums(fold, t[at[s] : at[e]], at[s:e] - at[s])
-                squares = np.add.reduceat(weight[t], at[:-1])
+                squares = np.append(np.add.reduceat(weight[t], at[:-1]), np.float32(0))
                 if items.low:
-                    step[:, rank:] = items.products(key // TERMS, key % TERMS, len(first))
-                sums, norm = step[passage].copy(), squares[passage].copy()
+                    step[:-1, rank:] = items.products(key // TERMS, key % TERMS, len(first))
+                sums, norm = step[passage], squares[passage]
                 for k in range(1, STEPS):
                     nxt = np.minimum(passage + k, len(first) - 1)
-                    same = (passage + k < len(first)) & (owner[nxt] == owner[passage])
-                    sums[same] += step[nxt[same]]
-                    norm[same] += squares[nxt[same]]
+                    nxt[(passage + k >= len(first)) | (owner[nxt] != owner[passage])] = len(first)
+                    sums += step[nxt]
+                    norm += squares[nxt]
+                sums /= np.sqrt(np.maximum(norm, 1e-9))[:, None]
                 cosine = sums[:, :rank] @ items.vectors.T
-                cosine[:, items.low] = np.maximum(cosine[:, items.low], sums[:, rank:])
-                cosine /= np.sqrt(np.maximum(norm, 1e-9))[:, None]
+                if items.low:
+                    cosine[:, items.low] = np.maximum(cosine[:, items.low], sums[:, rank:])
                 ends = np.searchsorted(row, np.arange(b - a + 1))
                 best: dict[tuple[int, int], tuple] = {}
-                near_p, near_q = np.nonzero(cosine >= MIN_COSINE)
-                closest = np.argsort(-cosine[near_p, near_q], kind="stable")
+                near = np.flatnonzero(cosine >= MIN_COSINE)
+                near_p, near_q = np.divmod(near, cosine.shape[1])
+                closest = np.argsort(-cosine.ravel()[near], kind="stable")
                 for p, q in zip(near_p[closest], near_q[closest], strict=True):
                     doc, item = int(owner[passage[p]]), int(items.owner[q])
                     if best.get((doc, item), (0.0,))[0] >= SURE:
