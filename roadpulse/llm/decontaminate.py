@@ -55,6 +55,8 @@ GROUP, TERM_BLOCK, SUM_TASKS, PAIR_BITS = 2_048, 256, 4, 20
 TASK_PASSAGES = 2_000_000
 #: Rows of a run that are added one after the other; longer runs are added in pieces.
 PIECE, PIECES = 32, 256
+#: Terms whose sums a task holds at a time.
+RUNS = 4_096
 
 
 def terms(hashes: np.ndarray) -> np.ndarray:
@@ -162,7 +164,8 @@ def _times_transposed(idf: np.ndarray, thin: tuple[np.ndarray, np.ndarray]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor = idf[:, None].astype(np.float32)
-        right = _whole(*thin) * factor
+        right = _whole(*thin)
+        right *= factor
         out = np.zeros((TERMS, right.shape[1]), np.float32)
         for batch in batches:
             data, offsets = column_bytes(batch.column(0))
@@ -181,13 +184,20 @@ def _times_transposed(idf: np.ndarray, thin: tuple[np.ndarray, np.ndarray]):
                 order = np.argsort(term.astype(np.uint16), kind="stable")
                 term = term[order]
                 first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-                out[term[first]] += run_sums(product, passage[order], first)
-        used, rows = _thin(out * factor)
+                passage, end = passage[order], np.append(first, len(term))
+                for lo in range(0, len(first), RUNS):
+                    hi = min(lo + RUNS, len(first))
+                    out[term[first[lo:hi]]] += run_sums(product, passage[end[lo] : end[hi]], first[lo:hi] - end[lo])
+        # A task holds the two matrices only; its part leaves it block by block.
+        del right
+        out *= factor
         task = TaskContext.get().partitionId()
-        for block in np.unique(used // TERM_BLOCK).tolist():
-            lo, hi = np.searchsorted(used, [block * TERM_BLOCK, (block + 1) * TERM_BLOCK])
-            columns = [pa.array([block], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x[lo:hi].tobytes()], pa.binary()) for x in (used, rows)]]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "task", "used", "part"])
+        for block in range(TERMS // TERM_BLOCK):
+            used, rows = _thin(out[block * TERM_BLOCK : (block + 1) * TERM_BLOCK])
+            if len(used):
+                used += block * TERM_BLOCK
+                columns = [pa.array([block], pa.int32()), pa.array([task], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (used, rows)]]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "task", "used", "part"])
 
     return run
 
@@ -477,4 +487,6 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item."""
     rows = docs.select(row_key().alias("doc_id"), "text")
     bad = contaminated(rows, benchmark).where("doc_id is not null").select(F.col("doc_id").alias("_bad")).distinct()
+    # A stored table's size is known: few keys are broadcast, and whole texts are not shuffled.
+    bad = stage(bad, "leaks")
     return docs.join(bad, row_key() == F.col("_bad"), "left_anti")
