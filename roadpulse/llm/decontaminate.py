@@ -32,12 +32,14 @@ columns are ignored; an empty table on either side gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadpulse.llm.text import column_bytes, mix, row_key, slices, word_hashes
@@ -51,8 +53,8 @@ STEP, STEPS = 16, 3
 CORPUS_ROWS, BENCH_WEIGHT = 2_000, 4.0
 MIN_COSINE, SHARE, SURE, LIKELY, ANSWER, ANSWER_SHARE = 0.18, 0.6, 0.8, 0.6, 6, 0.8
 GROUP, TERM_BLOCK, SUM_TASKS, PAIR_BITS = 2_048, 256, 4, 20
-#: Passages of a task; every task passes on a matrix of terms, so there are no more tasks than that needs or cores.
-TASK_PASSAGES = 2_000_000
+#: Passages of a task, where there are cores enough and at most; every task passes on a matrix of terms, so there are no more tasks than that needs.
+FEW_PASSAGES, TASK_PASSAGES = 200_000, 2_000_000
 #: Rows of a run that are added one after the other; longer runs are added in pieces.
 PIECE, PIECES = 32, 256
 #: Terms whose sums a task holds at a time.
@@ -156,15 +158,29 @@ def _whole(used: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _times_transposed(idf: np.ndarray, thin: tuple[np.ndarray, np.ndarray]):
+@contextmanager
+def _shared(spark: SparkSession, value: tuple) -> Iterator[Broadcast]:
+    """``value`` on all machines; its copies leave their disks with the block, not only with the session."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.destroy()
+
+
+def _value(thin: Broadcast | tuple) -> tuple[np.ndarray, np.ndarray]:
+    return thin.value if isinstance(thin, Broadcast) else thin
+
+
+def _times_transposed(idf: np.ndarray, thin: Broadcast | tuple):
     """A partition's part of A' (A right), as blocks of terms and bytes of their rows.
 
-    A has a row of unit length times ``weight`` for each passage of the texts (terms, weight).
+    ``thin`` is right or its broadcast. A has a row of unit length times ``weight`` for each passage of the texts (terms, weight).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factor = idf[:, None].astype(np.float32)
-        right = _whole(*thin)
+        right = _whole(*_value(thin))
         right *= factor
         out = np.zeros((TERMS, right.shape[1]), np.float32)
         for batch in batches:
@@ -228,12 +244,13 @@ def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: i
     core = np.random.default_rng(seed).standard_normal((TERMS, rank + EXTRA), dtype=np.float32)
     for turn in range(POWER):
         basis = core if turn == 0 else np.linalg.qr(core)[0]
-        parts = passages.mapInArrow(_times_transposed(idf, _thin(basis)), "block int, task int, used binary, part binary")
-        # Parts are added in one order, so that reruns agree.
-        parts = parts.repartition(SUM_TASKS, "block").sortWithinPartitions("block", "task")
         core = np.zeros(basis.shape, np.float32)
-        for block, rows in parts.mapInArrow(_added(basis.shape[1]), "block int, rows binary").toLocalIterator():
-            core[block * TERM_BLOCK : (block + 1) * TERM_BLOCK] = np.frombuffer(rows, np.float32).reshape(TERM_BLOCK, -1)
+        with _shared(passages.sparkSession, _thin(basis)) as thin:
+            parts = passages.mapInArrow(_times_transposed(idf, thin), "block int, task int, used binary, part binary")
+            # Parts are added in one order, so that reruns agree.
+            parts = parts.repartition(SUM_TASKS, "block").sortWithinPartitions("block", "task")
+            for block, rows in parts.mapInArrow(_added(basis.shape[1]), "block int, rows binary").toLocalIterator():
+                core[block * TERM_BLOCK : (block + 1) * TERM_BLOCK] = np.frombuffer(rows, np.float32).reshape(TERM_BLOCK, -1)
     # A'A is near core (basis' core)^-1 core' (Nystrom): eigenvectors of its small part rotate core's span to singular directions.
     span, small = np.linalg.qr(core)
     inner = (basis.T @ core + core.T @ basis).astype(np.float64) / 2
@@ -359,10 +376,10 @@ class Items:
         return share, has, share >= SURE or (share >= LIKELY and has)
 
 
-def _search(thin: tuple[np.ndarray, np.ndarray], idf: np.ndarray, rows: list[tuple[int | None, bytes]]):
+def _search(thin: Broadcast | tuple, idf: np.ndarray, rows: list[tuple[int | None, bytes]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.append(idf * idf, 0).astype(np.float32)
-        fold = _whole(*thin)
+        fold = _whole(*_value(thin))
         items = Items(rows, fold, idf)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -458,14 +475,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         group = items.where(F.col("nth").between(first + 1, first + GROUP))
         bench = group.select("text").mapInArrow(_bench_terms, "terms binary").select("terms", F.lit(BENCH_WEIGHT).alias("weight"))
         passages = stage(bench, "passages")
-        tasks = max(spark.sparkContext.defaultParallelism, -(-n_passages // TASK_PASSAGES))
+        tasks = fit_tasks(n_passages, spark.sparkContext.defaultParallelism)
         fold = _thin((latent_space(corpus.union(passages).coalesce(tasks), idf) * idf[:, None]).astype(np.float32))
         rows = [(r.item_id, bytes(r.text)) for r in group.select("item_id", "text").collect()]
-        part = texts.mapInArrow(_search(fold, idf, rows), result)
+        # Leaks are few and short beside the texts.
+        with _shared(spark, fold) as thin:
+            part = stage(texts.mapInArrow(_search(thin, idf, rows), result), "found")
         found = part if found is None else found.union(part)
     return found
 
 
+def fit_tasks(passages: int, cores: int) -> int:
+    """Tasks that share ``passages``: as many as cores if that leaves each enough, more if it leaves them too many."""
+    return max(1, min(cores, -(-passages // FEW_PASSAGES)), -(-passages // TASK_PASSAGES))
+
+
 def _by_text():
     """Items in a fixed order; a benchmark is small beside the corpus."""
     from pyspark.sql import Window
