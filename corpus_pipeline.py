@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from roadpulse.llm import decontaminate, mixing, near_dup, slots, toxicity
 from roadpulse.llm.text import row_key
-from roadpulse.session import ship_package, stage
+from roadpulse.session import ship_package, stage, text_batches
 
 
 def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
@@ -26,8 +26,9 @@ def _without(docs: DataFrame, gone: DataFrame, key: Column) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=row_key())
-    decisions = stage(scores.select("doc_id", (F.col("predicted") == 1).alias("toxic")), "toxic")
+    with text_batches(spark):
+        scores = toxicity.toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), key=row_key())
+        decisions = stage(scores.select("doc_id", (F.col("predicted") == 1).alias("toxic")), "toxic")
     return _without(docs, decisions.where("toxic"), row_key())
 
 
@@ -50,13 +51,15 @@ def _one_key_a_row(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     keyed = _one_key_a_row(docs)
-    decisions = near_dup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    with text_batches(spark):
+        decisions = near_dup.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
     return _without(keyed, decisions.where(~F.col("kept")), F.col("_key")).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    with text_batches(spark):
+        return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

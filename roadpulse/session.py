@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,25 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch of whole texts.
+TEXT_ROWS = 1_000
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Jobs that run in the block give Python workers ``rows`` rows at a time.
+
+    A batch stands in the executor and in its worker at once; of whole texts Spark's 10,000 rows are tens of MB.
+    """
+    before = spark.conf.get(BATCH_CONF)
+    spark.conf.set(BATCH_CONF, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local session that names none, as in tests, gets a new one.
 
