@@ -42,11 +42,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadpulse.llm.text import column_bytes, fold_of, mix, word_hashes
-from roadpulse.session import stage
+from roadpulse.llm.text import column_bytes, fold_of, mix, slices, word_hashes
+from roadpulse.session import stage, text_batches
 
 DEPTH = 2
 CHUNK, SLICE, PARTS = 12 << 20, 1 << 19, 64
+#: Tokens of a chunk that are worked on together, where only sums over them are kept.
+PIECE = 1 << 18
 #: The end token, which also marks a text's start; and what a run of words is hashed with.
 END, STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 #: Sums over tokens travel as whole numbers of these units, so that their order does not matter.
@@ -94,13 +96,31 @@ def packed_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield chunk()
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and which of them each value is, with less in memory than ``np.unique``."""
+    order = np.argsort(values)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    which = np.empty(len(values), np.int32)
+    number = np.cumsum(new, dtype=np.int32)
+    number -= 1
+    which[order] = number
+    return values[new], which
+
+
 class Stream:
-    """The tokens of a chunk, each text begun and ended by ``END``, and what is known of their runs."""
+    """The tokens of a chunk, each text begun and ended by ``END``, and what is known of their runs.
+
+    Totals are held once for each distinct run, and each token holds the number of its run, so that little is as long
+    as the chunk.
+    """
 
     def __init__(self, held: list[bool], sizes: list[int], data: bytes):
         raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
         starts = np.cumsum([0] + [n + 1 for n in sizes])
-        hashes, rows = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        hashes = [np.empty(0, np.uint64)]
+        n = np.full(len(sizes), 2)
         first = 0
         space = np.flatnonzero((raw == 32) | ((raw >= 9) & (raw <= 13)))
         while first < len(raw):
@@ -109,80 +129,84 @@ class Stream:
             last = int(space[at]) if at < len(space) else len(raw)
             h, _, ends = word_hashes(raw[first:last], np.array([0, last - first]))
             hashes.append(h)
-            rows.append(np.searchsorted(starts, ends[:, 0] + first, side="right") - 1)
+            n += np.bincount(np.searchsorted(starts, ends[:, 0] + first, side="right") - 1, minlength=len(sizes))
             first = last + 1
-        word, row = np.concatenate(hashes), np.concatenate(rows)
-        n = np.bincount(row, minlength=len(sizes)) + 2
         self.begin = np.cumsum(n) - n
-        self.token = np.full(int(n.sum()), END)
-        self.token[np.arange(len(word)) + 2 * row + 1] = word
-        self.place = np.arange(len(self.token)) - np.repeat(self.begin, n)
-        self.train = np.repeat(~np.array(held, bool), n)
         self.n_tokens = n - 1
-        self._run, self._asked, self.count, self.kinds = {1: self.token}, {}, {}, {}
+        word = np.ones(int(n.sum()), bool)
+        word[self.begin] = word[self.begin + self.n_tokens] = False
+        self.token = np.full(len(word), END)
+        self.token[word] = np.concatenate(hashes)
+        self.place = np.arange(len(word), dtype=np.int32)
+        self.place -= np.repeat(self.begin.astype(np.int32), n)
+        self.train = np.repeat(~np.array(held, bool), n)
+        # By length: distinct runs, which of them ends at each token (from 1, 0 for none), totals after a zero for none.
+        self.keys, self.which, self.totals, self.kinds = {}, {}, {}, {}
 
     def run(self, words: int) -> np.ndarray:
         """Hash of the run of so many words that ends at each token."""
-        if words not in self._run:
-            shorter = self.run(words - 1)
-            out = shorter.copy()
-            out[1:] = mix(shorter[:-1] * STEP + self.token[1:] + np.uint64(words))
-            # Runs are asked for by length, so the shorter ones have been used.
-            self._run = {1: self.token, words: out}
-        return self._run[words]
-
-    def before(self, words: int) -> np.ndarray:
-        """Per token, how often the run of so many words before it is in training."""
-        return np.concatenate([[0], self.count[words][:-1]])
-
-    def asked(self, context: bool, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, the keys asked for, and which of them is at each token: of runs that end there, or of the context before."""
-        if context:
-            # The contexts are among the runs asked for before, so nothing is sorted again.
-            at = np.flatnonzero((self.place >= words) & (self.before(words) >= 2))
-            keys, which = self._asked[words]
-            which = which[at - 1]
-            used = np.zeros(len(keys), bool)
-            used[which] = True
-            return at, keys[used], (np.cumsum(used, dtype=np.int32) - 1)[which]
+        out = self.token
+        for n in range(2, words + 1):
+            shorter, out = out, out.copy()
+            for a in range(1, len(out), PIECE):
+                b = min(a + PIECE, len(out))
+                out[a:b] = mix(shorter[a - 1 : b - 1] * STEP + self.token[a:b] + np.uint64(n))
+        return out
+
+    def ask(self, words: int) -> None:
+        """Find the runs of so many words that are asked for."""
         there = self.place >= max(words - 1, 1)
         if words > 2:
-            there &= self.before(words - 1) >= 2
-        at = np.flatnonzero(there)
-        keys, back = np.unique(self.run(words)[at], return_inverse=True)
-        back = back.astype(np.int32)
-        which = np.zeros(len(self.token), np.int32)
-        which[at] = back
+            there[1:] &= (self.totals[words - 1] >= 2)[self.which[words - 1][:-1]]
+        self.keys[words], found = distinct(self.run(words)[there])
+        found += 1
+        self.which[words] = which = np.zeros(len(self.token), np.int32)
+        which[there] = found
         if words == 1:
+            # A text starts as often as it ends.
             which[self.begin] = which[self.begin + self.n_tokens]
-        self._asked[words] = keys, which
-        return at, keys, back
-
-    def values(self, context: bool, words: int, at: np.ndarray) -> list[np.ndarray]:
-        """What the tokens add to their keys: a count, or what their context gains and their part of its symbols."""
-        if not context:
-            return [self.train[at].astype(np.float64)]
-        n, total = np.maximum(self.count[words + 1][at], 1), self.before(words)[at]
-        shorter = np.maximum(self.count[words][at], 1) / (np.maximum(self.before(words - 1)[at], 1) if words > 1 else self.total)
-        gain = np.log(n / total / shorter) - np.log(total) / (2 * n)
-        return [gain * self.train[at] * GAIN_UNIT, self.train[at] / n * KIND_UNIT]
+
+    def contexts(self, words: int) -> np.ndarray:
+        """Which runs of so many words (after the place for none) are asked for as contexts: those before a token, twice or more."""
+        used = np.zeros(len(self.totals[words]), bool)
+        used[self.which[words][:-1][self.place[1:] >= words]] = True
+        return used & (self.totals[words] >= 2)
+
+    def count(self, words: int, at: np.ndarray) -> np.ndarray:
+        """How often the runs of so many words that end at these tokens are in training."""
+        return self.totals[words][self.which[words][at]]
+
+    def gains(self, words: int, used: np.ndarray) -> list[np.ndarray]:
+        """What the tokens add to the contexts used: a context's gain, and a part of its symbols each."""
+        gain, kinds = np.zeros(len(used)), np.zeros(len(used))
+        for first in range(0, len(self.token), PIECE):
+            at = first + np.flatnonzero(self.place[first : first + PIECE] >= words)
+            at = at[used[self.which[words][at - 1]]]
+            n, total = np.maximum(self.count(words + 1, at), 1), self.count(words, at - 1)
+            shorter = np.maximum(self.count(words, at), 1) / (np.maximum(self.count(words - 1, at - 1), 1) if words > 1 else self.total)
+            train, context = self.train[at], self.which[words][at - 1]
+            np.add.at(gain, context, (np.log(n / total / shorter) - np.log(total) / (2 * n)) * train * GAIN_UNIT)
+            np.add.at(kinds, context, train / n * KIND_UNIT)
+        return [np.rint(v[used]).astype(np.int64) for v in (gain, kinds)]
 
     def learn(self, context: bool, words: int, totals: np.ndarray) -> None:
         """Take the totals of the keys asked for, in their order."""
-        at, _, back = self.asked(context, words)
-        known = np.zeros(len(self.token), np.int64)
-        known[at] = totals[back]
         if context:
-            self.kinds[words] = known
-            return
-        if words == 1:
-            # A text starts as often as it ends.
-            known[self.begin] = known[self.begin + self.n_tokens]
-        self.count[words] = known
+            self.kinds[words] = np.zeros(len(self.totals[words]), np.int64)
+            self.kinds[words][self.contexts(words)] = totals
+        else:
+            self.ask(words)
+            self.totals[words] = np.concatenate([[0], totals])
 
     def question(self, chunk: str, context: bool, words: int, parts: int) -> Iterator[tuple]:
-        at, keys, back = self.asked(context, words)
-        sums = [np.rint(np.bincount(back, v, len(keys))).astype(np.int64) for v in self.values(context, words, at)]
+        if context:
+            used = self.contexts(words)
+            keys, sums = self.keys[words][used[1:]], self.gains(words, used)
+        else:
+            self.ask(words)
+            # A text's start is not counted, its end is.
+            counted = self.which[words][self.train & (self.place > 0)]
+            keys, sums = self.keys[words], [np.bincount(counted, minlength=len(self.keys[words]) + 1)[1:]]
         part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -191,16 +215,22 @@ class Stream:
 
     def scores(self, total: int, distinct: int, discount: float) -> list[np.ndarray]:
         """Known tokens, base score and score of each text."""
-        at = np.flatnonzero(self.place > 0)
-        c = self.count[1][at]
-        p = np.where(c > 0, c - discount, discount * distinct) / total if total else np.ones(len(at))
-        for words in sorted(self.kinds):
-            kinds = self.kinds[words][at]
-            longer = (self.count[words + 1][at] + kinds * p) / np.maximum(self.before(words)[at] + kinds, 1)
-            p = np.where(kinds > 0, longer, p)
-        base = np.log10(c + 1) - np.log10(total + distinct + 1)
-        texts = np.cumsum(self.n_tokens) - self.n_tokens
-        return [np.add.reduceat(x, texts) for x in ((c > 0).astype(np.int64), base, np.log10(p))]
+        out = [[], [], []]
+        for first, last in slices(np.append(self.begin, len(self.token)), PIECE):
+            n_tokens = self.n_tokens[first:last]
+            start = self.begin[first]
+            at = start + np.flatnonzero(self.place[start : start + int((n_tokens + 1).sum())] > 0)
+            c = self.count(1, at)
+            p = np.where(c > 0, c - discount, discount * distinct) / total if total else np.ones(len(at))
+            for words in sorted(self.kinds):
+                kinds = self.kinds[words][self.which[words][at - 1]]
+                longer = (self.count(words + 1, at) + kinds * p) / np.maximum(self.count(words, at - 1) + kinds, 1)
+                p = np.where(kinds > 0, longer, p)
+            base = np.log10(c + 1) - np.log10(total + distinct + 1)
+            texts = np.cumsum(n_tokens) - n_tokens
+            for sums, x in zip(out, ((c > 0).astype(np.int64), base, np.log10(p)), strict=True):
+                sums.append(np.add.reduceat(x, texts))
+        return [np.concatenate(sums) for sums in out]
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -244,7 +274,8 @@ def _further_questions(words: int, depth: int, parts: int, total: int):
     def ask(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row, stream = _known(chunk, answers, total)
         # A chunk may have asked for no run of this length.
-        stream.count.setdefault(words + 1, np.zeros(len(stream.token), np.int64))
+        stream.totals.setdefault(words + 1, np.zeros(1, np.int64))
+        stream.which.setdefault(words + 1, np.zeros(len(stream.token), np.int32))
         rows = list(stream.question(row["chunk"], True, words, parts))
         if words < depth:
             rows += stream.question(row["chunk"], False, words + 2, parts)
@@ -260,7 +291,7 @@ def _answered(total: int):
         rows = table.to_pylist()
         context, words, part = rows[0]["context"], rows[0]["words"], rows[0]["part"]
         asked = [np.cumsum(unpack(r["keys"], np.uint64), dtype=np.uint64) for r in rows]
-        keys, back = np.unique(np.concatenate(asked), return_inverse=True)
+        keys, back = distinct(np.concatenate(asked))
         sums = np.bincount(back, np.concatenate([unpack(r["a"], np.int64) for r in rows]), len(keys))
         if context:
             kinds = np.bincount(back, np.concatenate([unpack(r["b"], np.int64) for r in rows]), len(keys))
@@ -311,7 +342,8 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, depth:
         (fold_of(F.col("doc_id"), folds) == held).alias("held_out"),
         F.col("text").cast("binary").alias("text"),
     )
-    chunks = stage(rows.mapInArrow(packed_chunks, CHUNKS), "lm-chunks")
+    with text_batches(docs.sparkSession):
+        chunks = stage(rows.mapInArrow(packed_chunks, CHUNKS), "lm-chunks")
     # A range gets about as many keys as a chunk has.
     parts = max(PARTS, chunks.count())
 
