@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadpulse.llm.text import column_bytes, fold_of, mix, slices, word_hashes
-from roadpulse.session import stage, text_batches
+from roadpulse.session import shuffles_dropped, stage, text_batches
 
 DEPTH = 2
 CHUNK, SLICE, PARTS = 12 << 20, 1 << 19, 64
@@ -348,7 +348,8 @@ def language_model_scores(docs: DataFrame, folds: int = 7, held: int = 2, depth:
     parts = max(PARTS, chunks.count())
 
     def answered(asked: DataFrame, total: int) -> DataFrame:
-        return stage(asked.groupBy("context", "words", "part").applyInArrow(_answered(total), ANSWERS), "lm-answers")
+        with shuffles_dropped(docs.sparkSession):
+            return stage(asked.groupBy("context", "words", "part").applyInArrow(_answered(total), ANSWERS), "lm-answers")
 
     answers = answered(chunks.mapInArrow(_first_questions(parts), ASKED), 0)
     sums = [F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(4)]

@@ -70,6 +70,20 @@ def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
         spark.conf.set(BATCH_CONF, before)
 
 
+SHUFFLES_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in the block leave no shuffle files; else they stay until the driver collects its garbage."""
+    before = spark.conf.get(SHUFFLES_CONF)
+    spark.conf.set(SHUFFLES_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLES_CONF, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a local session that names none, as in tests, gets a new one.
 
